@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vidtrend.operators.scale import exact_quantiles, non_null, quantile_scalars, scalar
+from vidtrend.operators.scale import exact_quantiles, non_null, scalar, with_quantiles
 
 
 def counts(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -130,8 +130,8 @@ def histogram(df: DataFrame, col: str, bins: int, low: Column | None = None,
 def bin_means(df: DataFrame, x: str, y: str, bins: int = 19, low: float = 0.05,
               high: float = 0.95) -> DataFrame:
     """Right-closed equal-width bins of x between two quantiles; mean x and mean y per bin."""
-    q_lo, q_hi = quantile_scalars(df, x, [low, high])
-    inside = df.filter(F.col(x).between(q_lo, q_hi))
+    q_lo, q_hi = F.col("_q.p0"), F.col("_q.p1")
+    inside = with_quantiles(df.select(x, y), df, x, [low, high]).filter(F.col(x).between(q_lo, q_hi))
     width = (q_hi - q_lo) / F.lit(float(bins))
     place = F.least(F.greatest(F.ceil(F.try_divide(F.col(x) - q_lo, width)), F.lit(1)), F.lit(bins))
     return (inside.withColumn("bin", F.coalesce(place, F.lit(1)).cast("int"))

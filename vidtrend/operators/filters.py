@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidtrend.functions import fixed, text
-from vidtrend.operators.scale import exact_quantiles, quantile_scalars, scalar
+from vidtrend.operators.scale import exact_quantiles, scalar, with_quantiles
 
 
 def since(df: DataFrame, col: str = "createTimeISO", start: str = "2025-02-17") -> DataFrame:
@@ -78,22 +78,21 @@ def trim_quantiles(df: DataFrame, cols: Sequence[str], low: float = 0.05, high:
     """
     out = df
     for c in cols:
-        lo, hi = quantile_scalars(df, c, [low, high])
-        out = out.filter(F.col(c).between(lo, hi))
+        out = with_quantiles(out, df, c, [low, high]).filter(F.col(c).between(F.col("_q.p0"), F.col("_q.p1"))).drop("_q")
         if positive:
             out = out.filter(F.col(c) > 0)
     return out
 
 
 def below_quantile(df: DataFrame, col: str, prob: float = 0.99, positive: bool = False) -> DataFrame:
-    (cut,) = quantile_scalars(df, col, [prob])
-    keep = F.col(col) < cut
+    keep = F.col(col) < exact_quantiles(df, col, [prob]).scalar()
     return df.filter(keep & (F.col(col) > 0) if positive else keep)
 
 
 def iqr_fence(df: DataFrame, col: str, width: float = 1.5) -> DataFrame:
-    q1, q3 = quantile_scalars(df, col, [0.25, 0.75])
-    return df.filter(F.col(col).between(q1 - width * (q3 - q1), q3 + width * (q3 - q1)))
+    q1, q3 = F.col("_q.p0"), F.col("_q.p1")
+    fenced = with_quantiles(df, df, col, [0.25, 0.75])
+    return fenced.filter(F.col(col).between(q1 - width * (q3 - q1), q3 + width * (q3 - q1))).drop("_q")
 
 
 def columns_differ(df: DataFrame, a: str, b: str) -> DataFrame:

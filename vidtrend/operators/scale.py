@@ -137,11 +137,15 @@ def exact_quantiles(
         for i, n in enumerate(names)])
 
 
-def quantile_scalars(df: DataFrame, value: str, probs: Sequence[float]) -> list[Column]:
-    """Whole-table quantiles as scalar columns (one shared subquery)."""
+def with_quantiles(df: DataFrame, source: DataFrame, value: str, probs: Sequence[float],
+                   name: str = "_q") -> DataFrame:
+    """Adds a struct column (p0, p1, ...) of the quantiles of a whole table ``source``.
+
+    One subquery serves every later use of the struct.
+    """
     names = [f"p{i}" for i in range(len(probs))]
-    packed = exact_quantiles(df, value, probs, names=names).select(F.struct(*names).alias("q"))
-    return [packed.scalar().getField(n) for n in names]
+    packed = exact_quantiles(source, value, probs, names=names).select(F.struct(*names).alias("q"))
+    return df.withColumn(name, packed.scalar())
 
 
 def average_rank_pct(df: DataFrame, value: str, name: str = "percentile",

@@ -12,8 +12,8 @@ from vidtrend.functions.scalars import LIKES_SHARES_COMMENTS, METRICS, SOCIAL, b
     month_start, percent_text, relative_change, three_way, week_start
 from vidtrend.operators import aggregates, windows
 from vidtrend.operators.joins import pairs_in_group
-from vidtrend.operators.scale import best, calendar_broadcast, exact_quantiles, quantile_scalars, \
-    scalar
+from vidtrend.operators.scale import best, calendar_broadcast, exact_quantiles, scalar, \
+    with_quantiles
 from vidtrend.session import cut_lineage
 
 TAG = "hashtag_name"
@@ -52,20 +52,21 @@ def share_trends(df: DataFrame, key: str = TAG, post: str = "post_id", ts: str =
     ).scalar()
     seen = recent.filter(F.col(key).isNotNull()).select(post, key, "week_no").distinct()
     shares = seen.groupBy(key).agg(*[F.count_if(F.col("week_no") == w).alias(f"_n{w}") for w in range(weeks)])
-    shares = shares.select(key, *[
-        F.coalesce(F.try_divide(F.col(f"_n{w}").cast("double"), totals.getField(f"w{w}")), F.lit(0.0)).alias(n)
+    shares = shares.withColumn("_t", totals).select(key, *[
+        F.coalesce(F.try_divide(F.col(f"_n{w}").cast("double"), F.col(f"_t.w{w}")), F.lit(0.0)).alias(n)
         for w, n in enumerate(names)])
     shares = shares.withColumn("trend_change_pct", rounded(relative_change(names[0], names[1])))
     if weeks > 2:
         shares = shares.withColumn("last_week_trend_pct", rounded(relative_change(names[1], names[2])))
     if labels:
-        q1, q3 = quantile_scalars(shares, "trend_change_pct", [0.25, 0.75])
+        shares = with_quantiles(shares, shares, "trend_change_pct", [0.25, 0.75])
+        q1, q3 = F.col("_q.p0"), F.col("_q.p1")
         low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         shares = shares.withColumn("trend_label", three_way("trend_change_pct", low, high, fixed.TREND_LABELS))
         if weeks > 2:
             shares = shares.withColumn(
                 "last_week_trend_label", three_way("last_week_trend_pct", low, high, fixed.TREND_LABELS))
-    shares = shares.filter(F.col(names[0]) > 0)
+    shares = shares.filter(F.col(names[0]) > 0).drop("_q")
     if top:
         shares = shares.orderBy(F.desc(names[0]), key).limit(top)
     example = example_rows(recent.filter(F.col("week_no") == 0), key, order, {**examples, "post_date": "post_date"})
@@ -159,8 +160,9 @@ def share_of_voice(df: DataFrame, tag: str = TAG, post: str = "post_id", ts: str
     per_tag = seen.groupBy(tag).agg(F.count_if(F.col("week_no") == 0).alias("n0"),
                                     F.count_if(F.col("week_no") == 1).alias("n1"))
     sums = per_tag.agg(F.struct(F.sum("n0").alias("s0"), F.sum("n1").alias("s1")).alias("s")).scalar()
-    table = per_tag.select(tag, F.try_divide(F.col("n0").cast("double"), sums.getField("s0")).alias("this_week_share"),
-                           F.try_divide(F.col("n1").cast("double"), sums.getField("s1")).alias("last_week_share"))
+    table = per_tag.withColumn("_s", sums).select(
+        tag, F.try_divide(F.col("n0").cast("double"), F.col("_s.s0")).alias("this_week_share"),
+        F.try_divide(F.col("n1").cast("double"), F.col("_s.s1")).alias("last_week_share"))
     table = table.withColumn("share_change", relative_change("this_week_share", "last_week_share"))
     return table.withColumn("trend_label", three_way("share_change", -limit, limit, fixed.TREND_LABELS))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vidtrend.functions.scalars import LIKES_SHARES_COMMENTS, calendar_fields, engagement, week_start
 from vidtrend.operators import windows
-from vidtrend.operators.scale import quantile_scalars, scalar
+from vidtrend.operators.scale import exact_quantiles, scalar
 
 DAILY = ("post_count", "likes", "shares", "plays", "posts_7")
 CONFIDENCE_BANDS = ("⚠️ Unlikely to Perform Well", "🤔 Uncertain Performance", "👍 Likely to Perform OK",
@@ -59,7 +59,7 @@ def rank_tags(scored: DataFrame, days: int | None = None, tag: str = "hashtag_na
     recent = scored.filter(F.col("day") > F.date_sub(newest, days or 1))
     rated = recent.withColumn("trend_probability", F.get(vector_to_array("probability"), 1))
     per_tag = rated.groupBy(tag).agg(F.max("trend_probability").alias("score"), F.sum("post_count").alias("volume"))
-    floor = quantile_scalars(per_tag, "volume", [0.75])[0] if minimum is None else F.lit(minimum)
+    floor = exact_quantiles(per_tag, "volume", [0.75]).scalar() if minimum is None else F.lit(minimum)
     return per_tag.filter(F.col("volume") >= floor).orderBy(F.desc("score"), F.desc("volume"), tag).limit(k)
 
 
@@ -87,7 +87,7 @@ def train_weekly_forest(df: DataFrame, tag: str = "hashtag_name", trees: int = 1
 def engagement_labels(df: DataFrame, metrics: Sequence[str] = LIKES_SHARES_COMMENTS, ts: str = "createTimeISO") -> DataFrame:
     """Above-median engagement label and calendar columns."""
     rated = df.withColumn("engagement", engagement(metrics))
-    (median,) = quantile_scalars(rated, "engagement", [0.5])
+    median = exact_quantiles(rated, "engagement", [0.5]).scalar()
     fields = calendar_fields(ts)
     return rated.withColumns({"label": (F.col("engagement") > median).cast("double"),
                               "hour": fields["hour"].cast("double"), "dayofweek": fields["day_of_week"].cast("double")})

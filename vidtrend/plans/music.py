@@ -19,7 +19,7 @@ def weekly_trends(df: DataFrame, top: int = 15, as_of=None) -> DataFrame:
 
 
 def surges(df: DataFrame, song: str = "musicName", ts: str = "createTimeISO", recent: int = 7, history: int = 60,
-           pct: float = 0.99, top: int = 30) -> DataFrame:
+           pct: float = 0.99, top: int | None = 30) -> DataFrame:
     """Songs whose last days stand out against the mean of the days before them.
 
     Only the last ``recent + history`` observed days matter, so they are cut out first and each
@@ -30,16 +30,16 @@ def surges(df: DataFrame, song: str = "musicName", ts: str = "createTimeISO", re
     edges = days.agg(F.struct(
         F.get(F.sort_array(F.collect_list("day"), asc=False), F.lit(recent - 1)).alias("recent_from"),
         F.min("day").alias("history_from"), F.count("*").alias("n")).alias("e")).scalar()
-    used = F.col("day") >= edges.getField("history_from")
-    new = F.col("day") >= edges.getField("recent_from")
+    used = F.col("day") >= F.col("_e.history_from")
+    new = F.col("day") >= F.col("_e.recent_from")
     # every song has a series, also one without plays in the window
-    feats = base.groupBy(song).agg(
-        F.count_if(used & new).alias("recent_sum"), F.count_if(used & ~new).alias("_past"))
-    feats = feats.filter(edges.getField("n") == recent + history).select(
+    feats = base.withColumn("_e", edges).groupBy(song).agg(
+        F.count_if(used & new).alias("recent_sum"), F.count_if(used & ~new).alias("_past"), F.max("_e.n").alias("_days"))
+    feats = feats.filter(F.col("_days") == recent + history).select(
         song, "recent_sum", (F.col("_past") / F.lit(float(history))).alias("hist_mean"))
     feats = feats.withColumn("trend_ratio", F.col("recent_sum") / (F.col("hist_mean") + F.lit(1e-6)))
-    ranked = average_rank_pct(feats, "trend_ratio")
-    return ranked.filter(F.col("percentile") >= pct).orderBy(F.desc("trend_ratio"), song).limit(top)
+    ranked = average_rank_pct(feats, "trend_ratio").filter(F.col("percentile") >= pct)
+    return ranked.orderBy(F.desc("trend_ratio"), song).limit(top) if top else ranked
 
 
 def with_authors(songs: DataFrame, df: DataFrame, song: str = "musicName", author: str = "musicAuthor") -> DataFrame:

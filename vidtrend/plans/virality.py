@@ -17,7 +17,7 @@ from vidtrend.functions import text
 from vidtrend.functions.scalars import calendar_fields, hours_between, in_zone, period_of_day, ratio
 from vidtrend.operators import aggregates, windows
 from vidtrend.operators.filters import quantile_keys
-from vidtrend.operators.scale import calendar_broadcast, exact_quantiles, quantile_scalars
+from vidtrend.operators.scale import calendar_broadcast, exact_quantiles, with_quantiles
 
 WEIGHTS = {"view_engagement": 0.3, "comment_velocity": 0.25, "commenter_diversity": 0.25, "relative_engagement": 0.2}
 
@@ -52,7 +52,7 @@ def viral_score(posts: DataFrame, rollup: DataFrame, post: str = "post_id", ts:
 
 
 def with_trending_flag(scored: DataFrame, col: str = "viral_score", prob: float = 0.8) -> DataFrame:
-    (cut,) = quantile_scalars(scored, col, [prob])
+    cut = exact_quantiles(scored, col, [prob]).scalar()
     return scored.withColumn("is_trending", F.col(col) >= cut)
 
 
@@ -108,16 +108,17 @@ def with_grams(df: DataFrame, tokens: str = "tokens", low: int = 1, high: int =
 def time_split(df: DataFrame, ts: str = "createTimeISO", fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Chronological split at an exact time quantile; no global sort."""
     stamped = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    (cut,) = quantile_scalars(stamped, "_t", [fraction])
+    cut = exact_quantiles(stamped, "_t", [fraction]).scalar()
     return stamped.filter(F.col("_t") <= cut).drop("_t"), stamped.filter(F.col("_t") > cut).drop("_t")
 
 
 def time_folds(df: DataFrame, ts: str = "createTimeISO", folds: int = 5) -> list[tuple[DataFrame, DataFrame]]:
     """Expanding-window folds cut at time quantiles (a fixed, small number of folds)."""
     stamped = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    cuts = quantile_scalars(stamped, "_t", [i / (folds + 1) for i in range(1, folds + 2)])
-    return [(stamped.filter(F.col("_t") <= cuts[i]).drop("_t"),
-             stamped.filter((F.col("_t") > cuts[i]) & (F.col("_t") <= cuts[i + 1])).drop("_t")) for i in range(folds)]
+    cut = with_quantiles(stamped, stamped, "_t", [i / (folds + 1) for i in range(1, folds + 2)])
+    at = lambda i: F.col(f"_q.p{i}")
+    return [(cut.filter(F.col("_t") <= at(i)).drop("_t", "_q"),
+             cut.filter((F.col("_t") > at(i)) & (F.col("_t") <= at(i + 1))).drop("_t", "_q")) for i in range(folds)]
 
 
 def regressor(**over) -> GBTRegressor:
@@ -131,7 +132,7 @@ def classifier(**over) -> GBTClassifier:
 
 
 def viral_labels(df: DataFrame, target: str = "viral_target", prob: float = 0.75, positive_weight: float = 3.0) -> DataFrame:
-    (cut,) = quantile_scalars(df, target, [prob])
+    cut = exact_quantiles(df, target, [prob]).scalar()
     return df.withColumn("is_viral", (F.col(target) > cut).cast("double")).withColumn(
         "weight", F.when(F.col("is_viral") == 1, positive_weight).otherwise(1.0))
 

@@ -243,7 +243,7 @@ def _(spark, d):
 
 @query("w10_average_rank_pct", _SURGE + """ SELECT s AS "musicName", R6(pct) AS percentile FROM p""")
 def _(spark, d):
-    return music.surges(t.song_history(spark, d), pct=0.0, top=1_000_000_000).select("musicName", "percentile")
+    return music.surges(t.song_history(spark, d), pct=0.0, top=None).select("musicName", "percentile")
 
 
 @query("w13_rolling_baseline", """WITH b AS (SELECT "musicName" AS s, CAST("createTimeISO" AS DATE) AS dd, count(*) AS n FROM song_history GROUP BY 1, 2),

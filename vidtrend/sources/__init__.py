@@ -1,12 +1,11 @@
-"""Logical tables, readers, cache and sinks."""
+"""Logical tables, readers, cache and sinks. Raw schemas are DDL text for ``spark.read.schema``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vidtrend.operators.joins import left_join_hot_right
 
@@ -17,17 +16,17 @@ _COMMON = (
     "collectCount BIGINT, commentCount BIGINT, isSponsored BOOLEAN, "
     "locationMeta STRUCT<address: STRING>"
 )
-RAW_POSTS = T.StructType.fromDDL(
+RAW_POSTS = (
     _COMMON + ", videoMeta STRUCT<duration: BIGINT>, searchHashtag STRUCT<name: STRING, views: BIGINT>, "
     "hashtags ARRAY<STRUCT<name: STRING, title: STRING>>, musicMeta STRUCT<musicID: STRING, "
     "musicName: STRING, musicAuthor: STRING, musicOriginal: BOOLEAN, playUrl: STRING>")
-RAW_PROFILES = T.StructType.fromDDL(
+RAW_PROFILES = (
     _COMMON + ", videoMeta ARRAY<STRUCT<duration: BIGINT>>, musicMeta STRUCT<musicID: STRING, "
     "musicName: STRING, musicAuthor: STRING, musicOriginal: BOOLEAN, playUrl: STRING>")
-RAW_COMMENTS = T.StructType.fromDDL(
+RAW_COMMENTS = (
     "id BIGINT, cid BIGINT, createTimeISO STRING, text STRING, diggCount BIGINT, "
     "replyCommentTotal BIGINT, uniqueId STRING")
-TRANSCRIPTS = T.StructType.fromDDL(
+TRANSCRIPTS = (
     "id BIGINT, detected_language STRING, transcribed_text STRING, video_description STRING, "
     "bucketUrl STRING")
 
@@ -95,7 +94,8 @@ def music(tag_posts: DataFrame, profile_posts: DataFrame, as_of, days: int = 30)
     def side(raw: DataFrame) -> DataFrame:
         rows = raw.select(F.col("id").alias("post_id"), _typed_time(raw).alias("createTimeISO"),
                           *[F.col(f"musicMeta.{f}").alias(f) for f in _MUSIC_FIELDS])
-        cutoff = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
+        anchor = as_of if isinstance(as_of, Column) else F.lit(as_of)
+        cutoff = anchor.cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
         return rows.filter(F.col("createTimeISO") >= cutoff)
     return side(tag_posts).unionByName(side(profile_posts)).distinct()
 
