@@ -5,7 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import zipfile
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import lru_cache
 
 from pyspark.find_spark_home import _find_spark_home
@@ -21,6 +21,14 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value: str | Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, also when ``use`` reads it in a lambda.
+
+    An expression that occurs inside a lambda is otherwise recomputed for every element.
+    """
+    return F.get(F.transform(F.array(_c(value)), use), F.lit(0))
+
+
 @lru_cache
 def _language_stop_words(language: str) -> tuple[str, ...]:
     """The list Spark ships for StopWordsRemover, read from its jar (needs no session)."""
@@ -90,7 +98,16 @@ def strip_digits_symbols(col: str | Column) -> Column:
 
 
 def ngrams(tokens: str | Column, n: int) -> Column:
-    tokens = _c(tokens)
+    return ngram_range(tokens, n, n)
+
+
+def ngram_range(tokens: str | Column, low: int, high: int) -> Column:
+    if low == high == 1:
+        return _c(tokens)
+    return bind(tokens, lambda ts: F.concat(*[_runs(ts, n) for n in range(low, high + 1)]))
+
+
+def _runs(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
     return F.when(
@@ -100,10 +117,6 @@ def ngrams(tokens: str | Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_range(tokens: str | Column, low: int, high: int) -> Column:
-    return F.concat(*[ngrams(tokens, n) for n in range(low, high + 1)])
-
-
 def hashtags(col: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(f"#({WORD}+)"), 1)
 
@@ -176,9 +189,9 @@ def matches_any(col: str | Column, patterns: Sequence[str]) -> Column:
 
 
 def contains_any(col: str | Column, terms: Sequence[str]) -> Column:
-    text = F.lower(_c(col))
-    return F.coalesce(F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t)),
-                      F.lit(False))
+    hit = bind(F.lower(_c(col)), lambda text: F.exists(
+        F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t)))
+    return F.coalesce(hit, F.lit(False))
 
 
 def time_of_day(col: str | Column, policy: str = "last") -> Column:

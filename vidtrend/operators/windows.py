@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vidtrend.functions import fixed
 from vidtrend.functions.scalars import safe_pct_change
+from vidtrend.functions.text import bind
 from vidtrend.operators.scale import scalar
 
 
@@ -126,13 +127,11 @@ def min_max(df: DataFrame, col: str, name: str) -> DataFrame:
 
 def without_repeats(array: str | Column) -> Column:
     """Array with consecutive equal elements reduced to one."""
-    a = F.col(array) if isinstance(array, str) else array
-    return F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1)))
+    return bind(array, lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1))))
 
 
 def adjacent_pairs(array: str | Column) -> Column:
     """Array of (from_step, to_step) for neighbouring elements."""
-    a = F.col(array) if isinstance(array, str) else array
-    return F.when(F.size(a) >= 2, F.transform(
+    return bind(array, lambda a: F.when(F.size(a) >= 2, F.transform(
         F.sequence(F.lit(0), F.size(a) - 2),
-        lambda i: F.struct(F.get(a, i).alias("from_step"), F.get(a, i + 1).alias("to_step"))))
+        lambda i: F.struct(F.get(a, i).alias("from_step"), F.get(a, i + 1).alias("to_step")))))

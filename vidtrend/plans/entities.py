@@ -55,26 +55,34 @@ def match(col: str | Column, dictionary: Mapping[str, Sequence[str]] | Sequence[
     value = F.coalesce(F.lower(F.col(col) if isinstance(col, str) else col), F.lit(""))
     value = F.replace(value, F.lit("’"), F.lit("'"))
     terms = sorted({t for t, _ in pairs})
-    if not whole_word:
-        found = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(value, t))
-        return F.array_sort(_canonicals(pairs, found))
+    find = _find_words if whole_word else _find_substrings
+    return F.array_sort(_canonicals(pairs, text.bind(value, lambda v: find(v, terms))))
+
+
+def _find_substrings(value: Column, terms: Sequence[str]) -> Column:
+    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(value, t))
+
+
+def _find_words(value: Column, terms: Sequence[str]) -> Column:
     longest = max(len(_key(t).split()) for t in terms)
-    seen = text.ngram_range(_words(value), 1, longest)
     plain = [t for t in terms if re.fullmatch(r"\w+", t)]
-    parts = []
-    if plain:
-        parts.append(F.array_intersect(seen, F.array(*[F.lit(t) for t in plain])))
     phrased = [t for t in terms if t not in set(plain)]
-    if phrased:
-        keys = sorted({_key(t) for t in phrased})
-        hits = F.array_intersect(seen, F.array(*[F.lit(k) for k in keys]))
-        for_key = {k: [t for t in phrased if _key(t) == k] for k in keys}
-        table = F.create_map(*[x for k, ts in for_key.items()
-                               for x in (F.lit(k), F.array(*[F.lit(t) for t in ts]))])
-        candidates = F.flatten(F.transform(hits, lambda k: table[k]))
-        quoted = lambda t: F.concat(F.lit(r"(?U)(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))
-        parts.append(F.filter(candidates, lambda t: F.regexp_like(value, quoted(t))))
-    return F.array_sort(_canonicals(pairs, F.concat(*parts) if len(parts) > 1 else parts[0]))
+    by_key: dict[str, list[str]] = {}
+    for t in phrased:
+        by_key.setdefault(_key(t), []).append(t)
+    quoted = lambda t: F.concat(F.lit(r"(?U)(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))
+
+    def from_runs(seen: Column) -> Column:
+        parts = [F.array_intersect(seen, F.array(*[F.lit(t) for t in plain]))] if plain else []
+        if phrased:
+            table = F.create_map(*[x for k, ts in by_key.items()
+                                   for x in (F.lit(k), F.array(*[F.lit(t) for t in ts]))])
+            keys = F.array_intersect(seen, F.array(*[F.lit(k) for k in by_key]))
+            candidates = F.flatten(F.transform(keys, lambda k: table[k]))
+            parts.append(F.filter(candidates, lambda t: F.regexp_like(value, quoted(t))))
+        return F.concat(*parts)
+
+    return text.bind(text.ngram_range(_words(value), 1, longest), from_runs)
 
 
 def match_rows(df: DataFrame, id_col: str, col: str, dictionary: DataFrame, max_words: int = 4) -> DataFrame:
@@ -106,14 +114,17 @@ def sequence(col: str, dictionary) -> Column:
     for term, name in pairs:
         keyed.setdefault(_key(term), name)
     table = F.create_map(*[F.lit(x) for kv in keyed.items() for x in kv])
-    words = _words(F.coalesce(F.lower(F.col(col)), F.lit("")))
     longest = max(len(k.split()) for k in keyed)
-    at = lambda i: F.coalesce(*[  # noqa: E731 - the longest term starting at word i wins
-        F.when(i + n - 1 <= F.size(words), F.try_element_at(table, F.array_join(F.slice(words, i, n), " ")))
-        for n in range(longest, 0, -1)])
-    places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(
-        F.array().cast("array<int>"))
-    return F.filter(F.transform(places, at), lambda x: x.isNotNull())
+
+    def walk(words: Column) -> Column:
+        at = lambda i: F.coalesce(*[  # noqa: E731 - the longest term starting at word i wins
+            F.when(i + n - 1 <= F.size(words), F.try_element_at(table, F.array_join(F.slice(words, i, n), " ")))
+            for n in range(longest, 0, -1)])
+        places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(
+            F.array().cast("array<int>"))
+        return F.filter(F.transform(places, at), lambda x: x.isNotNull())
+
+    return text.bind(_words(F.coalesce(F.lower(F.col(col)), F.lit(""))), walk)
 
 
 def sentiment_summary(df: DataFrame, key: str = "entity", sentiment: str = "sentiment", order: bool = True) -> DataFrame:

@@ -108,8 +108,8 @@ def tfidf_top(df: DataFrame, doc: str, tokens: Column, low: int = 2, high: int =
 def mentions(df: DataFrame, col: str, terms: DataFrame, term: str = "term", minimum: int = 3,
              max_terms: int = 1_000) -> DataFrame:
     """Texts that contain each term as a substring; ``terms`` is a short top-k table."""
-    found = df.select(F.explode(F.filter(term_array(terms, term, max_terms),
-                                         lambda t: F.contains(F.col(col), t))).alias(term))
+    found = df.withColumn("_terms", term_array(terms, term, max_terms)).select(
+        F.explode(F.filter("_terms", lambda t: F.contains(F.col(col), t))).alias(term))
     return found.groupBy(term).agg(F.count("*").alias("mentions")).filter(F.col("mentions") >= minimum)
 
 
@@ -142,9 +142,10 @@ def weekly_tfidf(df: DataFrame, doc: str = "post_id", col: str = "transcribed_te
 def phrase_hits(df: DataFrame, phrases: Sequence[str], *cols: str) -> DataFrame:
     """One row per (row, phrase) where any of the text columns contains the phrase."""
     words = F.array(*[F.lit(p.lower()) for p in phrases])
-    lowered = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in cols]
-    hit = lambda p: F.array_contains(F.array(*[F.contains(c, p) for c in lowered]), True)
-    return df.withColumn("phrase", F.explode(F.filter(words, hit)))
+    lowered = F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in cols])
+    hits = text.bind(lowered, lambda texts: F.filter(
+        words, lambda p: F.exists(texts, lambda x: F.contains(x, p))))
+    return df.withColumn("phrase", F.explode(hits))
 
 
 def phrase_shares(df: DataFrame, phrases: Sequence[str], cols: Sequence[str], ts: str, unit: str = "day",

@@ -29,9 +29,8 @@ def lexicon(df: DataFrame, id_col: str, col: str, lexicon: DataFrame, negations:
     ``lexicon`` has (token, valence). A word after a negation counts with the opposite sign.
     Only words of the lexicon leave the scan side; texts without any score zero.
     """
-    words = text.word_tokens(col, 1)
-    marked = F.transform(words, lambda w, i: F.struct(
-        w.alias("token"), F.when(F.get(words, i - 1).isin(list(negations)), -1.0).otherwise(1.0).alias("sign")))
+    marked = text.bind(text.word_tokens(col, 1), lambda words: F.transform(words, lambda w, i: F.struct(
+        w.alias("token"), F.when(F.get(words, i - 1).isin(list(negations)), -1.0).otherwise(1.0).alias("sign"))))
     hits = (df.select(id_col, F.explode(marked).alias("m")).select(id_col, "m.token", "m.sign")
             .join(checked_broadcast(lexicon.select("token", "valence")), "token"))
     sums = hits.groupBy(id_col).agg(F.sum(F.col("sign") * F.col("valence")).alias("_s"))

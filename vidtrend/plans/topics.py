@@ -151,8 +151,8 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def _unit(v: Column) -> Column:
-    d = v.cast("array<double>")
-    return F.transform(d, lambda x: F.try_divide(x, F.sqrt(_dot(d, d))))
+    norm = lambda d: text.bind(F.sqrt(_dot(d, d)), lambda n: F.transform(d, lambda x: F.try_divide(x, n)))
+    return text.bind(v.cast("array<double>"), norm)
 
 
 def merge_labels(names: DataFrame, pairs: DataFrame, topic: str = "topic", name: str = "name",
