@@ -194,9 +194,10 @@ def contains_any(col: str | Column, terms: Sequence[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def time_of_day(col: str | Column, policy: str = "last") -> Column:
+def time_of_day(col: str | Column, policy: str = "last",
+                words: Sequence[tuple[str, str]] = tuple(fixed.TIME_WORDS)) -> Column:
     """Morning or night by whole-word key phrases; the first or the last listed phrase wins."""
-    words = fixed.TIME_WORDS if policy == "first" else fixed.TIME_WORDS[::-1]
+    words = words if policy == "first" else words[::-1]
     text = F.lower(_c(col))
     out = None
     for word, label in words:

@@ -115,9 +115,9 @@ def classical_z_last(df: DataFrame, by: Sequence[str], order: str, value: str, l
 def z_normalised(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataFrame:
     stats = df.agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c)
                               for c in cols]).alias("s")).scalar()
-    return df.withColumns({
-        f"{c}{suffix}": (F.col(c) - stats.getField(c).getField("m"))
-        / (stats.getField(c).getField("s") + F.lit(1e-8)) for c in cols})
+    return df.withColumn("_stats", stats).withColumns({
+        f"{c}{suffix}": (F.col(c) - F.col(f"_stats.{c}.m")) / (F.col(f"_stats.{c}.s") + F.lit(1e-8))
+        for c in cols}).drop("_stats")
 
 
 def min_max(df: DataFrame, col: str, name: str) -> DataFrame:

@@ -207,7 +207,7 @@ def rake(df: DataFrame, doc: str, col: str, stop: Sequence[str], per_doc: int =
     # one row per (text, word) with the list length summed: degree counts the word's phrases' lengths
     stats = each.groupBy(doc, "word").agg((F.sum("len") / F.count("*")).alias("word_score"))
     scored = each.join(stats, [doc, "word"]).groupBy(doc, "at", "phrase").agg(F.sum("word_score").alias("score"))
-    return top_n(scored, [doc], [F.desc("score"), F.desc("phrase"), F.col("at")], per_doc)
+    return top_n(scored, [doc], [F.desc(F.round("score", 6)), F.desc("phrase"), F.col("at")], per_doc)
 
 
 def rake_trends(df: DataFrame, doc: str, col: str, stop: Sequence[str], per_doc: int = 3, min_words: int = 2,

@@ -257,11 +257,11 @@ def _(spark, d):
 
 _RAKE = rf"""WITH m AS (SELECT post_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_''\s]+', ' | ', 'g') AS x FROM posts),
  r AS (SELECT post_id, list_filter(list_transform(string_split(array_to_string(list_transform({q.whitespace_tokens('x')}, lambda x: CASE WHEN x IN ({q.quoted(STOP)}) THEN '|' ELSE x END), ' '), '|'), lambda y: trim(y)), lambda y: y <> '') AS ph FROM m),
- p AS (SELECT post_id, unnest(ph) AS phrase, generate_subscripts(ph, 1) AS at FROM r),
- e AS (SELECT post_id, at, phrase, len(string_split(phrase, ' ')) AS ln, unnest(string_split(phrase, ' ')) AS word FROM p),
+ p AS (SELECT post_id, unnest(ph) AS phrase, generate_subscripts(ph, 1) AS pos FROM r),
+ e AS (SELECT post_id, pos, phrase, len(string_split(phrase, ' ')) AS ln, unnest(string_split(phrase, ' ')) AS word FROM p),
  st AS (SELECT post_id, word, sum(ln) / count(*) AS ws FROM e GROUP BY 1, 2),
- sc AS (SELECT post_id, at, phrase, sum(ws) AS score FROM e JOIN st USING (post_id, word) GROUP BY 1, 2, 3),
- top AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY round(score, 6) DESC, phrase DESC, at) AS rank FROM sc)"""
+ sc AS (SELECT post_id, pos, phrase, sum(ws) AS score FROM e JOIN st USING (post_id, word) GROUP BY 1, 2, 3),
+ top AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY round(score, 6) DESC, phrase DESC, pos) AS rank FROM sc)"""
 
 
 @query("t22_rake_trends", _RAKE + """ SELECT phrase, count(*) AS n FROM top WHERE rank <= 3 AND len(string_split(phrase, ' ')) BETWEEN 2 AND 5 GROUP BY 1 HAVING count(*) >= 1 ORDER BY 2 DESC, 1 LIMIT 20""")
