@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidtrend.operators.scale import row_positions, scalar
+from vidtrend.session import cut_lineage
 
 
 def left_join_hot_right(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -61,15 +62,13 @@ def pairs_in_group(df: DataFrame, group: str, item: str, min_support: int = 1,
     """
     rows = df.select(group, item).na.drop().distinct()
     rows = _frequent(rows, item, min_support)
-    sized = rows.join(rows.groupBy(group).agg(F.count("*").alias("_size")), group)
+    sized = cut_lineage(rows.join(rows.groupBy(group).agg(F.count("*").alias("_size")), group))
     light = sized.filter(F.col("_size") <= heavy).drop("_size")
     big = sized.filter(F.col("_size") > heavy).drop("_size")
+    if not big.limit(1).count():
+        return _light_pairs(light, group, item).filter(F.col("n") >= min_support)
     groups = F.coalesce(scalar(big, F.count_distinct(group)), F.lit(0))
-
-    other = light.select(group, F.col(item).alias("_b"))
-    near = (light.join(other, group).filter(F.col(item) < F.col("_b"))
-            .groupBy(F.col(item).alias("a"), F.col("_b").alias("b")).agg(F.count("*").alias("n"))
-            .filter(F.col("n") + groups >= min_support))
+    near = _light_pairs(light, group, item).filter(F.col("n") + groups >= min_support)
     in_big = (near.join(big.select(F.col(item).alias("a"), group), "a")
               .join(big.select(F.col(item).alias("b"), group), ["b", group])
               .groupBy("a", "b").agg(F.count("*").alias("_more")))
@@ -87,6 +86,12 @@ def pairs_in_group(df: DataFrame, group: str, item: str, min_support: int = 1,
     return near.unionByName(far).filter(F.col("n") >= min_support)
 
 
+def _light_pairs(light: DataFrame, group: str, item: str) -> DataFrame:
+    other = light.select(group, F.col(item).alias("_b"))
+    return (light.join(other, group).filter(F.col(item) < F.col("_b"))
+            .groupBy(F.col(item).alias("a"), F.col("_b").alias("b")).agg(F.count("*").alias("n")))
+
+
 def _frequent(rows: DataFrame, item: str, min_support: int) -> DataFrame:
     items = rows.groupBy(item).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_support)
     return rows.join(items.select(item), item, "left_semi")

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vidtrend.session import cut_lineage
+
 BROADCAST_ROWS = 100_000
 BUCKETS = 64
 
@@ -84,6 +86,8 @@ def running_total(
     ``buckets + 1`` rows per group and only the inside of a bucket is windowed.
     """
     by = list(by)
+    # read three times below: written once, so the tables behind it are scanned once
+    df = cut_lineage(df)
     lead = F.col(order[0])
     kind = dict(df.dtypes)[order[0]]
     if kind == "date":
@@ -91,13 +95,12 @@ def running_total(
     elif kind.startswith("timestamp"):
         lead = F.unix_micros(lead.cast("timestamp"))
     lead = lead.cast("double")
-    cuts = F.percentile_approx(lead, [(i + 1) / buckets for i in range(buckets - 1)], 10_000)
+    cuts = F.percentile_approx(lead, [(i + 1) / buckets for i in range(buckets - 1)], 1_000)
     if by:
         keyed = df.join(df.groupBy(*by).agg(cuts.alias("_cuts")), by)
     else:
         keyed = df.withColumn("_cuts", scalar(df, cuts))
-    keyed = keyed.withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < lead))).drop("_cuts")
+    keyed = keyed.withColumn("_bucket", _bucket_of(F.col("_cuts"), lead, buckets)).drop("_cuts")
     sums = keyed.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_sum"))
     # without a key the bucket table has at most `buckets` rows in all
     over_buckets = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
@@ -114,6 +117,15 @@ def running_total(
     ).drop("_bucket", "_offset")
 
 
+def _bucket_of(cuts: Column, value: Column, buckets: int) -> Column:
+    """Number of cuts below the value, by a two-level search that stays in generated code."""
+    step = max(1, round(buckets ** 0.5))
+    below = lambda i: F.when(F.get(cuts, i) < value, 1).otherwise(0)
+    count = lambda terms: sum(terms, F.lit(0))
+    block = count([below(F.lit(i)) for i in range(step - 1, buckets - 1, step)])
+    return block * step + count([below(block * step + k) for k in range(step - 1)])
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
     names: Sequence[str] | None = None, buckets: int = BUCKETS,

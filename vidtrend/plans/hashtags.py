@@ -32,9 +32,12 @@ def rounded(col: Column, digits: int = 2) -> Column:
 
 def _weeks(df: DataFrame, ts: str, weeks: int, as_of=None) -> DataFrame:
     """Rows of the last ``weeks`` seven-day windows with their window number (0 = newest)."""
-    newest = scalar(df, F.max(F.to_date(ts))) if as_of is None else F.lit(as_of).cast("date")
     day = F.to_date(ts)
-    return df.filter((day > F.date_sub(newest, 7 * weeks)) & (day <= newest)).withColumns(
+    newest = scalar(df, F.max(day)) if as_of is None else F.lit(as_of).cast("date")
+    recent = df.filter(day > F.date_sub(newest, 7 * weeks))
+    if as_of is not None:
+        recent = recent.filter(day <= newest)
+    return recent.withColumns(
         {"post_date": day, "week_no": F.floor(F.datediff(newest, day) / 7).cast("int")})
 
 
@@ -59,6 +62,8 @@ def share_trends(df: DataFrame, key: str = TAG, post: str = "post_id", ts: str =
     if weeks > 2:
         shares = shares.withColumn("last_week_trend_pct", rounded(relative_change(names[1], names[2])))
     if labels:
+        # one row per key; read again for the quantiles, so the posts are not scanned again
+        shares = cut_lineage(shares)
         shares = with_quantiles(shares, shares, "trend_change_pct", [0.25, 0.75])
         q1, q3 = F.col("_q.p0"), F.col("_q.p1")
         low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)

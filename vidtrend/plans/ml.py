@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vidtrend.functions.scalars import LIKES_SHARES_COMMENTS, calendar_fields, engagement, week_start
 from vidtrend.operators import windows
 from vidtrend.operators.scale import exact_quantiles, scalar
+from vidtrend.session import cut_lineage
 
 DAILY = ("post_count", "likes", "shares", "plays", "posts_7")
 CONFIDENCE_BANDS = ("⚠️ Unlikely to Perform Well", "🤔 Uncertain Performance", "👍 Likely to Perform OK",
@@ -152,15 +153,17 @@ def tag_impact(coefficients: DataFrame, df: DataFrame, post: str = "post_id", ta
         post, "tag", F.coalesce("coefficient", F.lit(0.0)).alias("estimated_impact"))
 
 
-def soft_vote(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 50) -> DataFrame:
+def soft_vote(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 50,
+              rounds: int = 20) -> DataFrame:
     """Mean positive probability of forest, two boosted models, logistic and linear SVM."""
     prepare = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="skip"),
                                StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]).fit(train)
-    fitted, out = prepare.transform(train), prepare.transform(test)
+    # five fits read the same rows: written once, not recomputed
+    fitted, out = cut_lineage(prepare.transform(train)), prepare.transform(test)
     models = {
         "rf": RandomForestClassifier(labelCol=label, numTrees=trees, seed=42),
-        "gbt": GBTClassifier(labelCol=label, maxIter=20, maxDepth=5, stepSize=0.1, seed=42),
-        "gbt_deep": GBTClassifier(labelCol=label, maxIter=15, maxDepth=7, stepSize=0.1, seed=43),
+        "gbt": GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=5, stepSize=0.1, seed=42),
+        "gbt_deep": GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=7, stepSize=0.1, seed=43),
         "lr": LogisticRegression(labelCol=label, maxIter=100), "svm": LinearSVC(labelCol=label, maxIter=50)}
     for name, algorithm in models.items():
         out = algorithm.fit(fitted).transform(out)

@@ -16,6 +16,7 @@ from vidtrend.operators import aggregates, dedupe, filters, windows
 from vidtrend.operators.scale import calendar_broadcast, exact_quantiles, scalar, top_n
 from vidtrend.functions.scalars import week_start
 from vidtrend.plans.keywords import term_array
+from vidtrend.session import cut_lineage
 
 NOISE = -1
 
@@ -57,7 +58,8 @@ def fit(df: DataFrame, vector: str = "vector", k: int = 20, min_size: int = 20,
     placed = model.transform(df).join(F.broadcast(centres), "_cluster")  # k rows
     gap = F.aggregate(F.zip_with(vector_to_array("_vec"), "_centre", lambda x, y: (x - y) * (x - y)),
                       F.lit(0.0), lambda a, x: a + x)
-    placed = placed.withColumn("distance", F.sqrt(gap)).drop("_centre", "_vec")
+    # read again for the cut, the sizes and by every later report: written once, not recomputed
+    placed = cut_lineage(placed.withColumn("distance", F.sqrt(gap)).drop("_centre", "_vec"))
     cut = exact_quantiles(placed, "distance", [far], names=["cut"]).scalar()
     sizes = placed.groupBy("_cluster").agg(F.count("*").alias("_size"), F.max("distance").alias("_far"))
     out = placed.join(F.broadcast(sizes), "_cluster")  # at most k rows
@@ -81,14 +83,15 @@ def keywords(df: DataFrame, tokens: str, topic: str = "topic", k: int = 5, commo
     return top_n(scored.select(topic, "word", "score"), [topic], [F.desc("score"), F.col("word")], k)
 
 
-def coherence(df: DataFrame, tokens: str, words: DataFrame, topic: str = "topic", max_words: int = 20_000) -> DataFrame:
+def coherence(df: DataFrame, id_col: str, tokens: str, words: DataFrame, topic: str = "topic", max_words: int = 20_000) -> DataFrame:
     """Mean normalised pointwise mutual information of the topic's keyword pairs.
 
     A text is first reduced to its keywords; pairs are formed within the (about ten) keywords of
     one topic in one text.
     """
     listed = term_array(words.select("word").distinct(), "word", max_words)
-    docs = df.select(F.monotonically_increasing_id().alias("_doc"), F.array_intersect(F.col(tokens), listed).alias("_w"))
+    docs = df.withColumn("_all", listed).select(
+        F.col(id_col).alias("_doc"), F.array_intersect(F.col(tokens), F.col("_all")).alias("_w"))
     total = scalar(df, F.count("*"))
     hits = docs.select("_doc", F.explode("_w").alias("word")).join(words.select(topic, "word"), "word")
     single = docs.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -141,9 +144,9 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, minimum: float = 0.9,
     few = unit.limit(max_rows + 1).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "u")).alias("t"))
     table = few.select(F.when(F.size("t") <= max_rows, F.col("t")).otherwise(
         F.raise_error(F.lit("too many topics")).cast(few.schema["t"].dataType))).scalar()
-    near = F.filter(F.transform(table, lambda o: F.struct(o["id"].alias("b"), _dot(F.col("u"), o["u"]).alias("cosine"))),
+    near = F.filter(F.transform("_all", lambda o: F.struct(o["id"].alias("b"), _dot(F.col("u"), o["u"]).alias("cosine"))),
                     lambda o: (o["b"] > F.col(id_col)) & (o["cosine"] > minimum))
-    return unit.withColumn("o", F.explode(near)).select(F.col(id_col).alias("a"), "o.b", "o.cosine")
+    return unit.withColumn("_all", table).withColumn("o", F.explode(near)).select(F.col(id_col).alias("a"), "o.b", "o.cosine")
 
 
 def _dot(a: Column, b: Column) -> Column:

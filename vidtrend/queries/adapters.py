@@ -9,9 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vidtrend.sources import spread_small_scan
+
+
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_small_scan(df, _TEXT_KEYS[name]) if name in _TEXT_KEYS else df
 
 
 def tag_posts(spark, folder) -> DataFrame:

@@ -9,6 +9,7 @@ from vidtrend.plans import ml, virality
 from vidtrend.queries import adapters as t
 from vidtrend.queries.registry import query
 from vidtrend.queries.text_queries import STOP
+from vidtrend.session import cut_lineage
 
 NUM = ["author_fans", "video_duration", "word_count", "hour_posting", "is_ad"]
 DAILY_SQL = """WITH p AS (SELECT hashtag_name, CAST("createTimeISO" AS DATE) AS dd, post_id, max("diggCount") AS l, max("shareCount") AS s, max("playCount") AS pl FROM tag_posts GROUP BY 1, 2, 3),
@@ -18,7 +19,7 @@ DAILY_SQL = """WITH p AS (SELECT hashtag_name, CAST("createTimeISO" AS DATE) AS
 
 
 def _features(spark, d):
-    return virality.features(t.posts(spark, d), stop=STOP)
+    return cut_lineage(virality.features(t.posts(spark, d), stop=STOP))
 
 
 @query("m1_feature_assembly")
@@ -105,7 +106,7 @@ def _(spark, d):
 
 def _engagement(spark, d):
     p = t.tag_posts(spark, d).withColumns({"tags": F.array("hashtag_name"), "tokens": text.word_tokens("text")})
-    return ml.tag_popularity(ml.engagement_labels(p))
+    return cut_lineage(ml.tag_popularity(ml.engagement_labels(p)))
 
 
 @query("m10_engagement_labels", """WITH e AS (SELECT *, "diggCount" + "shareCount" + "commentCount" AS e FROM tag_posts), u AS (SELECT hashtag_name, count(*) AS n FROM tag_posts GROUP BY 1)
@@ -134,7 +135,7 @@ def _(spark, d):
 @query("m13_soft_vote")
 def _(spark, d):
     train, test = ml.hash_split(_engagement(spark, d), "post_id")
-    out = ml.soft_vote(train, test, ["playCount", "hour", "dayofweek", "avg_tag_popularity"], trees=10)
+    out = ml.soft_vote(train, test, ["playCount", "hour", "dayofweek", "avg_tag_popularity"], trees=5, rounds=3)
     return out.select("post_id", "probability_mean", "prediction")
 
 

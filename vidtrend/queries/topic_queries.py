@@ -7,6 +7,7 @@ from vidtrend.plans import topics, trends
 from vidtrend.queries import adapters as t
 from vidtrend.queries.registry import query
 from vidtrend.queries.text_queries import STOP
+from vidtrend.session import cut_lineage
 
 _SERIES = """ser AS (SELECT topic, CAST("createTimeISO" AS DATE) AS dd, count(*) AS n FROM topic_posts GROUP BY 1, 2)"""
 _Z = _SERIES + """, tot AS (SELECT dd, sum(n) AS tt FROM ser GROUP BY 1),
@@ -79,7 +80,7 @@ def _(spark, d):
 
 def _prepared(spark, d):
     p = t.posts(spark, d).filter(F.col("textLanguage") == "en")
-    return p.select("post_id", "createTimeISO", "text", text.clean_tokens("text", STOP).alias("tokens"))
+    return cut_lineage(p.select("post_id", "createTimeISO", "text", text.clean_tokens("text", STOP).alias("tokens")))
 
 
 def _fitted(spark, d):
@@ -102,7 +103,7 @@ def _(spark, d):
 def _(spark, d):
     fitted = _fitted(spark, d)
     words = topics.keywords(fitted, "tokens", k=10)
-    return topics.labels(words).join(topics.coherence(fitted, "tokens", words), "topic")
+    return topics.labels(words).join(topics.coherence(fitted, "post_id", "tokens", words), "topic")
 
 
 @query("t27_t28_t30_topic_summary")

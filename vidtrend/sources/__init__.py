@@ -119,6 +119,15 @@ def run_sql_file(spark: SparkSession, path: str, views: Mapping[str, DataFrame]
     return spark.sql(text.strip().rstrip(";"), args=params)
 
 
+def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
+    """Repartition a text table whose files give fewer tasks than there are cores.
+
+    A large table has far more splits than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() <= cores else df
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
