@@ -207,7 +207,7 @@ def time_of_day(col: str | Column, policy: str = "last",
 
 
 def country_of(address: str | Column) -> Column:
-    found = F.trim(F.regexp_extract(_c(address), r"([^,]+)$", 1))
+    found = F.trim(F.substring_index(_c(address), ",", -1))
     return F.when(found == "", F.lit(None)).otherwise(found)
 
 

@@ -77,7 +77,7 @@ def group_total(df: DataFrame, by: Sequence[str], aggregate: Column, name: str,
 
 def running_total(
     df: DataFrame, order: Sequence[str], weight: str, by: Sequence[str] = (),
-    before: str = "before", total: str = "total", buckets: int = BUCKETS,
+    before: str = "before", total: str = "total", buckets: int = BUCKETS, written: bool = False,
 ) -> DataFrame:
     """Exact sum of ``weight`` over the rows that sort before each row of its group.
 
@@ -87,7 +87,7 @@ def running_total(
     """
     by = list(by)
     # read three times below: written once, so the tables behind it are scanned once
-    df = cut_lineage(df)
+    df = df if written else cut_lineage(df)
     lead = F.col(order[0])
     kind = dict(df.dtypes)[order[0]]
     if kind == "date":
@@ -128,13 +128,19 @@ def _bucket_of(cuts: Column, value: Column, buckets: int) -> Column:
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-    names: Sequence[str] | None = None, buckets: int = BUCKETS,
+    names: Sequence[str] | None = None, buckets: int = BUCKETS, counted: str | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles, one row per group (one row in all without ``by``)."""
+    """Linear-interpolated quantiles, one row per group (one row in all without ``by``).
+
+    With ``counted`` the input is already a written table of distinct values and their counts.
+    """
     names = list(names or [f"q{round(p * 1000):04d}" for p in probs])
-    counts = (df.filter(F.col(value).isNotNull())
-              .groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
-    ranked = running_total(counts, ["_v"], "_n", by, "_before", "_total", buckets)
+    present = df.filter(F.col(value).isNotNull())
+    if counted:
+        counts = present.select(*by, F.col(value).alias("_v"), F.col(counted).alias("_n"))
+    else:
+        counts = present.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = running_total(counts, ["_v"], "_n", by, "_before", "_total", buckets, bool(counted))
     value_at = lambda rank: F.max(F.when(
         (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")),
         F.col("_v").cast("double")))
@@ -149,6 +155,16 @@ def exact_quantiles(
         for i, n in enumerate(names)])
 
 
+def value_profile(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float], names: Sequence[str],
+                  count: str = "n", mean: str = "mean") -> DataFrame:
+    """Row count, mean and exact quantiles per group from one scan (through value counts)."""
+    by = list(by)
+    counts = cut_lineage(df.na.drop(subset=by).groupBy(*by, value).agg(F.count("*").alias("_c")))
+    seen = F.when(F.col(value).isNotNull(), F.col("_c"))
+    base = counts.groupBy(*by).agg(F.sum("_c").alias(count), (F.sum(F.col(value) * F.col("_c")) / F.sum(seen)).alias(mean))
+    return base.join(exact_quantiles(counts, value, probs, by, names, counted="_c"), by)
+
+
 def with_quantiles(df: DataFrame, source: DataFrame, value: str, probs: Sequence[float],
                    name: str = "_q") -> DataFrame:
     """Adds a struct column (p0, p1, ...) of the quantiles of a whole table ``source``.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vidtrend.functions import text
 from vidtrend.functions.scalars import LIKES_SHARES_COMMENTS, engagement, engagement_rate
 from vidtrend.operators import dedupe, filters
-from vidtrend.operators.scale import calendar_broadcast, exact_quantiles
+from vidtrend.operators.scale import exact_quantiles, value_profile
 from vidtrend.plans import keywords
 
 
@@ -53,8 +53,7 @@ def comment_phrases(df: DataFrame, col: str = "comment", tie: str = "comment_id"
 def ad_split(df: DataFrame, flag: str = "isAd") -> DataFrame:
     """Engagement rate by flag: posts, mean and quartiles."""
     rated = df.withColumn("rate", engagement_rate()).filter(F.col("rate").isNotNull() & F.col(flag).isNotNull())
-    means = rated.groupBy(flag).agg(F.count("*").alias("posts"), F.avg("rate").alias("mean_rate"))
-    return means.join(exact_quantiles(rated, "rate", [0.25, 0.5, 0.75], [flag], ["q25", "median", "q75"]), flag)
+    return value_profile(rated, "rate", [flag], [0.25, 0.5, 0.75], ["q25", "median", "q75"], "posts", "mean_rate")
 
 
 def flag_mismatch(df: DataFrame) -> DataFrame:
@@ -65,9 +64,7 @@ def flag_mismatch(df: DataFrame) -> DataFrame:
 def comment_lengths(df: DataFrame, col: str = "comment", ts: str = "createTimeISO") -> DataFrame:
     """Comments, mean and median length per day."""
     rows = df.filter(F.col(col).isNotNull()).select(F.to_date(ts).alias("date"), F.length(col).alias("length"))
-    base = rows.groupBy("date").agg(F.count("*").alias("comments"), F.avg("length").alias("mean_length"))
-    medians = exact_quantiles(rows, "length", [0.5], ["date"], ["median_length"])
-    return base.join(calendar_broadcast(medians), "date")
+    return value_profile(rows, "length", ["date"], [0.5], ["median_length"], "comments", "mean_length")
 
 
 def lengths_by_label(df: DataFrame, col: str, label: str, prob: float = 0.95) -> DataFrame:

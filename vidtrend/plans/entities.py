@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vidtrend.functions import text
 from vidtrend.operators import aggregates, windows
-from vidtrend.operators.scale import best, checked_broadcast
+from vidtrend.operators.scale import best, calendar_broadcast, checked_broadcast
 
 MAX_LITERAL_TERMS = 5_000
 LABELS = ("negative", "neutral", "positive")
@@ -163,7 +163,7 @@ def daily_mentions(df: DataFrame, col: str, dictionary, ts: str, post: str, top:
     posts = dated.select("date", post).distinct().groupBy("date").agg(F.count("*").alias("posts"))
     counts = hits.join(F.broadcast(leaders.select("entity")), "entity").groupBy("date", "entity").agg(
         F.count("*").alias("mentions"))
-    return counts.join(F.broadcast(posts), "date").withColumn("relative", F.col("mentions") / F.col("posts"))
+    return counts.join(calendar_broadcast(posts), "date").withColumn("relative", F.col("mentions") / F.col("posts"))
 
 
 def engagement_by_entity(df: DataFrame, col: str, dictionary, rate: Column, minimum: int = 20) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vidtrend.functions import fixed, text
 from vidtrend.functions.scalars import in_zone, lookup
-from vidtrend.operators.scale import exact_quantiles
+from vidtrend.operators.scale import value_profile
 
 
 def with_country(df: DataFrame, address: str = "location_address",
@@ -19,11 +19,8 @@ def with_country(df: DataFrame, address: str = "location_address",
 
 def country_metrics(df: DataFrame, plays: str = "playCount", k: int = 10) -> DataFrame:
     """Posts, mean and median plays of the countries with most posts."""
-    base = df.filter(F.col("country").isNotNull())
-    top = base.groupBy("country").agg(F.count("*").alias("posts"), F.avg(plays).alias("mean_plays")).orderBy(
-        F.desc("posts"), "country").limit(k)
-    kept = base.join(F.broadcast(top.select("country")), "country", "left_semi")
-    return top.join(exact_quantiles(kept, plays, [0.5], ["country"], ["median_plays"]), "country")
+    table = value_profile(df, plays, ["country"], [0.5], ["median_plays"], "posts", "mean_plays")
+    return table.orderBy(F.desc("posts"), "country").limit(k)
 
 
 def local_hours(df: DataFrame, ts: str = "createTimeISO", zones: Mapping[str, str] = fixed.TIME_ZONES) -> DataFrame:

@@ -11,6 +11,7 @@ from vidtrend.functions import text
 from vidtrend.functions.scalars import week_start
 from vidtrend.operators import aggregates, filters, windows
 from vidtrend.operators.scale import calendar_broadcast, row_positions, scalar, top_n
+from vidtrend.session import cut_lineage
 
 
 def grams(df: DataFrame, tokens: Column, n: int, keys: Sequence[str | Column] = (),
@@ -125,7 +126,8 @@ def weekly_tfidf(df: DataFrame, doc: str = "post_id", col: str = "transcribed_te
                  max_features: int | None = 100_000, stop: Sequence[str] = ()) -> DataFrame:
     """Trending n-grams of each recent week with summed TF-IDF and the texts that mention them."""
     recent = filters.recent_days(df.filter(F.col(col).isNotNull()), ts, days)
-    texts = recent.select(doc, week_start(ts).alias("week"), text.clean(col, stop).alias("clean"))
+    # cleaned once; the weights and the mention counts both read it
+    texts = cut_lineage(recent.select(doc, week_start(ts).alias("week"), text.clean(col, stop).alias("clean")))
     weights = tfidf(texts, doc, text.whitespace_tokens("clean"), n[0], n[1], ["week"], max_features)
     scores = weights.groupBy("week", "term").agg(F.sum("weight").alias("score"))
     best = top_n(scores, ["week"], [F.desc("score"), F.col("term")], top)
