@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vidtrend.llm import byte_bpe, compression_bands, unigram_count, vector_top_k
+from vidtrend.llm import byte_bpe, compression_bands, source_mix, unigram_count, vector_top_k
 from vidtrend.llm.common import table
 from vidtrend.llm.registry import query
 
@@ -48,3 +48,8 @@ def op9(spark, folder):
 def op10(spark, folder):
     pieces, unknown = unigram_count.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return unigram_count.token_counts(table(spark, folder, "documents"), "text", ["doc_id"], pieces, unknown)
+
+
+@query("op3_source_mix", source_mix.SQL)
+def op3(spark, folder):
+    return source_mix.mix(table(spark, folder, "documents"), "doc_id", "source", "text")[1].drop("source")
