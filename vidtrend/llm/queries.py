@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vidtrend.llm import byte_bpe, compression_bands, source_mix, unigram_count, vector_top_k
+from vidtrend.llm import byte_bpe, capture_index, compression_bands, source_mix, unigram_count, vector_top_k
 from vidtrend.llm.common import table
 from vidtrend.llm.registry import query
 
@@ -53,3 +53,11 @@ def op10(spark, folder):
 @query("op3_source_mix", source_mix.SQL)
 def op3(spark, folder):
     return source_mix.mix(table(spark, folder, "documents"), "doc_id", "source", "text")[1].drop("source")
+
+
+@query("op4_warc_capture_index", capture_index.SQL)
+def op4(spark, folder):
+    captures, archives = capture_index.write_archives(table(spark, folder, "pages"), "page_id", "url", "html")
+    shards, index = capture_index.build_index(captures)
+    found = capture_index.lookup(captures.select("key", "page_id").distinct(), shards, index)
+    return capture_index.read_records(found, archives)
