@@ -5,11 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from vidtrend.session import cut_lineage, ensure_checkpoint_dir
+from vidtrend.session import ensure_checkpoint_dir
 
 #: The characters between words: \x20 and \x09 to \x0D, as a regular expression class.
 BREAKS = r"[\x20\x09-\x0D]+"
@@ -46,7 +49,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, per_text, schema: str)
     is local to a task; it sees one whole text at a time.
     """
     kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
-    new = df.sparkSession.createDataFrame([], schema).schema
+    new = StructType.fromDDL(schema)
     full = kept.drop("_text").schema
     for field in new:
         full = full.add(field)
@@ -63,11 +66,30 @@ def map_texts(df: DataFrame, keep: list[str], text: str, per_text, schema: str)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(
                 [*list(batch.schema)[:-1], *[pa.field(n, k) for n, k in zip(names, kinds)]]))
 
-    from pyspark.sql.pandas.types import to_arrow_type
     kinds = [to_arrow_type(f.dataType) for f in new]
     return kept.mapInArrow(work, full)
 
 
+def partition_sums(df: DataFrame, per_batch, size: int):
+    """Sum of the vectors of length ``size`` that ``per_batch`` returns, first inside each task.
+
+    Only the final vector, whose length does not depend on the data, comes to the driver.
+    """
+    def work(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += per_batch(batch)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "value"])
+
+    rows = df.mapInArrow(work, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(size)
+    for row in rows:
+        out[row["at"]] = row["value"]
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text (0 for null), inside the JVM."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
@@ -121,6 +143,3 @@ def ordered_prefix(df: DataFrame, by: list[str], order: list[str], weight: str,
             .withColumn(name, F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
             .drop("_bucket", "_offset"))
 
-
-__all__ = ["BREAKS", "connected_components", "cut_lineage", "map_texts", "ordered_prefix", "shared_folder",
-           "slices", "stored", "table", "word_count"]

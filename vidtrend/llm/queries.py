@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vidtrend.llm import byte_bpe, capture_index, compression_bands, source_mix, unigram_count, vector_top_k
+from vidtrend.llm import (byte_bpe, capture_index, compression_bands, quality_score, source_mix, toxicity, unigram_count,
+                          vector_top_k)
 from vidtrend.llm.common import table
 from vidtrend.llm.registry import query
 
@@ -61,3 +62,15 @@ def op4(spark, folder):
     shards, index = capture_index.build_index(captures)
     found = capture_index.lookup(captures.select("key", "page_id").distinct(), shards, index)
     return capture_index.read_records(found, archives)
+
+
+@query("op2_fourier_quality")
+def op2(spark, folder):
+    return quality_score.quality(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id", "text", "quality")
+
+
+@query("op6_ordinal_toxicity")
+def op6(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.train_model(docs, table(spark, folder, "labels"), "doc_id", "text", "toxic")
+    return toxicity.score(docs, "text", ["doc_id"], model)
