@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vidtrend.llm import (byte_bpe, capture_index, compression_bands, quality_score, source_mix, toxicity, unigram_count,
+from vidtrend.llm import (byte_bpe, capture_index, compression_bands, quality_score, shingle_join, source_mix, toxicity, unigram_count,
                           vector_top_k)
 from vidtrend.llm.common import table
 from vidtrend.llm.registry import query
@@ -74,3 +74,8 @@ def op6(spark, folder):
     docs = table(spark, folder, "documents")
     model = toxicity.train_model(docs, table(spark, folder, "labels"), "doc_id", "text", "toxic")
     return toxicity.score(docs, "text", ["doc_id"], model)
+
+
+@query("op7_shingle_join", shingle_join.SQL)
+def op7(spark, folder):
+    return shingle_join.near_duplicates(table(spark, folder, "documents"), "doc_id", "text")
