@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vidtrend.llm import (byte_bpe, capture_index, compression_bands, quality_score, shingle_join, source_mix, toxicity, unigram_count,
+from vidtrend.llm import (byte_bpe, capture_index, compression_bands, personal_data, quality_score, shingle_join, source_mix, toxicity, unigram_count,
                           vector_top_k)
 from vidtrend.llm.common import table
 from vidtrend.llm.registry import query
@@ -79,3 +79,9 @@ def op6(spark, folder):
 @query("op7_shingle_join", shingle_join.SQL)
 def op7(spark, folder):
     return shingle_join.near_duplicates(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("op5_weak_personal_data")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return personal_data.report(personal_data.annotate(docs, "text", personal_data.fit(docs, "text")), ["doc_id"])
