@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from vidtrend.llm.common import slices
 
@@ -208,7 +209,7 @@ def encode(docs: DataFrame, text: str, keep: Sequence[str], ranks: dict[bytes, i
             yield pa.RecordBatch.from_arrays([*columns, pa.array(run(texts), pa.binary())],
                                              names=[*batch.schema.names[:-1], ids])
 
-    return kept.mapInArrow(work, kept.drop("_text").schema.add(ids, "binary"))
+    return kept.mapInArrow(work, StructType([*kept.schema.fields[:-1], StructField(ids, BinaryType())]))
 
 
 def decode(encoded: DataFrame, ids: str, ranks: dict[bytes, int], decoded: str = "decoded") -> DataFrame:
@@ -223,13 +224,13 @@ def decode(encoded: DataFrame, ids: str, ranks: dict[bytes, int], decoded: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())],
                                              names=[*batch.schema.names, decoded])
 
-    return encoded.mapInArrow(work, encoded.select("*").schema.add(decoded, "binary"))
+    return encoded.mapInArrow(work, StructType([*encoded.schema.fields, StructField(decoded, BinaryType())]))
 
 
 def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Number of ids and the digests of ids and decoded bytes, in place of both."""
+    """Number of ids and the digests of ids and decoded bytes, in place of the bytes."""
     return encoded.withColumns({
         "n_tokens": (F.octet_length(ids) / 4).cast("bigint"), "ids_sha256": F.sha2(ids, 256),
-        "decoded_sha256": F.sha2(decoded, 256)}).drop(ids, decoded)
+        "decoded_sha256": F.sha2(decoded, 256)}).drop(decoded)
 
 

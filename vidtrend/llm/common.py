@@ -50,9 +50,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, per_text, schema: str)
     """
     kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     new = StructType.fromDDL(schema)
-    full = kept.drop("_text").schema
-    for field in new:
-        full = full.add(field)
+    full = StructType([*kept.schema.fields[:-1], *new.fields])
     names = new.names
 
     def work(batches):

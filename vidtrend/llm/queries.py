@@ -42,7 +42,7 @@ def _ranks():
 def op9(spark, folder):
     ranks = _ranks()
     encoded = byte_bpe.encode(table(spark, folder, "documents"), "text", ["doc_id"], ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded, "ids", ranks))
+    return byte_bpe.digests(byte_bpe.decode(encoded, "ids", ranks)).drop("ids")
 
 
 @query("op10_unigram_counts")

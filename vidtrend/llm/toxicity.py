@@ -197,12 +197,13 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str, text: str, labe
     return model
 
 
-def score(docs: DataFrame, text: str, keep: Sequence[str], model: Model | None, cut: float = 0.5) -> DataFrame:
-    """``keep`` columns with ``severity, toxic_probability, grade, toxic`` of each text."""
+def score(docs: DataFrame, text: str, keep: Sequence[str], model: Model | None, cut: float = 0.5, prefix: str = "") -> DataFrame:
+    """``keep`` columns with ``severity, toxic_probability, grade, toxic`` (after ``prefix``) of each text."""
     def per_text():
         def run(text):
             found = model.severity(text) if model else (0.0, 0.0, 0)
             return *found, found[1] >= cut
         return run
 
-    return map_texts(docs, list(keep), text, per_text, "severity double, toxic_probability double, grade int, toxic boolean")
+    return map_texts(docs, list(keep), text, per_text, f"{prefix}severity double, {prefix}toxic_probability double, "
+                     f"{prefix}grade int, {prefix}toxic boolean")
