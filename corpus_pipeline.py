@@ -1,8 +1,97 @@
-"""Placeholder until the stages exist."""
+"""A training corpus in five stages, each reading the Parquet that the stage before has written.
 
+Toxic documents go; of each group of near-duplicates (five-word shingles, similarity 0.8) one document
+stays; personal data is masked; the sources are mixed to their target weights; what is left becomes
+token ids. Every stage but the last returns the columns of its input.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vidtrend.llm import byte_bpe, personal_data, shingle_join, source_mix, toxicity
+from vidtrend.llm.common import stored, table, word_count
+from vidtrend.operators.scale import checked_broadcast
+
+#: Not SQL: the stages hold fitted models and tokenizer merges.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model does not call toxic; a null text is not toxic."""
+    model = toxicity.train_model(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+    scored = toxicity.score(docs, "text", docs.columns, model, prefix="_pipeline_")
+    return scored.filter("NOT _pipeline_toxic").select(*_columns(docs))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group.
+
+    An id names one document: of several rows with one id that with the smallest text stays. Rows
+    without id stay, as do documents without words.
+    """
+    named = docs.filter("doc_id IS NOT NULL")
+    repeated = stored(named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        several = checked_broadcast(repeated)
+        packed = F.struct(F.col("text"), F.struct(*_columns(docs)).alias("row"))
+        once = named.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(packed).alias("_one")).select("_one.row.*")
+        docs = stored(docs.join(several, "doc_id", "left_anti").select(*_columns(docs)).unionByName(once.select(*_columns(docs))), "once")
+    groups = shingle_join.near_duplicates(docs, "doc_id", "text", width=5, similarity=(80, 100))
+    others = stored(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "others")
+    return docs.join(checked_broadcast(others), "doc_id", "left_anti").select(*_columns(docs))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its personal data replaced by the kind in brackets; null texts stay null."""
+    model = personal_data.fit(docs, "text")
+    found = personal_data.annotate(docs, "text", model, name="_pipeline_pii")
+    text = personal_data.masked(F.col("text"), F.col("_pipeline_pii"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*_columns(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in whole copies; documents that it does not take go.
+
+    A stream of a source wraps inside one document at most, so rounding to whole copies shifts a
+    source by less than one document.
+    """
+    verdict = source_mix.mix(docs, "doc_id", "source", "text")[1].filter("taken > 0")
+    keys = {"doc_id": "_m_doc", "source": "_m_source", "size": "_m_size"}
+    copies = verdict.groupBy(*keys).agg(F.round(F.sum("taken") / (F.count("*") * F.first("size"))).cast("int").alias("_m_copies"))
+    copies = copies.select(*[F.col(a).alias(b) for a, b in keys.items()], "_m_copies").filter("_m_copies > 0")
+    sized = docs.withColumn("_m_words", word_count(F.col("text")))
+    taken = sized.join(copies, sized["doc_id"].eqNullSafe(F.col("_m_doc")) & sized["source"].eqNullSafe(F.col("_m_source"))
+                       & (F.col("_m_words") == F.col("_m_size")))
+    return taken.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*_columns(docs))
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with digests of the ids and of the text they decode to."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = byte_bpe.read_ranks(lines)
+    encoded = byte_bpe.encode(docs, "text", ["doc_id", "lang", "source"], ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(encoded, "ids", ranks))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("personal_data", mask_personal_data),
+    ("source_mix", mix_sources),
+    ("byte_bpe", encode_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
