@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from vidtrend.llm.common import slices
+from vidtrend.llm.common import numbered, slices
 
 REMEMBERED = 400_000
 LONG_WORD = 64
@@ -198,7 +198,7 @@ def decoder(ranks: dict[bytes, int]):
 def encode(docs: DataFrame, text: str, keep: Sequence[str], ranks: dict[bytes, int], pattern: str,
            ids: str = "ids", group: int = 256) -> DataFrame:
     """``keep`` columns with the ids of each text, as little-endian unsigned 32-bit integers."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
+    kept, names = numbered(docs, keep, text), [*keep, ids]
     make = encoder(ranks, pattern)
 
     def work(batches):
@@ -206,10 +206,9 @@ def encode(docs: DataFrame, text: str, keep: Sequence[str], ranks: dict[bytes, i
         for batch in slices(batches, group):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(run(texts), pa.binary())],
-                                             names=[*batch.schema.names[:-1], ids])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(run(texts), pa.binary())], names=names)
 
-    return kept.mapInArrow(work, StructType([*kept.schema.fields[:-1], StructField(ids, BinaryType())]))
+    return kept.mapInArrow(work, StructType([*[docs.schema[c] for c in keep], StructField(ids, BinaryType())]))
 
 
 def decode(encoded: DataFrame, ids: str, ranks: dict[bytes, int], decoded: str = "decoded") -> DataFrame:

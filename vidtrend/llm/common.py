@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,24 +48,25 @@ def map_texts(df: DataFrame, keep: list[str], text: str, per_text, schema: str)
     ``schema`` names the new columns as DDL. ``per_text`` may be a factory result with a state that
     is local to a task; it sees one whole text at a time.
     """
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
+    kept = numbered(df, keep, text)
     new = StructType.fromDDL(schema)
-    full = StructType([*kept.schema.fields[:-1], *new.fields])
-    names = new.names
+    names, kinds = [*keep, *new.names], [to_arrow_type(f.dataType) for f in new]
 
     def work(batches):
         run = per_text()
         for batch in slices(batches):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            rows = [run(t or "") for t in texts]
+            rows = [run(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            values = list(zip(*rows)) if rows else [[] for _ in kinds]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            values = list(zip(*rows)) if rows else [[] for _ in names]
             columns += [pa.array(list(v), type=kind) for v, kind in zip(values, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(
-                [*list(batch.schema)[:-1], *[pa.field(n, k) for n, k in zip(names, kinds)]]))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = [to_arrow_type(f.dataType) for f in new]
-    return kept.mapInArrow(work, full)
+    return kept.mapInArrow(work, StructType([*[df.schema[c] for c in keep], *new.fields]))
+
+
+def numbered(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    """The kept columns and then the text, under names that cannot clash."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def partition_sums(df: DataFrame, per_batch, size: int):
