@@ -33,14 +33,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group.
 
-    An id names one document: of several rows with one id that with the smallest text stays. Rows
-    without id stay, as do documents without words.
+    An id names one document: of several rows with one id that with the smallest text stays, a null
+    text last. Rows without id stay, as do documents without words.
     """
     named = docs.filter("doc_id IS NOT NULL")
     repeated = stored(named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
         several = checked_broadcast(repeated)
-        packed = F.struct(F.col("text"), F.struct(*_columns(docs)).alias("row"))
+        packed = F.struct(F.col("text").isNull(), F.col("text"), F.struct(*_columns(docs)).alias("row"))
         once = named.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(packed).alias("_one")).select("_one.row.*")
         docs = stored(docs.join(several, "doc_id", "left_anti").select(*_columns(docs)).unionByName(once.select(*_columns(docs))), "once")
     groups = shingle_join.near_duplicates(docs, "doc_id", "text", width=5, similarity=(80, 100))
