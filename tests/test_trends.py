@@ -68,7 +68,9 @@ def test_components_and_communities(spark):
     pairs = spark.createDataFrame(chain, "a string, b string, n int")
     labels = {r.v: r.label for r in hashtags.components(pairs).collect()}
     assert set(labels.values()) == {"n0", "x"} and labels["n6"] == "n0" and labels["y"] == "x"
-    assert hashtags.communities(pairs, rounds=3).count() == 9
+    found = {r.v: r.label for r in hashtags.communities(pairs).collect()}
+    assert len(found) == 9 and found["x"] == found["y"]
+    assert hashtags.unsettled(pairs, hashtags.communities(pairs)).count() == 0
 
 
 def test_bins_are_right_closed_and_hold_the_extremes(spark):

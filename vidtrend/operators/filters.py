@@ -61,7 +61,8 @@ def complete(df: DataFrame, *cols: str) -> DataFrame:
 def date_range(df: DataFrame, col: str, start: str, end: str) -> DataFrame:
     if start > end:
         raise ValueError("start date is after end date")
-    return df.filter(F.to_date(col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    low, high = F.lit(start).cast("date"), F.date_add(F.lit(end).cast("date"), 1)
+    return df.filter((F.col(col) >= low) & (F.col(col) < high))  # the raw column, so that the scan can prune
 
 
 def group_size(df: DataFrame, keys: Sequence[str], minimum: int, strict: bool = False) -> DataFrame:

@@ -73,28 +73,32 @@ def _find_words(value: Column, terms: Sequence[str]) -> Column:
     quoted = lambda t: F.concat(F.lit(r"(?U)(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))
 
     def from_runs(seen: Column) -> Column:
-        parts = [F.array_intersect(seen, F.array(*[F.lit(t) for t in plain]))] if plain else []
+        # ``isin`` with literals is one hash set for the whole query, not one per row
+        parts = [F.filter(seen, lambda g: g.isin(plain))] if plain else []
         if phrased:
             table = F.create_map(*[x for k, ts in by_key.items()
                                    for x in (F.lit(k), F.array(*[F.lit(t) for t in ts]))])
-            keys = F.array_intersect(seen, F.array(*[F.lit(k) for k in by_key]))
-            candidates = F.flatten(F.transform(keys, lambda k: table[k]))
+            keys = F.filter(seen, lambda g: g.isin(list(by_key)))
+            candidates = F.flatten(F.transform(F.array_distinct(keys), lambda k: table[k]))
             parts.append(F.filter(candidates, lambda t: F.regexp_like(value, quoted(t))))
-        return F.concat(*parts)
+        return F.array_distinct(F.concat(*parts))
 
     return text.bind(text.ngram_range(_words(value), 1, longest), from_runs)
 
 
-def match_rows(df: DataFrame, id_col: str, col: str, dictionary: DataFrame, max_words: int = 4) -> DataFrame:
+def match_rows(df: DataFrame, id_col: str, col: str, dictionary: DataFrame) -> DataFrame:
     """(id, canonical) for a dictionary table (canonical, term) of any size, by an equi-join.
 
-    Distinct word runs of each text are joined to the terms; the dictionary is broadcast only when
-    its row count allows it, otherwise frequent words are split by the skew rule.
+    Distinct word runs of each text, as long as the terms of the dictionary are, are joined to the
+    terms; the dictionary is broadcast only when its row count allows it, otherwise frequent words are
+    split by the skew rule.
     """
-    terms = checked_broadcast(dictionary.select(
-        F.array_join(_words(F.lower("term")), " ").alias("_gram"), "canonical"))
-    runs = df.select(id_col, F.explode(F.array_distinct(
-        text.ngram_range(_words(F.lower(F.col(col))), 1, max_words))).alias("_gram"))
+    words = dictionary.select(_words(F.lower("term")).alias("_w"), "canonical").filter(F.size("_w") > 0)
+    lengths = sorted(r[0] for r in words.select(F.size("_w")).distinct().collect())  # term lengths, a few numbers
+    terms = checked_broadcast(words.select(F.array_join("_w", " ").alias("_gram"), "canonical"))
+    value = _words(F.lower(F.col(col)))
+    grams = F.concat(*[text.ngrams(value, n) for n in lengths]) if lengths else F.array().cast("array<string>")
+    runs = df.select(id_col, F.explode(F.array_distinct(grams)).alias("_gram"))
     return runs.join(terms, "_gram").select(id_col, "canonical").distinct()
 
 
@@ -108,21 +112,31 @@ def mention_counts(df: DataFrame, col: str, dictionary, whole_word: bool = False
 
 
 def sequence(col: str, dictionary) -> Column:
-    """Canonical names in the order their terms appear, longer terms included."""
-    pairs = as_terms(dictionary)
+    """Canonical names in the order their terms appear.
+
+    The longest term that starts at a word wins, and the words it covers start no other term.
+    """
     keyed: dict[str, str] = {}
-    for term, name in pairs:
+    for term, name in as_terms(dictionary):
         keyed.setdefault(_key(term), name)
-    table = F.create_map(*[F.lit(x) for kv in keyed.items() for x in kv])
-    longest = max(len(k.split()) for k in keyed)
+    by_length: dict[int, dict[str, list[str]]] = {}
+    for key, name in keyed.items():
+        by_length.setdefault(len(key.split()), {}).setdefault(name, []).append(key)
 
     def walk(words: Column) -> Column:
-        at = lambda i: F.coalesce(*[  # noqa: E731 - the longest term starting at word i wins
-            F.when(i + n - 1 <= F.size(words), F.try_element_at(table, F.array_join(F.slice(words, i, n), " ")))
-            for n in range(longest, 0, -1)])
-        places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(
-            F.array().cast("array<int>"))
-        return F.filter(F.transform(places, at), lambda x: x.isNotNull())
+        def named(i, n):
+            run = F.array_join(F.slice(words, i, n), " ")
+            return text.bind(run, lambda r: F.coalesce(*[F.when(r.isin(keys), F.struct(F.lit(name).alias("name"), F.lit(n).alias("n")))
+                                                         for name, keys in by_length[n].items()]))
+
+        def step(acc, i):
+            hit = F.coalesce(*[F.when(i + n - 1 <= F.size(words), named(i, n)) for n in sorted(by_length, reverse=True)])
+            return F.when(i < acc["free"], acc).otherwise(text.bind(hit, lambda h: F.when(h.isNull(), acc).otherwise(F.struct(
+                (i + h["n"]).alias("free"), F.concat(acc["found"], F.array(h["name"])).alias("found")))))
+
+        start = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("found"))
+        return F.when(F.size(words) > 0, F.aggregate(F.sequence(F.lit(1), F.size(words)), start, step)["found"]).otherwise(
+            F.array().cast("array<string>"))
 
     return text.bind(_words(F.coalesce(F.lower(F.col(col)), F.lit(""))), walk)
 

@@ -30,13 +30,23 @@ def rounded(col: Column, digits: int = 2) -> Column:
     return F.rint(col * scale) / scale
 
 
+def newest_day(df: DataFrame, ts: str) -> Column:
+    """Date of the newest row as a literal: one job over one column, so that later scans can prune by it."""
+    return F.lit(df.agg(F.max(F.col(ts))).first()[0]).cast("date")
+
+
+def since(df: DataFrame, ts: str, newest: Column, days: int) -> DataFrame:
+    """Rows of the last ``days`` days; the bound is on the raw column and reaches the file scan."""
+    return df.filter(F.col(ts) >= F.date_add(newest, 1 - days))
+
+
 def _weeks(df: DataFrame, ts: str, weeks: int, as_of=None) -> DataFrame:
     """Rows of the last ``weeks`` seven-day windows with their window number (0 = newest)."""
     day = F.to_date(ts)
-    newest = scalar(df, F.max(day)) if as_of is None else F.lit(as_of).cast("date")
-    recent = df.filter(day > F.date_sub(newest, 7 * weeks))
+    newest = newest_day(df, ts) if as_of is None else F.lit(as_of).cast("date")
+    recent = since(df, ts, newest, 7 * weeks)
     if as_of is not None:
-        recent = recent.filter(day <= newest)
+        recent = recent.filter(F.col(ts) < F.date_add(newest, 1))
     return recent.withColumns(
         {"post_date": day, "week_no": F.floor(F.datediff(newest, day) / 7).cast("int")})
 
@@ -127,8 +137,8 @@ def mention_trends(df: DataFrame, tag: str = TAG, post: str = "post_id", ts: str
 def daily_interest(df: DataFrame, tag: str = TAG, post: str = "post_id", ts: str = "createTimeISO",
                    days: int = 7) -> DataFrame:
     """Daily posts of a tag as a percentage of its best day in the window."""
-    newest = scalar(df, F.max(F.to_date(ts)))
-    base = df.withColumn("post_date", F.to_date(ts)).filter(F.col("post_date") > F.date_sub(newest, days))
+    newest = newest_day(df, ts)
+    base = since(df, ts, newest, days).withColumn("post_date", F.to_date(ts))
     daily = windows.daily_counts(base, tag, "post_date", post)
     out = aggregates.peak_normalised(daily, [tag], "n", "interest", 100.0)
     return out.withColumn("interest", rounded(F.col("interest"), 1))
@@ -137,8 +147,8 @@ def daily_interest(df: DataFrame, tag: str = TAG, post: str = "post_id", ts: str
 def monthly_growth(df: DataFrame, tag: str = TAG, ts: str = "createTimeISO", minimum: int = 5,
                    top: int | None = 10) -> DataFrame:
     """Tags growing between the last two months seen, both with at least ``minimum`` rows."""
-    newest = scalar(df, F.max(month_start(ts)))
-    base = df.filter(F.col(tag).isNotNull() & (month_start(ts) >= F.add_months(newest, -1)))
+    newest = month_start(newest_day(df, ts))
+    base = df.filter(F.col(tag).isNotNull() & (F.col(ts) >= F.add_months(newest, -1)))
     table = base.groupBy(tag).agg(
         F.count_if(month_start(ts) < newest).alias("prev_month"),
         F.count_if(month_start(ts) == newest).alias("last_month"))
@@ -151,8 +161,8 @@ def monthly_growth(df: DataFrame, tag: str = TAG, ts: str = "createTimeISO", min
 def daily_zscore(df: DataFrame, tag: str = TAG, post: str = "post_id", ts: str = "createTimeISO",
                  days: int = 28) -> DataFrame:
     """z of the newest day against the tag's observed days in the window."""
-    newest = scalar(df, F.max(F.to_date(ts)))
-    base = df.withColumn("post_date", F.to_date(ts)).filter(F.col("post_date") > F.date_sub(newest, days))
+    newest = newest_day(df, ts)
+    base = since(df, ts, newest, days).withColumn("post_date", F.to_date(ts))
     return windows.classical_z_last(windows.daily_counts(base, tag, "post_date", post), [tag],
                                     "post_date", "n", newest)
 
@@ -254,13 +264,13 @@ def connected(pairs: DataFrame, min_degree: int = 3) -> DataFrame:
         degree.withColumnRenamed("v", "b"), "b", "left_semi")
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """Connected components by spreading the smallest label, two hops a round, until stable."""
     edges = cut_lineage(_both_ways(pairs.select("a", "b").distinct()))
     labels = edges.groupBy("a").agg(F.min("b").alias("_low")).select(
         F.col("a").alias("v"), F.least("a", "_low").alias("label"))
     labels = cut_lineage(labels)
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, edges.b == labels.v).groupBy("a").agg(F.min("label").alias("_near"))
         hop = labels.join(near, labels.v == near.a).select("v", F.least("label", "_near").alias("_new"),
                                                            F.col("label").alias("_old"))
@@ -271,10 +281,7 @@ def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         changed = fresh.filter(F.col("label") != F.col("_old")).limit(1).count()
         labels = fresh.drop("_old")
         if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle; raise `rounds`")
-    return labels
+            return labels
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -284,18 +291,38 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(ends).alias("e"), *rest).select("e.a", "e.b", *rest)
 
 
-def communities(pairs: DataFrame, weight: str = "n", rounds: int = 8) -> DataFrame:
-    """Weighted label propagation with a fixed number of rounds; ties go to the smallest label."""
+def communities(pairs: DataFrame, weight: str = "n") -> DataFrame:
+    """Weighted label propagation until no vertex has a label that weighs more among its partners.
+
+    A vertex changes only for a strictly heavier label (of equal ones the smallest), and in each
+    round only vertices of one half of a hash may change, another half in every round. So partners
+    do not swap labels for ever, and every change made alone adds weight inside communities.
+    """
     edges = cut_lineage(_both_ways(pairs.select("a", "b", weight)))
-    labels = edges.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v"))
-    for i in range(rounds):
-        votes = (edges.join(labels, edges.b == labels.v).groupBy("a", "label")
-                 .agg(F.sum(weight).alias("_w")))
-        labels = votes.groupBy(F.col("a").alias("v")).agg(
-            F.min_by("label", F.struct(-F.col("_w"), "label")).alias("label"))
-        if i % 3 == 2:
-            labels = cut_lineage(labels)
-    return labels
+    labels = cut_lineage(edges.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")))
+    turn = 0
+    while True:
+        votes = edges.join(labels, edges.b == labels.v).groupBy(F.col("a").alias("v"), "label").agg(F.sum(weight).alias("_w"))
+        best_label = votes.groupBy("v").agg(F.min_by(F.struct("label", "_w"), F.struct(-F.col("_w"), "label")).alias("_best"))
+        own = votes.withColumnRenamed("label", "_label").withColumnRenamed("_w", "_own")
+        known = (labels.join(best_label, "v").join(own, (own["v"] == labels["v"]) & (own["_label"] == labels["label"]), "left")
+                 .select(labels["v"], "label", "_best", F.coalesce("_own", F.lit(0)).alias("_own")))
+        wants = F.col("_best._w") > F.col("_own")
+        now = F.pmod(F.xxhash64("v", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        moved = cut_lineage(known.select("v", F.when(wants & now, F.col("_best.label")).otherwise(F.col("label")).alias("label"),
+                                         wants.alias("_wants")))
+        labels, turn = moved.drop("_wants"), turn + 1
+        if moved.filter("_wants").isEmpty():
+            return labels
+
+
+def unsettled(pairs: DataFrame, labels: DataFrame, weight: str = "n") -> DataFrame:
+    """Vertices for whose partners another label weighs more than their own."""
+    edges = _both_ways(pairs.select("a", "b", weight))
+    votes = edges.join(labels, edges.b == labels.v).groupBy(F.col("a").alias("v"), "label").agg(F.sum(weight).alias("w"))
+    most = votes.groupBy("v").agg(F.max("w").alias("most"))
+    own = labels.join(votes, ["v", "label"], "left").select("v", F.coalesce("w", F.lit(0)).alias("own"))
+    return own.join(most, "v").filter("most > own").select("v")
 
 
 def popularity(df: DataFrame, tag: str = TAG, post: str = "post_id",
@@ -323,10 +350,10 @@ def popular_tag_flags(df: DataFrame, tag: str = TAG, post: str = "post_id", prob
 def top_by_period(df: DataFrame, tag: str = TAG, ts: str = "createTimeISO", k: int = 10,
                   days: Mapping[str, int] = {"weekly": 7, "monthly": 30}) -> DataFrame:  # noqa: B006
     """Top tags of each window with the sorted list of windows they lead in."""
-    newest = scalar(df, F.max(F.to_date(ts)))
+    newest = newest_day(df, ts)
     parts = None
     for name, span in days.items():
-        recent = df.filter(F.col(tag).isNotNull() & (F.to_date(ts) > F.date_sub(newest, span)))
+        recent = since(df, ts, newest, span).filter(F.col(tag).isNotNull())
         part = aggregates.top_values(recent, tag, k).withColumn("source", F.lit(name))
         parts = part if parts is None else parts.unionByName(part)
     return aggregates.tag_union(parts, tag, "source")

@@ -106,7 +106,7 @@ def engagement_pipeline(tags: str = "tags", words: str = "tokens", caption_words
                         numeric: Sequence[str] = ("playCount", "hour", "dayofweek", "avg_tag_popularity"),
                         tag_weight: float = 1.0, caption_weight: float = 1.0) -> Pipeline:
     return Pipeline(stages=[
-        CountVectorizer(inputCol=tags, outputCol="_tags", vocabSize=5000, minDF=1.0),
+        CountVectorizer(inputCol=tags, outputCol="_tags", vocabSize=2 ** 31 - 1, minDF=1.0),
         CountVectorizer(inputCol=words, outputCol="_words", vocabSize=caption_words),
         VectorAssembler(inputCols=list(numeric), outputCol="_num", handleInvalid="keep"),
         StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True),

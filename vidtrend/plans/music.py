@@ -19,12 +19,14 @@ def weekly_trends(df: DataFrame, top: int = 15, as_of=None) -> DataFrame:
 
 
 def surges(df: DataFrame, song: str = "musicName", ts: str = "createTimeISO", recent: int = 7, history: int = 60,
-           pct: float = 0.99, top: int | None = 30) -> DataFrame:
+           pct: float = 0.99, top: int | None = 30, author: str | None = "musicAuthor") -> DataFrame:
     """Songs whose last days stand out against the mean of the days before them.
 
     Only the last ``recent + history`` observed days matter, so they are cut out first and each
     song becomes two conditional sums; no zero-filled table is built.
     """
+    if author in df.columns:
+        df = df.filter(F.col(author).isNotNull())  # rows without an author do not count
     base = df.select(song, F.to_date(ts).alias("day")).na.drop()
     days = base.select("day").distinct().orderBy(F.desc("day")).limit(recent + history)
     edges = days.agg(F.struct(

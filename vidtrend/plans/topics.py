@@ -201,17 +201,16 @@ def metadata(df: DataFrame, words: DataFrame, id_col: str, col: str, ts: str | N
 
 def two_level(df: DataFrame, id_col: str, vector: str, k: int = 5, sub_k: int = 4, min_size: int = 70,
               min_sub: int = 15, seed: int = 7) -> DataFrame:
-    """Broad topics and sub-topics inside each; the refit loop runs over at most k broad topics."""
+    """Broad topics and sub-topics inside each, for every row; the refit loop runs over at most k topics."""
     broad = fit(df, vector, k, min_size, 1.0, seed).withColumnRenamed("topic", "super_topic").drop("distance", "probability")
-    out = None
-    for i in range(k):
-        part = broad.filter(F.col("super_topic") == i)
-        if part.limit(min_sub).count() < min_sub:
-            continue
-        sub = fit(part, vector, sub_k, min_sub, 1.0, seed).withColumnRenamed("topic", "sub_topic")
-        out = sub if out is None else out.unionByName(sub)
-    if out is None:
-        return broad.withColumn("sub_topic", F.lit(NOISE)).limit(0)
+    broad = cut_lineage(broad)
+    sizes = {r["super_topic"]: r["n"] for r in broad.groupBy("super_topic").agg(F.count("*").alias("n")).collect()}  # k rows
+    large = [i for i in range(k) if sizes.get(i, 0) >= min_sub]
+    # rows outside a broad topic, or in one too small to split, have no sub-topic
+    out = broad.filter(~F.col("super_topic").isin(large)).withColumn("sub_topic", F.lit(NOISE))
+    for i in large:
+        sub = fit(broad.filter(F.col("super_topic") == i), vector, sub_k, min_sub, 1.0, seed).withColumnRenamed("topic", "sub_topic")
+        out = out.unionByName(sub.select(*broad.columns, "sub_topic"))
     return out
 
 

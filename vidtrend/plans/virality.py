@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, \
-    VectorAssembler
+from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -18,6 +17,7 @@ from vidtrend.functions.scalars import calendar_fields, hours_between, in_zone,
 from vidtrend.operators import aggregates, windows
 from vidtrend.operators.filters import quantile_keys
 from vidtrend.operators.scale import calendar_broadcast, exact_quantiles, with_quantiles
+from vidtrend.session import cut_lineage
 
 WEIGHTS = {"view_engagement": 0.3, "comment_velocity": 0.25, "commenter_diversity": 0.25, "relative_engagement": 0.2}
 
@@ -27,7 +27,8 @@ def viral_score(posts: DataFrame, rollup: DataFrame, post: str = "post_id", ts:
 
     ``rollup`` has comments, first_comment, last_comment, likes_sum and distinct_users per post.
     """
-    df = posts.join(rollup, post, "left").na.fill(0, ["comments", "likes_sum", "distinct_users"])
+    # written once: the hourly means, the deviations and the scores all read it
+    df = cut_lineage(posts.join(rollup, post, "left").na.fill(0, ["comments", "likes_sum", "distinct_users"]))
     df = df.withColumns({
         "hour_of_day": F.hour(ts),
         "hours_to_first": hours_between("first_comment", ts),
@@ -52,12 +53,15 @@ def viral_score(posts: DataFrame, rollup: DataFrame, post: str = "post_id", ts:
 
 
 def with_trending_flag(scored: DataFrame, col: str = "viral_score", prob: float = 0.8) -> DataFrame:
+    """Flags the top share; a row without a score (a post without comments) stays, unflagged."""
+    scored = cut_lineage(scored)  # read for the quantile and for the result
     cut = exact_quantiles(scored, col, [prob]).scalar()
-    return scored.withColumn("is_trending", F.col(col) >= cut)
+    return scored.withColumn("is_trending", F.coalesce(F.col(col) >= cut, F.lit(False)))
 
 
 NUMERIC = ("author_fans", "video_duration", "word_count", "sentence_count", "avg_word_length", "exclamation_count",
-           "question_count", "hour_posting", "day_of_week", "is_weekend", "is_ad", "hashtag_count")
+           "question_count", "hour_posting", "day_of_week", "is_weekend", "is_ad", "is_sponsored", "hashtag_count",
+           "period_evening", "period_morning", "period_night")
 
 
 def features(df: DataFrame, col: str = "text", ts: str = "createTimeISO", zone: str = "Europe/Berlin",
@@ -70,7 +74,9 @@ def features(df: DataFrame, col: str = "text", ts: str = "createTimeISO", zone:
         **{k: v.cast("double") for k, v in stats.items()},
         "hour_posting": fields["hour"].cast("double"), "day_of_week": fields["day_of_week"].cast("double"),
         "is_weekend": fields["is_weekend"].cast("double"), "is_ad": F.col("isAd").cast("double"),
-        "period_of_day": period_of_day(fields["hour"]),
+        "is_sponsored": F.col("isSponsored").cast("double"), "period_of_day": period_of_day(fields["hour"]),
+        # one-hot without the first level (afternoon), so the columns do not sum to one
+        **{f"period_{p}": (period_of_day(fields["hour"]) == p).cast("double") for p in ("evening", "morning", "night")},
         "tags": text.hashtags(col), "hashtag_count": F.size(text.hashtags(col)).cast("double"),
         "tokens": text.clean_tokens(col, stop, keep="#?!", max_run=2),
         "viral_target": F.log1p("playCount")})
@@ -86,19 +92,20 @@ def popular_tags(df: DataFrame, post: str = "post_id", prob: float = 0.99) -> Da
 
 def assembler(numeric: Sequence[str] = NUMERIC, text_features: int = 8000, min_df: float = 2.0,
               max_df: float = 0.95, with_tags: bool = False) -> Pipeline:
-    """Numeric block (scaled), posting period (one-hot), TF-IDF of 1-2-grams, optional popular tags."""
-    stages = [
-        StringIndexer(inputCol="period_of_day", outputCol="_period", stringOrderType="alphabetDesc", handleInvalid="keep"),
-        OneHotEncoder(inputCol="_period", outputCol="_period_vec", dropLast=True),
-        VectorAssembler(inputCols=list(numeric), outputCol="_num", handleInvalid="keep"),
-        StandardScaler(inputCol="_num", outputCol="_scaled", withMean=False),
+    """Numbers, period dummies and tags (scaled) and TF-IDF of 1-2-grams.
+
+    ``text_features`` bounds the text vocabulary by frequency, as a model size; tags keep all values.
+    """
+    stages, plain = [], list(numeric)
+    if with_tags:
+        stages.append(CountVectorizer(inputCol="popular_tags", outputCol="_tags", binary=True, minDF=1.0, vocabSize=2 ** 31 - 1))
+        plain.append("_tags")
+    stages += [
+        VectorAssembler(inputCols=plain, outputCol="_plain", handleInvalid="keep"),
+        StandardScaler(inputCol="_plain", outputCol="_scaled", withMean=False),
         CountVectorizer(inputCol="grams", outputCol="_tf", vocabSize=text_features, minDF=min_df, maxDF=max_df),
         IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_text")]
-    parts = ["_text", "_scaled", "_period_vec"]
-    if with_tags:
-        stages.append(CountVectorizer(inputCol="popular_tags", outputCol="_tags", binary=True, minDF=1.0))
-        parts.append("_tags")
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features")])
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=["_text", "_scaled"], outputCol="features")])
 
 
 def with_grams(df: DataFrame, tokens: str = "tokens", low: int = 1, high: int = 2) -> DataFrame:

@@ -87,11 +87,11 @@ _VIRAL = """WITH r AS (SELECT post_id, count(*) AS c, min(comment_time) AS f, ma
 
 
 @query("q30_viral_score", _VIRAL + """ SELECT post_id, R6(ve) AS view_engagement, R6(cv) AS comment_velocity, R6(cd) AS commenter_diversity, R6(re) AS relative_engagement, R6(vs) AS viral_score,
- vs >= (SELECT quantile_cont(vs, 0.8) FROM s) AS is_trending FROM s WHERE vs IS NOT NULL""")
+ coalesce(vs >= (SELECT quantile_cont(vs, 0.8) FROM s), false) AS is_trending FROM s""")
 def _(spark, d):
     rollup = aggregates.comment_rollup(t.comments(spark, d), time="comment_time")
     scored = virality.viral_score(t.posts(spark, d), rollup)
-    return virality.with_trending_flag(scored).filter(F.col("viral_score").isNotNull()).select(
+    return virality.with_trending_flag(scored).select(
         "post_id", "view_engagement", "comment_velocity", "commenter_diversity", "relative_engagement", "viral_score", "is_trending")
 
 

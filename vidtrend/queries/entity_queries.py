@@ -47,6 +47,19 @@ def _(spark, d):
     return hits.join(confirmed, ["post_id", "canonical"], "left_semi")
 
 
+# license lines of the given texts: terms longer than any other here
+LONG_TERMS = [("licensed under the apache license version 2", "apache"), ("gnu general public license version 3", "gnu"),
+              ("all rights reserved", "reserved"), ("the", "article")]
+
+
+@query("j13_long_terms", """WITH w AS (SELECT post_id, ' ' || array_to_string(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1), ' ') || ' ' AS w FROM posts),
+ dict(term, canonical) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in LONG_TERMS) + """)
+SELECT post_id, canonical FROM w JOIN dict ON contains(w, ' ' || term || ' ')""")
+def _(spark, d):
+    dictionary = spark.createDataFrame(LONG_TERMS, "term string, canonical string")
+    return entities.match_rows(t.posts(spark, d), "post_id", "text", dictionary)
+
+
 @query("t7_substring_match", _PART.format(t="posts") + " SELECT post_id, string_agg(entity, ', ' ORDER BY entity) AS entities FROM m GROUP BY 1")
 def _(spark, d):
     return t.posts(spark, d).select("post_id", entities.match("text", TERMS, False).alias("entities")).filter(F.size("entities") > 0)
@@ -62,10 +75,12 @@ def _(spark, d):
     return entities.mention_counts(t.posts(spark, d), "text", TERMS)
 
 
-_ONE = "CASE " + " ".join(f"WHEN w[i] = '{a}' THEN '{b}'" for a, b in _PAIRS if " " not in a) + " END"
-_TWO = "CASE " + " ".join(f"WHEN w[i] || ' ' || w[i + 1] = '{a}' THEN '{b}'" for a, b in _PAIRS if " " in a) + " END"
-_SEQ = rf"""WITH k AS (SELECT conv_id * 100 + turn AS id, conv_id, regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}_]+)', 1) AS w FROM conversations),
- s AS (SELECT id, conv_id, list_filter(list_transform(range(1, len(w) + 1), lambda i: coalesce({_TWO}, {_ONE})), lambda x: x IS NOT NULL) AS seq FROM k),
+# words are joined by two blanks, so neighbouring terms do not share one; longer terms come first and use up their words
+_BY_LENGTH = sorted(_PAIRS, key=lambda p: -len(p[0].split()))
+_ANY = " (" + "|".join(term.replace(" ", "  ") for term, _ in _BY_LENGTH) + ") "
+_NAME = "CASE " + " ".join(f"WHEN x = '{term.replace(' ', '  ')}' THEN '{name}'" for term, name in _PAIRS) + " END"
+_SEQ = rf"""WITH k AS (SELECT conv_id * 100 + turn AS id, conv_id, ' ' || array_to_string(regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}_]+)', 1), '  ') || ' ' AS w FROM conversations),
+ s AS (SELECT id, conv_id, list_transform(regexp_extract_all(w, '{_ANY}', 1), lambda x: {_NAME}) AS seq FROM k),
  el AS (SELECT id, unnest(seq) AS e, generate_subscripts(seq, 1) AS pos FROM s),
  nr AS (SELECT * FROM (SELECT *, lag(e) OVER (PARTITION BY id ORDER BY pos) AS p FROM el) WHERE p IS NULL OR p <> e)"""
 

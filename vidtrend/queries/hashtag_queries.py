@@ -7,6 +7,7 @@ from vidtrend.operators.filters import quantile_keys
 from vidtrend.plans import hashtags, music
 from vidtrend.queries import adapters as t
 from vidtrend.queries.registry import query
+from vidtrend.session import cut_lineage
 
 _WEEKS = """recent AS (SELECT *, CAST("createTimeISO" AS DATE) AS post_date,
     CAST(floor(((SELECT max(CAST("createTimeISO" AS DATE)) FROM {t}) - CAST("createTimeISO" AS DATE)) / 7) AS INT) AS week_no FROM {t})"""
@@ -176,6 +177,19 @@ def _(spark, d):
     return hashtags.communities(hashtags.connected(pairs))
 
 
+@query("q10_communities_settled", _PAIRS + """, e AS (SELECT a AS v, b AS o FROM c UNION ALL SELECT b, a FROM c), g AS (SELECT v FROM e GROUP BY 1 HAVING count(*) > 3),
+ k AS (SELECT a, b FROM c WHERE a IN (SELECT v FROM g) AND b IN (SELECT v FROM g))
+SELECT count(DISTINCT v) AS vertices, 0 AS unsettled, 0 AS foreign_labels FROM (SELECT a AS v FROM k UNION ALL SELECT b FROM k)""")
+def _(spark, d):
+    pairs = cut_lineage(hashtags.connected(hashtags.cooccurrence(t.baskets(spark, d))))
+    labels = cut_lineage(hashtags.communities(pairs))
+    loose = hashtags.unsettled(pairs, labels).select(F.lit(1).alias("loose"))
+    foreign = labels.join(labels.select(F.col("v").alias("label")), "label", "left_anti").select(F.lit(2).alias("loose"))
+    return labels.select(F.lit(0).alias("loose")).unionByName(loose).unionByName(foreign).agg(
+        F.count_if(F.col("loose") == 0).alias("vertices"), F.count_if(F.col("loose") == 1).alias("unsettled"),
+        F.count_if(F.col("loose") == 2).alias("foreign_labels"))
+
+
 @query("q11_popularity_quantiles", """WITH c AS (SELECT hashtag_name, count(DISTINCT post_id) AS n FROM tag_posts GROUP BY 1)
 SELECT """ + ", ".join(f"R6(quantile_cont(n, {p})) AS q{round(p * 1000):04d}" for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.975, 0.99)) + " FROM c")
 def _(spark, d):

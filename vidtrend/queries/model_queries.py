@@ -26,10 +26,18 @@ def _features(spark, d):
 def _(spark, d):
     data = virality.with_grams(virality.popular_tags(_features(spark, d)))
     from pyspark.ml.functions import vector_to_array
-    model = virality.assembler(text_features=200, with_tags=True).fit(data)
+    model = virality.assembler(with_tags=True).fit(data)
     return model.transform(data).select("post_id", F.size(vector_to_array("features")).alias("features"))
 
 
+@query("m1_period_dummies", """WITH h AS (SELECT post_id, hour(("createTimeISO" AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Berlin') AS h FROM posts)
+SELECT post_id, CASE WHEN h >= 17 AND h < 21 THEN 1.0::DOUBLE ELSE 0.0 END AS period_evening, CASE WHEN h >= 5 AND h < 12 THEN 1.0::DOUBLE ELSE 0.0 END AS period_morning,
+ CASE WHEN h >= 21 OR h < 5 THEN 1.0::DOUBLE ELSE 0.0 END AS period_night, CASE WHEN doc_sponsored THEN 1.0::DOUBLE ELSE 0.0 END AS is_sponsored
+FROM h JOIN (SELECT post_id, "isSponsored" AS doc_sponsored FROM posts) USING (post_id)""")
+def _(spark, d):
+    return _features(spark, d).select("post_id", "period_evening", "period_morning", "period_night", "is_sponsored")
+
+
 @query("m2_time_split", """WITH c AS (SELECT quantile_cont(epoch_us("createTimeISO"), 0.8) AS q FROM posts) SELECT post_id, epoch_us("createTimeISO") <= q AS in_train FROM posts, c""")
 def _(spark, d):
     train, test = virality.time_split(t.posts(spark, d))

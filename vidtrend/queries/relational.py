@@ -1,6 +1,5 @@
 """Sources, filters, duplicates, joins, aggregates, windows and scalar functions."""
 
-import tempfile
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,10 +78,7 @@ def _(spark, d):
 
 @query("s7_named_sql_file", """SELECT "textLanguage", count(*) AS posts FROM posts WHERE "playCount" > 500 GROUP BY 1""")
 def _(spark, d):
-    path = f"{tempfile.mkdtemp(prefix='vidtrend-sql-')}/language_counts.sql"
-    with open(path, "w") as f:
-        f.write("SELECT textLanguage, count(*) AS posts FROM s7_posts WHERE playCount > :plays GROUP BY textLanguage;")
-    return sources.run_sql_file(spark, f"file://{path}", {"s7_posts": t.posts(spark, d)}, plays=500)
+    return sources.run_named_sql(spark, "language_counts", {"s7_posts": t.posts(spark, d)}, plays=500)
 
 
 def _scratch(spark) -> str:

@@ -84,7 +84,7 @@ def _prepared(spark, d):
 
 
 def _fitted(spark, d):
-    data = topics.embed(_prepared(spark, d), "tokens", size=256)
+    data = topics.embed(_prepared(spark, d), "tokens")
     return topics.fit(data, k=8, min_size=5).drop("vector")
 
 
@@ -110,8 +110,8 @@ def _(spark, d):
 def _(spark, d):
     fitted = _fitted(spark, d).join(t.scored_posts(spark, d).select("post_id", "sentiment"), "post_id", "left")
     names = topics.labels(topics.keywords(fitted, "tokens"))
-    shown = topics.representatives(fitted.withColumn("head", F.substring("text", 1, 80)), "post_id")
-    return topics.summary(fitted, names, shown, "post_id", "head")
+    shown = topics.representatives(fitted, "post_id")
+    return topics.summary(fitted, names, shown, "post_id", "text")
 
 
 @query("t29_merged_labels")
@@ -130,11 +130,19 @@ def _(spark, d):
     return topics.sentiment_shares(p)
 
 
+def _two_levels(spark, d):
+    return topics.two_level(t.table(spark, d, "embeddings"), "vec_id", "embedding", k=3, sub_k=2, min_size=10, min_sub=5)
+
+
 @query("t31_two_level_topics")
 def _(spark, d):
-    e = t.table(spark, d, "embeddings")
-    two = topics.two_level(e, "vec_id", "embedding", k=3, sub_k=2, min_size=10, min_sub=5)
-    return two.groupBy("super_topic", "sub_topic").agg(F.count("*").alias("frequency"))
+    return _two_levels(spark, d).groupBy("super_topic", "sub_topic").agg(F.count("*").alias("frequency"))
+
+
+@query("t31_two_levels_keep_all_rows", "SELECT vec_id, true AS placed FROM embeddings")
+def _(spark, d):
+    placed = (F.col("super_topic") >= topics.NOISE) & (F.col("sub_topic") >= topics.NOISE)
+    return _two_levels(spark, d).select("vec_id", placed.alias("placed"))
 
 
 @query("t38_topic_metadata")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +120,14 @@ def run_sql_file(spark: SparkSession, path: str, views: Mapping[str, DataFrame]
     return spark.sql(text.strip().rstrip(";"), args=params)
 
 
+def run_named_sql(spark: SparkSession, name: str, views: Mapping[str, DataFrame] | None = None, **params) -> DataFrame:
+    """Run a SQL file of the package by its name; the driver reads it and only its text is used."""
+    for view, df in (views or {}).items():
+        df.createOrReplaceTempView(view)
+    text = resources.files("vidtrend.sources").joinpath("sql", f"{name}.sql").read_text()
+    return spark.sql(text.strip().rstrip(";"), args=params)
+
+
 def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
     """Repartition a text table whose files give fewer tasks than there are cores.
 
