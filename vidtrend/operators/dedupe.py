@@ -25,7 +25,7 @@ def duplicate_rate(df: DataFrame, col: str) -> DataFrame:
 
 def sample_by_hash(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """A repeatable sample of ``n`` rows, the same for every partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 __all__ = ["keep_first", "distinct_pairs", "duplicate_rate", "sample_by_hash", "scalar"]

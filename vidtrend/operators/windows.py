@@ -65,9 +65,9 @@ def calendar_spine(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
     return keys.join(df.select(key, day, value), [key, day], "left").na.fill(0, [value])
 
 
-def observed_spine(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
-    """Every key on every day that occurs anywhere in the data (a bounded calendar list)."""
-    days = df.select(day).distinct().agg(F.array_sort(F.collect_list(day)).alias("d")).scalar()
+def observed_spine(df: DataFrame, key: str, day: str, value: str, calendar: DataFrame | None = None) -> DataFrame:
+    """Every key on every day that occurs anywhere in the data, or in ``calendar`` (a bounded list of days)."""
+    days = (df if calendar is None else calendar).select(day).distinct().agg(F.array_sort(F.collect_list(day)).alias("d")).scalar()
     keys = df.select(key).distinct().withColumn(day, F.explode(days))
     return keys.join(df.select(key, day, value), [key, day], "left").na.fill(0, [value])
 

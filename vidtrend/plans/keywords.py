@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidtrend.functions import text
@@ -81,8 +81,9 @@ def tfidf(df: DataFrame, doc: str, tokens: Column, low: int = 2, high: int = 3,
     ``by`` columns (a period) make independent corpora in the same job.
     """
     by = list(by)
-    tf = (df.select(*by, doc, F.explode(text.ngram_range(tokens, low, high)).alias("term"))
-          .groupBy(*by, doc, "term").agg(F.count("*").alias("tf")))
+    # written once: vocabulary and weights both read it
+    tf = cut_lineage(df.select(*by, doc, F.explode(text.ngram_range(tokens, low, high)).alias("term"))
+                     .groupBy(*by, doc, "term").agg(F.count("*").alias("tf")))
     vocabulary = tf.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     if max_features:
         placed = row_positions(vocabulary.withColumn("_neg", -F.col("cf")), "_neg", "term", by, "_at")
@@ -94,8 +95,9 @@ def tfidf(df: DataFrame, doc: str, tokens: Column, low: int = 2, high: int = 3,
         vocabulary = vocabulary.withColumn("docs", scalar(df, F.count("*")))
     idf = vocabulary.select(*by, "term", (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     raw = tf.join(idf, [*by, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(*by, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, [*by, doc]).select(*by, doc, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # a window holds the terms of one document
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, doc)))
+    return raw.select(*by, doc, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_top(df: DataFrame, doc: str, tokens: Column, low: int = 2, high: int = 3, top: int = 20,
@@ -190,11 +192,12 @@ def phrase_reach(df: DataFrame, phrases: Sequence[str], cols: Sequence[str], ts:
 def keyword_zscores(series: DataFrame, term: str, day: str, value: str, z: float = 3.5,
                     min_days: int = 5) -> DataFrame:
     """Robust z of the last day on a zero-filled, smoothed series of days seen in the data."""
-    spine = windows.observed_spine(series, term, day, value)
+    # terms seen on too few days go before every term gets a row for every day
+    active = series.filter(F.col(value) != 0).groupBy(term).agg(F.count("*").alias("active_days")).filter(F.col("active_days") >= min_days)
+    spine = windows.observed_spine(series.join(active.select(term), term, "left_semi"), term, day, value, series)
     smooth = windows.centred_mean(spine, [term], day, value, "_smooth")
     scores = windows.robust_z_last(smooth, [term], day, "_smooth")
-    active = spine.groupBy(term).agg(F.count_if(F.col(value) != 0).alias("active_days"))
-    return scores.join(active.filter(F.col("active_days") >= min_days), term).filter(F.col("z") > z)
+    return scores.join(active, term).filter(F.col("z") > z)
 
 
 # --- RAKE -----------------------------------------------------------------------------------

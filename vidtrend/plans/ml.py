@@ -25,14 +25,19 @@ CONFIDENCE_BANDS = ("⚠️ Unlikely to Perform Well", "🤔 Uncertain Performan
 def hash_split(df: DataFrame, key: str, label: str | None = None, fraction: float = 0.8, seed: int = 42
                ) -> tuple[DataFrame, DataFrame]:
     """Repeatable random split per class: independent of partitioning, no shuffle."""
-    parts = [F.col(key), F.lit(seed)] + ([F.col(label)] if label else [])
-    draw = F.pmod(F.xxhash64(*parts), F.lit(10_000)) / F.lit(10_000.0)
+    draw = _drawn(f"{seed}:", [key, *([label] if label else [])], 10_000) / F.lit(10_000.0)
     return df.filter(draw < fraction), df.filter(draw >= fraction)
 
 
 def fold_column(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Fold number per row, for CrossValidator(foldCol=...)."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int"))
+    return df.withColumn("fold", _drawn(f"{seed}:fold:", [key], folds).cast("int"))
+
+
+def _drawn(mark: str, cols: Sequence[str], n: int) -> Column:
+    """A number below ``n`` that depends on the row's values only."""
+    joined = F.concat(F.lit(mark), F.concat_ws(":", *[F.col(c).cast("string") for c in cols]))
+    return F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("bigint") % n
 
 
 def daily_tag_features(df: DataFrame, tag: str = "hashtag_name", post: str = "post_id", ts: str = "createTimeISO",

@@ -85,7 +85,7 @@ def comments(spark, folder) -> DataFrame:
         F.col("conv_id").alias("post_id"), F.expr("conv_id * 100 + turn").alias("comment_id"),
         F.col("text").alias("comment"), F.col("role").alias("user"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(int(conv_id % 90), int(turn) + 30)").alias("comment_time"),
-        F.expr("length(text) % 97").alias("likes"), F.expr("substring(text, 1, 1)").alias("language"))
+        F.expr("length(text) % 97").alias("likes"), F.expr("length(text) % 4").cast("string").alias("language"))
 
 
 def transcripts(spark, folder) -> DataFrame:
@@ -139,7 +139,7 @@ _SQL = {
         ((p.post_id * 37) % 100) / 100.0::DOUBLE AS confidence FROM posts p JOIN labels l ON p.post_id = l.doc_id""",
     "comments": """SELECT conv_id AS post_id, conv_id * 100 + turn AS comment_id, text AS comment, role AS "user",
         TIMESTAMP '2024-01-01' + to_days(CAST(conv_id % 90 AS INT)) + to_hours(turn + 30) AS comment_time,
-        length(text) % 97 AS likes, substr(text, 1, 1) AS language FROM conversations""",
+        length(text) % 97 AS likes, CAST(length(text) % 4 AS VARCHAR) AS language FROM conversations""",
     "transcripts": """SELECT page_id AS post_id, html AS transcribed_text, url AS "bucketUrl" FROM pages""",
     "located_posts": """SELECT o_orderkey AS post_id, c_name || ', ' || CASE r_name """
         + " ".join(f"WHEN '{r}' THEN '{c}'" for r, c in COUNTRY_OF_REGION.items())

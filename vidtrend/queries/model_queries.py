@@ -79,7 +79,11 @@ def _(spark, d):
     return out
 
 
-@query("m6_hash_split")
+_DRAW = "CAST('0x' || substr(md5('{m}' || {k}), 1, 8) AS BIGINT)"
+
+
+@query("m6_hash_split", f"""SELECT post_id, {_DRAW.format(m='42:fold:', k='post_id')} % 5 AS fold,
+ CASE WHEN {_DRAW.format(m='42:', k="post_id || ':' || sentiment")} % 10000 < 8000 THEN 'train' ELSE 'test' END AS part FROM scored_posts""")
 def _(spark, d):
     train, test = ml.hash_split(ml.fold_column(t.scored_posts(spark, d), "post_id"), "post_id", "sentiment")
     return train.select("post_id", "fold", F.lit("train").alias("part")).unionByName(test.select("post_id", "fold", F.lit("test").alias("part")))
@@ -147,6 +151,14 @@ def _(spark, d):
     return out.select("post_id", "probability_mean", "prediction")
 
 
+@query("m13_vote_is_a_probability", f"""SELECT post_id, true AS in_range FROM tag_posts WHERE {_DRAW.format(m='42:', k='post_id')} % 10000 >= 8000""")
+def _(spark, d):
+    train, test = ml.hash_split(_engagement(spark, d), "post_id")
+    out = ml.soft_vote(train, test, list(_NUMERIC), trees=5, rounds=3)
+    agrees = (F.col("probability_mean") >= 0.5) == (F.col("prediction") == 1)
+    return out.select("post_id", (F.col("probability_mean").between(0, 1) & agrees).alias("in_range"))
+
+
 _PRED = """WITH x AS (SELECT CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END AS label, CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END AS prediction, ((doc_id * 37) % 100) / 100.0::DOUBLE AS score FROM labels)"""
 
 
@@ -181,6 +193,13 @@ def _(spark, d):
     return virality.importance(virality.contribution_rows(out, NUM))
 
 
+@query("m15_contributions_add_up", "SELECT count(*) AS posts, true AS add_up FROM posts")
+def _(spark, d):
+    out = cut_lineage(virality.linear_contributions(_features(spark, d), NUM)[0])
+    gap = sum((F.col(f"c_{c}") for c in NUM), F.lit(0.0)) - (F.col("prediction") - out.agg(F.avg("prediction")).scalar())
+    return out.agg(F.count("*").alias("posts"), (F.max(F.abs(gap)) < 1e-6).alias("add_up"))
+
+
 @query("m15_response_curves")
 def _(spark, d):
     out, _model = virality.linear_contributions(_features(spark, d), NUM)

@@ -10,6 +10,7 @@ from vidtrend.operators import aggregates, dedupe, filters, joins, windows
 from vidtrend.operators.scale import best, exact_quantiles, group_total, preceding_rows, scalar, top_n
 from vidtrend.plans import hashtags
 from vidtrend.queries import adapters as t
+from vidtrend.queries import sqltext as q
 from vidtrend.queries.registry import query
 
 # --- sources and sinks ----------------------------------------------------------------------
@@ -233,7 +234,8 @@ def _(spark, d):
     return filters.token_count(t.posts(spark, d), "text", 3, 29).select("post_id")
 
 
-@query("f17_thrice_repeated")
+@query("f17_thrice_repeated", rf"""WITH w AS (SELECT post_id, regexp_extract_all(lower(text), '{q.WORD}+|[^\p{{L}}\p{{N}}_\s]') AS w FROM posts)
+SELECT post_id FROM w WHERE len([i FOR i IN range(1, len(w) - 1) IF w[i] = w[i + 1] AND w[i] = w[i + 2] AND regexp_matches(w[i], '^{q.WORD}')]) = 0""")
 def _(spark, d):
     return filters.drop_thrice_repeated(t.posts(spark, d), "text").select("post_id")
 
@@ -658,12 +660,18 @@ def _(spark, d):
     return p.select("post_id", F.aggregate("history", F.lit(0).cast("bigint"), lambda a, x: a + x["diggCount"]).alias("digg_before"), F.size("history").alias("size"))
 
 
-@query("w19_without_repeats", """WITH s AS (SELECT conv_id, turn, substr(text, 1, 1) AS c, lag(substr(text, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
-SELECT conv_id, count(*) FILTER (p IS NULL OR p <> c) AS kept FROM s GROUP BY 1""")
+@query("w19_without_repeats", rf"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '({q.WORD}{{2,}})', 1) AS w FROM conversations)
+SELECT conv_id, turn, array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF i = 1 OR w[i] <> w[i - 1]], ', ') AS words FROM w""")
 def _(spark, d):
-    c = t.table(spark, d, "conversations").withColumn("c", F.substring("text", 1, 1))
-    seq = windows.previous(c, ["conv_id"], "turn", "c", "p")
-    return seq.groupBy("conv_id").agg(F.count_if(F.col("p").isNull() | (F.col("p") != F.col("c"))).alias("kept"))
+    c = t.table(spark, d, "conversations").withColumn("w", text.word_tokens("text"))
+    return c.select("conv_id", "turn", windows.without_repeats("w").alias("words"))
+
+
+@query("x29_top_probability", """SELECT vec_id, R6(list_max([CAST(x AS DOUBLE) FOR x IN embedding])) AS top FROM embeddings""")
+def _(spark, d):
+    from pyspark.ml.functions import array_to_vector
+    e = t.table(spark, d, "embeddings").withColumn("v", array_to_vector(F.col("embedding").cast("array<double>")))
+    return e.select("vec_id", scalars.top_probability("v").alias("top"))
 
 
 # --- top-k, samples, sets -------------------------------------------------------------------
@@ -688,7 +696,7 @@ def _(spark, d):
     return top_n(t.tag_posts(spark, d).select("hashtag_name", "post_id"), ["hashtag_name"], [F.col("post_id")], 3)
 
 
-@query("l5_repeatable_sample")
+@query("l5_repeatable_sample", "SELECT post_id FROM posts ORDER BY md5('42:' || post_id), post_id LIMIT 200")
 def _(spark, d):
     return dedupe.sample_by_hash(t.posts(spark, d), "post_id", 200).select("post_id")
 

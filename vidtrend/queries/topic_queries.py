@@ -99,6 +99,12 @@ def _(spark, d):
     return _fitted(spark, d).select("post_id", "topic", "probability")
 
 
+@query("t24_text_topics_are_complete", """SELECT post_id, true AS valid FROM posts WHERE "textLanguage" = 'en'""")
+def _(spark, d):
+    valid = F.col("probability").between(0, 1) & F.col("topic").between(topics.NOISE, 7)
+    return _fitted(spark, d).select("post_id", valid.alias("valid"))
+
+
 @query("t25_t26_keywords_and_coherence")
 def _(spark, d):
     fitted = _fitted(spark, d)
@@ -114,7 +120,10 @@ def _(spark, d):
     return topics.summary(fitted, names, shown, "post_id", "text")
 
 
-@query("t29_merged_labels")
+@query("t29_merged_labels", """WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2),
+ n AS (SELECT label, sqrt(sum(m * m)) AS nn FROM c GROUP BY 1), p AS (SELECT a.label AS a, b.label AS b, sum(a.m * b.m) AS dot FROM c a JOIN c b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2),
+ s AS (SELECT b, max(a) AS a FROM p JOIN n x ON x.label = a JOIN n y ON y.label = b WHERE dot / (x.nn * y.nn) > 0.1 GROUP BY 1)
+SELECT n.label AS topic, 'topic ' || coalesce(s.a, n.label) AS name FROM n LEFT JOIN s ON s.b = n.label""")
 def _(spark, d):
     e = t.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     means = e.groupBy("label", "i").agg(F.avg("x").alias("m"))
