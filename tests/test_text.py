@@ -133,3 +133,21 @@ def test_too_many_terms_is_an_error(spark):
     terms = spark.range(20).select(F.col("id").cast("string").alias("term"))
     with pytest.raises(Exception, match="more than 5 terms"):
         spark.range(1).withColumn("x", keywords.term_array(terms, "term", 5)).collect()
+
+
+def test_sequence_uses_up_the_words_of_a_term(spark):
+    steps = {"oil": ["double cleanse"], "wash": ["cleanse"], "serum": ["serum"]}
+    assert one(spark, "Double cleanse then serum, cleanse", entities.sequence("t", steps)) == ["oil", "serum", "wash"]
+    assert one(spark, None, entities.sequence("t", steps)) == [] and one(spark, "", entities.sequence("t", steps)) == []
+
+
+def test_rows_match_terms_of_any_length(spark):
+    words = [f"w{i}" for i in range(9)]
+    dictionary = spark.createDataFrame([(" ".join(words[:7]), "long"), ("w8", "short"), ("", "none")], "term string, canonical string")
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, "w8 w8"), (3, None), (4, " ".join(words[:6]))], "id int, t string")
+    assert sorted(map(tuple, entities.match_rows(texts, "id", "t", dictionary).collect())) == [(1, "long"), (1, "short"), (2, "short")]
+
+
+def test_match_with_a_large_dictionary(spark):
+    terms = {f"name{i}": [f"term{i}", f"two words{i}"] for i in range(2400)}
+    assert one(spark, "x term7 two words9, term7", entities.match("t", terms)) == ["name7", "name9"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vidtrend import sources
 from vidtrend.operators import aggregates, windows
-from vidtrend.plans import hashtags, music, trends
+from vidtrend.plans import hashtags, music, topics, trends, virality
 from vidtrend.queries import adapters as t
 
 DATA = "/root/testdata/sf0.001"
@@ -119,3 +119,30 @@ def test_plans_stay_in_the_jvm_without_nested_loops(spark, build):
 def test_entry_points():
     import __spark_entry__ as e
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 200
+
+
+def test_viral_score_keeps_posts_without_comments(spark):
+
+    posts = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, i), 10 * i, 1, 100, 5) for i in range(5)],
+                                  "post_id int, createTimeISO timestamp_ntz, diggCount int, shareCount int, playCount int, author_fans int")
+    rollup = spark.createDataFrame([(i, 2 + i, dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 1 + i), 3, 2) for i in range(4)],
+                                   "post_id int, comments int, first_comment timestamp_ntz, last_comment timestamp_ntz, likes_sum int, distinct_users int")
+    rows = {r.post_id: r for r in virality.with_trending_flag(virality.viral_score(posts, rollup)).collect()}
+    assert len(rows) == 5 and rows[4].viral_score is None and rows[4].is_trending is False
+
+
+def test_small_broad_topics_keep_their_rows(spark):
+    rows = [(i, [float(i // 20), float(i % 3) / 10]) for i in range(43)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    out = topics.two_level(df, "id", "v", k=3, sub_k=2, min_size=2, min_sub=10).collect()
+    assert len(out) == 43 and all(r.sub_topic == topics.NOISE for r in out if r.id >= 40)
+
+
+def test_recent_rows_are_pruned_at_the_scan(spark, tmp_path):
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), f"t{i % 3}", i) for i in range(60)]
+    spark.createDataFrame(rows, "post_id int, createTimeISO timestamp_ntz, hashtag_name string, diggCount int").write.parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p")
+    for out in (hashtags.daily_zscore(df), hashtags.daily_interest(df), hashtags.monthly_growth(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(createTimeISO" in plan, plan

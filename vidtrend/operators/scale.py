@@ -1,7 +1,8 @@
 """Exact building blocks that keep working when one key holds a large share of the rows.
 
 * scalars come from scalar subqueries, never from a driver round trip or a cross join;
-* ranks and quantiles are computed over pre-aggregated value counts cut into ordered buckets,
+* ranks and quantiles are computed over pre-aggregated value counts cut into ordered buckets (as
+  many as there are shuffle partitions),
   so no task sorts a whole group;
 * per-group top-n relies on the partial group limit Spark puts before the shuffle;
 * a dictionary is broadcast only after its row count has been checked.
@@ -17,7 +18,12 @@ from pyspark.sql import functions as F
 from vidtrend.session import cut_lineage
 
 BROADCAST_ROWS = 100_000
-BUCKETS = 64
+LEAST_BUCKETS = 64
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets of an ordered cut: as many as the session has shuffle partitions, at least 64, at most 4096."""
+    return max(LEAST_BUCKETS, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def scalar(df: DataFrame, aggregate: Column) -> Column:
@@ -77,7 +83,7 @@ def group_total(df: DataFrame, by: Sequence[str], aggregate: Column, name: str,
 
 def running_total(
     df: DataFrame, order: Sequence[str], weight: str, by: Sequence[str] = (),
-    before: str = "before", total: str = "total", buckets: int = BUCKETS, written: bool = False,
+    before: str = "before", total: str = "total", buckets: int | None = None, written: bool = False,
 ) -> DataFrame:
     """Exact sum of ``weight`` over the rows that sort before each row of its group.
 
@@ -85,7 +91,7 @@ def running_total(
     The order is cut at approximate quantiles: bucket totals are summed over at most
     ``buckets + 1`` rows per group and only the inside of a bucket is windowed.
     """
-    by = list(by)
+    by, buckets = list(by), buckets or bucket_count(df)
     # read three times below: written once, so the tables behind it are scanned once
     df = df if written else cut_lineage(df)
     lead = F.col(order[0])
@@ -95,7 +101,7 @@ def running_total(
     elif kind.startswith("timestamp"):
         lead = F.unix_micros(lead.cast("timestamp"))
     lead = lead.cast("double")
-    cuts = F.percentile_approx(lead, [(i + 1) / buckets for i in range(buckets - 1)], 1_000)
+    cuts = F.percentile_approx(lead, [(i + 1) / buckets for i in range(buckets - 1)], max(1_000, 16 * buckets))
     if by:
         keyed = df.join(df.groupBy(*by).agg(cuts.alias("_cuts")), by)
     else:
@@ -128,7 +134,7 @@ def _bucket_of(cuts: Column, value: Column, buckets: int) -> Column:
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-    names: Sequence[str] | None = None, buckets: int = BUCKETS, counted: str | None = None,
+    names: Sequence[str] | None = None, buckets: int | None = None, counted: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per group (one row in all without ``by``).
 
@@ -177,7 +183,7 @@ def with_quantiles(df: DataFrame, source: DataFrame, value: str, probs: Sequence
 
 
 def average_rank_pct(df: DataFrame, value: str, name: str = "percentile",
-                     buckets: int = BUCKETS) -> DataFrame:
+                     buckets: int | None = None) -> DataFrame:
     """Percentile rank with average ties: (rows below + (ties + 1) / 2) / rows."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
     ranked = running_total(counts, [value], "_n", (), "_before", "_total", buckets)
