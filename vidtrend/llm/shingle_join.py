@@ -29,6 +29,7 @@ have 64 bits in keys and 128 where equality of sets is decided.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -97,7 +98,7 @@ class Levels:
     """Size levels, and the parts of a level, for sets that link from ``num / den`` similarity on."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.starts = num, den, [1]
+        self.num, self.den, self.starts, self.known = num, den, [1], {}
 
     def needed(self, total):
         """Smallest overlap of two sets with ``total`` elements together."""
@@ -106,15 +107,18 @@ class Levels:
     def level(self, n: int) -> int:
         while self.starts[-1] <= n:
             self.starts.append(self.starts[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.starts, n, "right")) - 1
+        return bisect_right(self.starts, n) - 1
 
     def parts(self, level: int) -> tuple[int, int]:
         """Largest number of differing shingles of linked sets of a level, and its number of parts."""
-        self.level(self.starts[-1] if level + 1 < len(self.starts) else 2 * self.starts[-1])
-        most = self.starts[level + 1] - 1
-        total = most + most * self.den // self.num
-        differ = total - 2 * self.needed(total)
-        return differ, 1 if differ == 0 else differ + 1 + differ // 16 + 2
+        if level not in self.known:
+            while len(self.starts) <= level + 1:
+                self.level(self.starts[-1])
+            most = self.starts[level + 1] - 1
+            total = most + most * self.den // self.num
+            differ = total - 2 * self.needed(total)
+            self.known[level] = differ, 1 if differ == 0 else differ + 1 + differ // 16 + 2
+        return self.known[level]
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         own, out = self.level(len(tokens)), []
