@@ -103,23 +103,26 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     is written to the shared folder; the loop ends when a round changes nothing. Grouping combines
     map-side and the join is split by the skew rule, so a node with very many edges is no single task.
     """
+    # edges are far fewer than texts, so an eighth of the shuffle partitions holds a round
+    few = max(8, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     pairs = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(few), "edges")
+    before = state(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (both.filter("v > u").join(low, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        large = stored(large, "large")
+        large = stored(large.coalesce(few), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        pairs = stored(small, "small")
-        sums = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums == before:
+        pairs = stored(small.coalesce(few), "small")
+        now = state(pairs)
+        if now == before:
             break
-        before = sums
+        before = now
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

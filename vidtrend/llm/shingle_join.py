@@ -15,9 +15,10 @@
    already connected; what is left at the leaves is compared exactly.
    A tree over all documents would not prune at its upper nodes, whose bitmaps are full; families are
    what makes the traversal of many documents possible.
-4. Large families are cut into blocks of bounded size. First every block is traversed with itself and with
-   one other block; blocks are then dealt anew by the classes found, and only pairs that involve sets
-   outside the family's largest class remain. No pair of sets is left out except by the bounds.
+4. Large families, mostly sets that share no more than a passage, are dealt again by keys over three times as
+   many shingles. What is still large is cut into blocks of bounded size. First every block is traversed
+   with itself and a few sets of the whole family; blocks are then dealt anew by the classes found, and only pairs
+   that involve sets outside the family's largest class remain. No pair is left out except by the bounds.
 5. Classes are the components of the exact links.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; fewer
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_KEYS = 1_000_000
+FOREST_NODES = 300_000
 BLOCK_SETS, BLOCK_TOKENS = 256, 1_000_000
 LEAF, FANOUT = 8, 8
+HUB_SETS = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,8 +140,59 @@ class Levels:
         return np.concatenate(out).astype("i8")
 
 
+    def strong_keys(self, tokens: np.ndarray) -> np.ndarray:
+        """Keys over about three times as many shingles, and three times as many of them.
+
+        With more than ``differ`` / 3 groups of five parts some group differs in two shingles at most, so
+        three of its parts agree; every choice of three parts is a key. A group is poor if fewer than
+        three of its parts are filled; there are spare groups, so agreement in empty parts alone
+        counts only for sets with more poor groups than spare ones.
+        """
+        own, out = self.level(len(tokens)), []
+        with np.errstate(over="ignore"):
+            value, place = mix(tokens ^ np.uint64(0x1111111)), mix(tokens ^ np.uint64(0x2222222))
+            for level in {own, max(0, own - 1)}:
+                differ = self.parts(level)[0]
+                needed = differ // 3 + 1
+                spare = 1 + needed // 16
+                groups = needed + spare
+                at = (place % np.uint64(5 * groups)).astype("i8")
+                sums = np.zeros(5 * groups, "u8")
+                np.add.at(sums, at, value)
+                sums = mix(sums + mix(np.arange(5 * groups, dtype="u8"))).reshape(groups, 5)
+                used = (np.bincount(at, minlength=5 * groups) > 0).reshape(groups, 5)
+                all_keys = (used.sum(1) < 3).sum() > spare
+                base = mix(np.arange(groups, dtype="u8") + np.uint64(level * 1_000_003 + 7))
+                for number, three in enumerate(combinations(range(5), 3)):
+                    keys = mix(base + np.uint64(number))
+                    for part in three:
+                        keys = mix(keys ^ sums[:, part]) * np.uint64(_BASE)
+                    out.append(keys if all_keys else keys[used[:, list(three)].any(1)])
+        return np.concatenate(out).astype("i8")
+
+
 def _entries(width: int, levels: Levels):
-    """Texts to ``key, node, leader``: one entry per key and chunk; further sets of a key point to it."""
+    """Texts to ``key, node, leader`` by the keys of their sets."""
+    def sets(batches):
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                tokens = shingles(text, width)
+                if len(tokens):
+                    yield fingerprint(tokens)[0], tokens
+    return lambda batches: _keyed(sets(batches), levels.keys)
+
+
+def _strong_entries(levels: Levels):
+    """Rows ``node, tokens`` to ``key, node, leader`` by the stronger keys."""
+    def sets(batches):
+        for batch in slices(batches, 64):
+            for node, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield node, np.frombuffer(tokens, "u8")
+    return lambda batches: _keyed(sets(batches), levels.strong_keys)
+
+
+def _keyed(sets, keys_of):
+    """One entry per key and chunk of a task; further sets of a key point to it."""
     def flush(keys, nodes):
         keys, nodes = np.concatenate(keys), np.concatenate(nodes)
         order = np.lexsort((nodes, keys))
@@ -150,49 +205,74 @@ def _entries(width: int, levels: Levels):
                                          names=["key", "node", "leader"])
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[0]), pa.array(pairs[1])], names=["key", "node", "leader"])
 
-    def work(batches):
-        keys, nodes, size, seen = [], [], 0, set()
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text, width)
-                if not len(tokens):
-                    continue
-                node = fingerprint(tokens)[0]
-                if node in seen:
-                    continue
-                seen.add(node)
-                own = levels.keys(tokens)
-                keys.append(own)
-                nodes.append(np.full(len(own), node, "i8"))
-                size += len(own)
-                if size >= CHUNK_KEYS:
-                    yield from flush(keys, nodes)
-                    keys, nodes, size, seen = [], [], 0, set()
-        if size:
+    keys, nodes, size, seen = [], [], 0, set()
+    for node, tokens in sets:
+        if node in seen:
+            continue
+        seen.add(node)
+        own = keys_of(tokens)
+        keys.append(own)
+        nodes.append(np.full(len(own), node, "i8"))
+        size += len(own)
+        if size >= CHUNK_KEYS:
             yield from flush(keys, nodes)
-    return work
+            keys, nodes, size, seen = [], [], 0, set()
+    if size:
+        yield from flush(keys, nodes)
+
+
+class Forest:
+    """Classes of node ids met in a task, each named by its smallest node; stars are what leaves the task."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, i: int) -> int:
+        root = i
+        while (up := self.parent.get(root, root)) != root:
+            root = up
+        while (up := self.parent.get(i, i)) != root:
+            self.parent[i] = root
+            i = up
+        return root
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            self.parent[max(i, j)] = min(i, j)
+
+    def stars(self) -> pa.RecordBatch:
+        nodes = list(self.parent)
+        roots = [self.find(i) for i in nodes]
+        return pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
 
 
 def _stars(batches):
-    """Entries sorted by key to edges ``a, b`` between the first set of a key and the others."""
+    """Entries sorted by key to edges ``a, b``: classes of the sets that share a key in this task."""
     last_key = last_node = None
+    forest = Forest()
     for batch in batches:
         if not batch.num_rows:
             continue
         leader = batch.column(2)
         ready = np.asarray(leader.is_valid())
         keys, nodes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        done = np.stack([np.asarray(leader.filter(pa.array(ready))), nodes[ready]]) if ready.any() else np.zeros((2, 0), "i8")
+        if ready.any():
+            for i, j in zip(leader.filter(pa.array(ready)).to_pylist(), nodes[ready].tolist()):
+                forest.join(i, j)
         keys, nodes = keys[~ready], nodes[~ready]
         if len(keys):
             first = np.r_[keys[0] != last_key, keys[1:] != keys[:-1]]
             at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
             lead = np.where(at >= 0, nodes[np.maximum(at, 0)], last_node if last_node is not None else 0)
             rest = nodes != lead
-            done = np.concatenate([done, np.stack([lead[rest], nodes[rest]])], axis=1)
+            for i, j in zip(lead[rest].tolist(), nodes[rest].tolist()):
+                forest.join(i, j)
             last_key, last_node = keys[-1], lead[-1]
-        pairs = np.unique(done, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        if len(forest.parent) > FOREST_NODES:
+            yield forest.stars()
+            forest = Forest()
+    yield forest.stars()
 
 
 class Tree:
@@ -304,17 +384,19 @@ def link_sets(one, other, levels: Levels) -> list[tuple[int, int]]:
 def _link_blocks(levels: Levels):
     def work(batches):
         for batch in batches:
-            links = []
+            forest = Forest()
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                links += link_sets(row["members"], row.get("others"), levels)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*links) if links else ([], []))], names=["a", "b"])
+                for a, b in link_sets(row["members"], row.get("others"), levels):
+                    forest.join(a, b)
+            yield forest.stars()
     return work
 
 
-def _blocks(sets: DataFrame) -> DataFrame:
+def _blocks(sets: DataFrame, *keep: str) -> DataFrame:
     """Rows ``family, block`` with the list of their sets; a block holds about BLOCK_SETS sets."""
-    return sets.groupBy("family", "block").agg(
+    # dealt by both columns: a join by family before this would leave a large family in one task
+    return sets.repartition("family", "block").groupBy("family", "block", *keep).agg(
         F.collect_list(F.struct("node", "class", "tokens")).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"),
         F.min("class").alias("class_low"), F.max("class").alias("class_high"))
 
@@ -323,38 +405,66 @@ def _block_count(count, tokens):
     return F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(tokens / BLOCK_TOKENS)).cast("bigint")
 
 
+def _families(entries: DataFrame) -> DataFrame:
+    """``node, family`` of all sets that share a key with another."""
+    edges = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_stars, "a bigint, b bigint")
+    return connected_components(edges, "a", "b").withColumnRenamed("component", "family")
+
+
+def _with_blocks(members: DataFrame) -> DataFrame:
+    """Adds the number of blocks that a family of ``family, node, n`` needs, and its number of sets."""
+    size = members.groupBy("family").agg(_block_count(F.count("*"), F.sum("n")).alias("blocks"), F.count("*").alias("count"))
+    return members.join(size, "family")
+
+
+def _linked(blocks: DataFrame, levels: Levels) -> DataFrame:
+    return blocks.mapInArrow(_link_blocks(levels), "a bigint, b bigint")
+
+
 def family_links(sets: DataFrame, levels: Levels) -> DataFrame:
-    """Exact links ``a, b`` inside the families of ``family, node, n, tokens`` that connect their classes."""
-    size = sets.groupBy("family").agg(_block_count(F.count("*"), F.sum("n")).alias("blocks"))
-    dealt = sets.join(size, "family").withColumn("class", F.col("node")).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    blocks = stored(_blocks(dealt).join(size, "family"), "blocks")
-    spread = lambda df, *by: df.repartition(*by)
-    own = spread(blocks.select("family", "block", "members"), "family", "block").select("members").mapInArrow(
-        _link_blocks(levels), "a bigint, b bigint")
-    large = blocks.filter("blocks > 1")
+    """Exact links ``a, b`` inside families that connect their classes.
+
+    ``sets`` is a written table ``family, blocks, count, node, n, tokens``. Families of one block are
+    traversed at once; the others are dealt again by stronger keys, which part sets that share no more than
+    a passage; what is still large after that is traversed block by block.
+    """
+    sets = sets.withColumn("class", F.col("node")).withColumn("block", F.lit(0).cast("bigint"))
+    links = _linked(_blocks(sets.filter("blocks = 1")).select("members"), levels)
+    large = sets.filter("blocks > 1")
     if large.isEmpty():
-        return stored(own, "links")
-    pick = lambda df, name: df.select("family", F.col("block").alias(f"{name}_block"), F.col("members").alias(name))
-    hub = pick(large.filter("block = 0"), "others")
-    near = pick(large.filter("block > 0"), "members").join(hub, "family")
-    links = stored(own.unionByName(spread(near, "family", "members_block").select("members", "others").mapInArrow(
-        _link_blocks(levels), "a bigint, b bigint")), "links")
-    # second round, only for large families: blocks by class, and no pairs inside the largest class
+        return stored(links, "links")
+    again = stored(_families(large.select("node", "tokens").mapInArrow(
+        _strong_entries(levels), "key bigint, node bigint, leader bigint")), "families")
+    dealt = stored(_with_blocks(again.join(large.select("node", "n").distinct(), "node")), "dealt")
+    parted = large.drop("family", "blocks", "count", "n").join(checked_broadcast(dealt), "node")
+    links = links.unionByName(_linked(_blocks(parted.filter("blocks = 1")).select("members"), levels))
+    if dealt.filter("blocks > 1").isEmpty():
+        return stored(links, "links")
+    huge = stored(parted.filter("blocks > 1"), "huge")
+    # first round: every block with itself and with the family's hub, about HUB_SETS sets sent to all blocks
+    hub = F.pmod(F.xxhash64("node", F.lit(1)), F.col("count")) < HUB_SETS
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    spread = huge.withColumn("block", F.explode(F.when(hub, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))))
+    links = stored(links.unionByName(_linked(_blocks(spread).select("members"), levels)), "links")
+    # second round: blocks by class, and no pairs inside the largest class of a family
     classes = stored(connected_components(links, "a", "b"), "classes")
-    again = sets.join(size.filter("blocks > 1").select("family"), "family").join(classes, "node", "left")
-    again = stored(again.withColumn("class", F.coalesce("component", "node")).drop("component"), "classed")
-    per = again.groupBy("family", "class").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    classed = stored(dealt.filter("blocks > 1").join(classes, "node", "left").select(
+        "family", "node", "n", F.coalesce("component", "node").alias("class")), "classed")
+    per = classed.groupBy("family", "class").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     main = per.groupBy("family").agg(F.max_by("class", F.struct("c", "class")).alias("main"))
     rest = (per.join(main, "family").filter("class <> main").groupBy("family")
             .agg(_block_count(F.sum("c"), F.sum("t")).alias("rest_blocks")))
-    core = (per.join(main, "family").filter("class = main").select("family", "main", _block_count(F.col("c"), F.col("t")).alias("main_blocks")))
-    dealt = again.join(core, "family").join(rest, "family").withColumn("block", F.when(
+    core = per.join(main, "family").filter("class = main").select("family", "main", _block_count(F.col("c"), F.col("t")).alias("main_blocks"))
+    placed = classed.join(core, "family").join(rest, "family").select("node", "class", F.when(
         F.col("class") == F.col("main"), F.col("rest_blocks") + F.pmod(F.xxhash64("node"), F.col("main_blocks")))
-        .otherwise(F.pmod(F.xxhash64("node"), F.col("rest_blocks"))))
-    blocks = stored(_blocks(dealt).join(rest, "family"), "blocks")
+        .otherwise(F.pmod(F.xxhash64("node"), F.col("rest_blocks"))).alias("block"), "rest_blocks")
+    placed = stored(placed, "placed")
+    if placed.isEmpty():
+        return links
+    blocks = stored(_blocks(huge.drop("class", "block").join(checked_broadcast(placed), "node"), "rest_blocks"), "blocks")
+    pick = lambda df, name: df.select("family", F.col("block").alias(f"{name}_block"), F.col("members").alias(name))
     outside = blocks.filter("block < rest_blocks")
-    inner = outside.select("members").mapInArrow(_link_blocks(levels), "a bigint, b bigint")
+    inner = _linked(outside.select("members"), levels)
     # pairs of summaries first: sizes that cannot link, or a single common class, need no lists
     head = blocks.select("family", "block", "low", "high", "class_low", "class_high")
     pair = (outside.select("family", F.col("block").alias("one"), F.col("low").alias("l1"), F.col("high").alias("h1"),
@@ -364,8 +474,7 @@ def family_links(sets: DataFrame, levels: Levels) -> DataFrame:
             .filter("NOT (class_low = class_high AND c1 = d1 AND c1 = class_low)").select("family", "one", "block"))
     cross = (pair.join(pick(outside, "members").withColumnRenamed("members_block", "one"), ["family", "one"])
              .join(pick(blocks, "others").withColumnRenamed("others_block", "block"), ["family", "block"]))
-    cross = spread(cross, "family", "one", "block").select("members", "others").mapInArrow(_link_blocks(levels), "a bigint, b bigint")
-    return links.unionByName(stored(inner.unionByName(cross), "links"))
+    return links.unionByName(stored(inner.unionByName(_linked(cross.select("members", "others"), levels)), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text: str, width: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:
@@ -386,11 +495,9 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, width: int = 3, sim
     named = printed.filter("n > 0 AND id IS NOT NULL")
     firsts = stored(named.groupBy("node", "check", "n").agg(F.min("id").alias("first")), "firsts")
 
-    entries = ids.filter("id IS NOT NULL").select("text").mapInArrow(_entries(width, levels), "key bigint, node bigint, leader bigint")
-    edges = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_stars, "a bigint, b bigint")
-    families = stored(connected_components(edges, "a", "b").withColumnRenamed("component", "family"), "families")
-
-    wanted = families.join(firsts, "node").select("family", "node", "check", F.col("first").alias("id"))
+    families = stored(_families(ids.filter("id IS NOT NULL").select("text").mapInArrow(
+        _entries(width, levels), "key bigint, node bigint, leader bigint")), "families")
+    wanted = _with_blocks(families.join(firsts, "node").select("family", "node", "check", "n", F.col("first").alias("id")))
 
     def tokenise(batches):
         for batch in slices(batches):
@@ -398,15 +505,14 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, width: int = 3, sim
             for row in batch.to_pylist():
                 tokens = shingles(row["text"], width)
                 if fingerprint(tokens) == (row["node"], row["check"]):  # an id may stand at several texts
-                    out.append((row["family"], row["node"], len(tokens), tokens.tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out) if out else ([],) * 4, kinds)],
-                                             names=["family", "node", "n", "tokens"])
+                    out.append((row["family"], row["blocks"], row["count"], row["node"], len(tokens), tokens.tobytes()))
+            kinds = (*[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out) if out else ([],) * 6, kinds)],
+                                             names=["family", "blocks", "count", "node", "n", "tokens"])
 
     sets = ids.join(checked_broadcast(stored(wanted, "wanted")), "id").mapInArrow(
-        tokenise, "family bigint, node bigint, n bigint, tokens binary")
-    sets = stored(sets, "sets").dropDuplicates(["node"])
-    classes = connected_components(family_links(sets, levels), "a", "b")
+        tokenise, "family bigint, blocks bigint, count bigint, node bigint, n bigint, tokens binary")
+    classes = connected_components(family_links(stored(sets, "sets"), levels), "a", "b")
     by_set = firsts.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     smallest = by_set.groupBy("class").agg(F.min("first").alias("component_id"))
     by_set = stored(by_set.join(smallest, "class").select("node", "check", "n", "component_id"), "by-set")
