@@ -46,7 +46,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_KEYS = 1_000_000
+CHUNK_KEYS = 250_000
 FOREST_NODES = 300_000
 BLOCK_SETS, BLOCK_TOKENS = 256, 1_000_000
 LEAF, FANOUT = 8, 8

@@ -32,6 +32,7 @@ from vidtrend.llm.common import map_texts, partition_sums, slices, stored
 GRADE_CUTS = (3, 6)  # terms from which a toxic document has grade 2 and 3
 GRADES = len(GRADE_CUTS) + 1
 STEMS = (4, 5, 6, 7)
+COUNTED = 100_000
 _SPLIT = bytes(c if c >= 128 or chr(c).isalpha() or c == 39 else 32 for c in range(256))
 
 
@@ -79,15 +80,21 @@ class Model:
 
 def choose_terms(train: DataFrame, least: float, max_terms: int) -> list[str]:
     """Terms by likelihood ratio between toxic and other training documents."""
+    def counted(toxic, other):
+        keys = list(toxic | other)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([other[k] for k in keys], pa.int64())],
+            names=["term", "a", "b"])
+
     def work(batches):
         toxic, other = Counter(), Counter()
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             for row in batch.to_pylist():
                 (toxic if row["label"] else other).update(features(words(row["text"] or "")).keys())
-        keys = list(toxic | other)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([other[k] for k in keys], pa.int64())],
-            names=["term", "a", "b"])
+            if len(toxic) + len(other) > COUNTED:  # a task holds a bounded table; the rest is summed after the shuffle
+                yield counted(toxic, other)
+                toxic, other = Counter(), Counter()
+        yield counted(toxic, other)
 
     totals = train.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     n1, n0 = float(totals[0] or 0), float(totals[1] or 0)
