@@ -61,6 +61,29 @@ def test_chunks_catch_a_repetitive_middle():
     assert chunks >= 6 and outside >= 3 and not good
 
 
+def random_letters(seed, n):
+    draw = random.Random(seed)
+    return "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+
+
+def test_chunks_reach_short_texts_and_the_rest_of_a_text(docs_of):
+    draw = random.Random(8)
+    base = " ".join("".join(draw.choice("etaoinshrdlucmfwypvbgk") for _ in range(draw.randrange(2, 9))) for _ in range(2000))
+    junk = {(a, b): base[:a] + random_letters(a + b, b) for a, b in [(2048, 950), (2048, 1500), (2048, 1950), (900, 900), (600, 600)]}
+    clean = [base[:n] for n in (400, 767, 768, 900, 1800, 2047, 2048, 2049, 2303, 2304, 3000, 4096, 9000)]
+    texts = [*enumerate(clean), *enumerate(junk.values(), 100)]
+    got = {r.doc_id: r for r in compression_bands.compression_rules(docs_of(texts), "text", ["doc_id"]).collect()}
+    assert all(got[i].kept and got[i].n_chunks >= 1 for i in range(len(clean)))
+    assert not any(got[100 + i].kept or got[100 + i].base_failed for i in range(len(junk)))
+
+
+def test_chunks_cover_every_byte():
+    for n in range(1, 3000, 7):
+        ends = compression_bands.cuts(n, 512, 256)
+        assert [b for b, _ in ends] == [0, *[e for _, e in ends[:-1]]] and ends[-1][1] == n
+        assert len(ends) == 1 or min(e - b for b, e in ends) >= 256
+
+
 def test_bpe_matches_tiktoken_and_round_trips(docs_of, ranks):
     tiktoken = pytest.importorskip("tiktoken")
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -1,10 +1,13 @@
 """Quality rules from compression: zstandard ratios must lie in a band that depends on the length.
 
 Repetitive text compresses too well, random text not at all. The ratio compressed / raw bytes is
-taken over the whole document and over chunks of fixed size; the allowed band narrows with the
-length, because short texts carry the frame and long ones repeat vocabulary. A text fails when its
-whole ratio leaves its band, or when more than ``chunk_share`` of its full chunks leave the chunk
-band. Simple counts over words and lines come with the verdict; a text that fails their base rule
+taken over the whole document and over chunks of two sizes; the allowed band narrows with the
+length, because short texts carry the frame and long ones repeat vocabulary. Chunks of each size
+cover every byte: what is left at the end is a chunk with the band of its own length (or joins the
+chunk before it when it is too short to be told from noise), and a shorter text is one chunk. A
+text fails when its whole ratio leaves its band, or when more than ``chunk_share`` of its chunks of
+one size leave theirs. Large chunks see repeats that lie far apart, small ones see junk that a
+large chunk would average away. Simple counts over words and lines come with the verdict; a text that fails their base rule
 is not kept whatever its ratios.
 
 Each text is read whole and by itself in a task: no shuffle, nothing collected.
@@ -29,9 +32,10 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """Allowed ratios: ``(smallest bytes, lowest, highest)`` per length, and those of full chunks.
+    """Allowed ratios: ``(smallest bytes, lowest, highest)`` per length, of texts and of chunks.
 
-    The limits lie just outside the ratios of the clean labelled documents of each length.
+    The limits lie just outside the ratios of the clean labelled documents of each length; the highest
+    of a chunk below ``chunk_bytes`` lies between those and random letters and digits of that length.
     """
 
     by_length: tuple[tuple[int, float, float], ...] = (
@@ -39,6 +43,11 @@ class Bands:
         (4096, 0.418, 0.70), (8192, 0.405, 0.70), (16384, 0.39, 0.70), (32768, 0.375, 0.70), (131072, 0.34, 0.70))
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (0.44, 0.72)
+    small_bytes: int = 512
+    least_rest: int = 256
+    by_chunk: tuple[tuple[int, float, float], ...] = (
+        (0, 0.0, 9.0), (128, 0.53, 0.94), (192, 0.58, 0.86), (256, 0.53, 0.85), (320, 0.53, 0.82), (384, 0.51, 0.79),
+        (512, 0.48, 0.76), (768, 0.47, 0.74), (1024, 0.45, 0.73), (1536, 0.44, 0.72))
     chunk_share: float = 0.25
     level: int = 3
 
@@ -66,27 +75,43 @@ def repeated_words(words: Sequence[bytes]) -> int:
     return sum(inside)
 
 
+def cuts(length: int, size: int, least_rest: int) -> list[tuple[int, int]]:
+    """Ends of chunks of ``size`` that cover all bytes; a rest under ``least_rest`` joins the last."""
+    starts = list(range(0, length, size))
+    if len(starts) > 1 and length - starts[-1] < least_rest:
+        starts.pop()
+    return list(zip(starts, [*starts[1:], length]))
+
+
 def measurer(bands: Bands):
-    """Factory of ``raw bytes -> (ratio, chunks, chunks outside the band, inside all bands)``."""
+    """Factory of ``raw bytes -> (ratio, chunks, chunks outside their band, inside all bands)``.
+
+    Chunks of both sizes are counted; a text that is one small chunk is counted once.
+    """
     def make():
         import zstandard
         press = zstandard.ZstdCompressor(level=bands.level).compress
+        chunk_bands = [(bands.chunk_bytes, *bands.chunk), *reversed(bands.by_chunk)]
+
+        def leaves(raw: bytes, begin: int, end: int) -> bool:
+            size = end - begin
+            _, low, high = next(b for b in chunk_bands if size >= b[0])
+            return not low <= len(press(raw[begin:end])) / size <= high
 
         def measure(raw: bytes) -> tuple[float, int, int, bool]:
             if not raw:
                 return 1.0, 0, 0, True
             ratio = len(press(raw)) / len(raw)
             _, low, high = next(b for b in reversed(bands.by_length) if len(raw) >= b[0])
-            good = low <= ratio <= high
-            size, (c_low, c_high) = bands.chunk_bytes, bands.chunk
-            chunks = len(raw) // size
-            outside = 0
-            if chunks == 1 and len(raw) == size:
-                outside = int(not c_low <= ratio <= c_high)
-            else:
-                for i in range(chunks):
-                    outside += not c_low <= len(press(raw[i * size:(i + 1) * size])) / size <= c_high
-            return ratio, chunks, outside, good and outside <= bands.chunk_share * chunks
+            good, chunks, outside = low <= ratio <= high, 0, 0
+            for size in (bands.chunk_bytes, bands.small_bytes):
+                ends = cuts(len(raw), size, bands.least_rest)
+                if size == bands.small_bytes and len(ends) == 1:
+                    break  # the same chunk as before
+                out = [leaves(raw, *e) for e in ends]
+                good = good and sum(out) <= bands.chunk_share * len(out)
+                chunks, outside = chunks + len(out), outside + sum(out)
+            return ratio, chunks, outside, good
         return measure
     return make
 
