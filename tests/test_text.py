@@ -151,3 +151,15 @@ def test_rows_match_terms_of_any_length(spark):
 def test_match_with_a_large_dictionary(spark):
     terms = {f"name{i}": [f"term{i}", f"two words{i}"] for i in range(2400)}
     assert one(spark, "x term7 two words9, term7", entities.match("t", terms)) == ["name7", "name9"]
+
+
+def test_tfidf_matrix_keeps_terms_after_the_500_most_frequent(spark, tmp_path):
+    import __spark_entry__
+    words = [f"q{a}{b}{c}x" for a in "bdfgk" for b in "aeiou" for c in "bcdfghjklmnprstvwz"][:400]
+    words += [w + "y" for w in words]
+    # every word stands in two texts, every pair of words in one, so it is no term of the vocabulary
+    texts = [" ".join(words[i::20]) for i in range(20)] + [" ".join(reversed(words[i:i + 40])) for i in range(0, 800, 40)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.post_id: r.terms for r in __spark_entry__.queries()["t35_tfidf_matrix"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(t.split()) for i, t in enumerate(texts)}

@@ -310,7 +310,7 @@ def _(spark, d):
     from pyspark.ml.functions import vector_to_array
     p = virality.features(t.posts(spark, d), stop=STOP)
     data = virality.with_grams(p)
-    model = virality.assembler(text_features=500).fit(data)
+    model = virality.assembler().fit(data)
     return model.transform(data).select("post_id", F.size(F.filter(vector_to_array("_text"), lambda x: x != 0)).alias("terms"))
 
 
