@@ -77,6 +77,23 @@ def test_chunks_reach_short_texts_and_the_rest_of_a_text(docs_of):
     assert not any(got[100 + i].kept or got[100 + i].base_failed for i in range(len(junk)))
 
 
+def test_junk_in_long_texts_fails_at_any_place():
+    measure = compression_bands.measurer(compression_bands.Bands())()
+    draw = random.Random(8)
+    base = " ".join("".join(draw.choice("etaoinshrdlucmfwypvbgk") for _ in range(draw.randrange(2, 9))) for _ in range(60_000))
+
+    def mixed(size, *at):
+        text = base[:size]
+        for i in at:
+            text = text[:i * 2048] + random_letters(i, 2048) + text[(i + 1) * 2048:]
+        return measure(text.encode())
+
+    assert all(mixed(n)[3] for n in (16_384, 65_536, 262_144))
+    assert not mixed(16_384, 2, 3)[3] and not mixed(16_384, 1, 5)[3]
+    assert not mixed(262_144, 60, 61)[3] and not mixed(262_144, *range(0, 128, 8))[3]
+    assert compression_bands.longest_run([0, 1, 1, 0, 1]) == 2 and compression_bands.longest_run([]) == 0
+
+
 def test_chunks_cover_every_byte():
     for n in range(1, 3000, 7):
         ends = compression_bands.cuts(n, 512, 256)

@@ -5,8 +5,9 @@ taken over the whole document and over chunks of two sizes; the allowed band nar
 length, because short texts carry the frame and long ones repeat vocabulary. Chunks of each size
 cover every byte: what is left at the end is a chunk with the band of its own length (or joins the
 chunk before it when it is too short to be told from noise), and a shorter text is one chunk. A
-text fails when its whole ratio leaves its band, or when more than ``chunk_share`` of its chunks of
-one size leave theirs. Large chunks see repeats that lie far apart, small ones see junk that a
+text fails when its whole ratio leaves its band, or when too many of its chunks of one size
+leave theirs: more than ``chunk_share`` of them, more than one and one of each ``chunk_every``, or
+more in a row than ``run_bytes`` hold (one is never a run). Large chunks see repeats that lie far apart, small ones see junk that a
 large chunk would average away. Simple counts over words and lines come with the verdict; a text that fails their base rule
 is not kept whatever its ratios.
 
@@ -36,6 +37,7 @@ class Bands:
 
     The limits lie just outside the ratios of the clean labelled documents of each length; the highest
     of a chunk below ``chunk_bytes`` lies between those and random letters and digits of that length.
+    No chunk of a clean labelled document is outside, so one by chance is allowed and few more.
     """
 
     by_length: tuple[tuple[int, float, float], ...] = (
@@ -49,6 +51,8 @@ class Bands:
         (0, 0.0, 9.0), (128, 0.53, 0.94), (192, 0.58, 0.86), (256, 0.53, 0.85), (320, 0.53, 0.82), (384, 0.51, 0.79),
         (512, 0.48, 0.76), (768, 0.47, 0.74), (1024, 0.45, 0.73), (1536, 0.44, 0.72))
     chunk_share: float = 0.25
+    chunk_every: int = 64
+    run_bytes: int = 1024
     level: int = 3
 
 
@@ -83,6 +87,14 @@ def cuts(length: int, size: int, least_rest: int) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], length]))
 
 
+def longest_run(flags: Sequence[bool]) -> int:
+    best = run = 0
+    for flag in flags:
+        run = run + 1 if flag else 0
+        best = max(best, run)
+    return best
+
+
 def measurer(bands: Bands):
     """Factory of ``raw bytes -> (ratio, chunks, chunks outside their band, inside all bands)``.
 
@@ -109,7 +121,8 @@ def measurer(bands: Bands):
                 if size == bands.small_bytes and len(ends) == 1:
                     break  # the same chunk as before
                 out = [leaves(raw, *e) for e in ends]
-                good = good and sum(out) <= bands.chunk_share * len(out)
+                good = (good and sum(out) <= min(bands.chunk_share * len(out), 1 + len(out) / bands.chunk_every)
+                        and longest_run(out) <= max(1, bands.run_bytes // size))
                 chunks, outside = chunks + len(out), outside + sum(out)
             return ratio, chunks, outside, good
         return measure
