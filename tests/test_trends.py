@@ -146,3 +146,23 @@ def test_recent_rows_are_pruned_at_the_scan(spark, tmp_path):
     for out in (hashtags.daily_zscore(df), hashtags.daily_interest(df), hashtags.monthly_growth(df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "GreaterThanOrEqual(createTimeISO" in plan, plan
+
+
+def test_model_queries_run_at_their_operators_own_size():
+    import ast
+    import inspect
+
+    from vidtrend.plans import ml, topics, virality
+    from vidtrend.queries import model_queries, text_queries
+    sizes = {"maxIter", "maxDepth", "iterations", "trees", "rounds", "size", "text_features"}
+    own = {f.__name__ for f in (virality.regressor, virality.classifier, virality.assembler, ml.train_tag_trend,
+                                ml.train_weekly_forest, ml.soft_vote, topics.word_vectors)}
+    seen = set()
+    for module in (model_queries, text_queries):
+        for call in ast.walk(ast.parse(inspect.getsource(module))):
+            if isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and call.func.attr in own:
+                seen.add(call.func.attr)
+                assert not sizes & {k.arg for k in call.keywords}, ast.unparse(call)
+            if isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and call.func.attr == "ablation_contributions":
+                assert ast.unparse(call.args[2]) == "NUM"
+    assert seen == own

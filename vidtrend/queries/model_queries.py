@@ -51,14 +51,14 @@ def _vectors(spark, d):
 @query("m3_m14_boosted_regression")
 def _(spark, d):
     train, test = virality.time_split(_vectors(spark, d))
-    model = virality.regressor(maxIter=10, maxDepth=4).fit(train)
+    model = virality.regressor().fit(train)
     return ml.regression_report(model.transform(test), "viral_target")
 
 
 @query("m4_boosted_classifier")
 def _(spark, d):
     train, test = virality.time_split(virality.viral_labels(_vectors(spark, d)))
-    model = virality.classifier(maxIter=5, maxDepth=4).fit(train)
+    model = virality.classifier().fit(train)
     return ml.confusion(model.transform(test), "is_viral")
 
 
@@ -98,7 +98,7 @@ def _(spark, d):
 @query("m7_m8_ranked_tags")
 def _(spark, d):
     data = ml.daily_tag_features(t.tag_posts(spark, d))
-    model = ml.train_tag_trend(data, iterations=5)
+    model = ml.train_tag_trend(data)
     return ml.rank_tags(model.transform(data), days=7, minimum=None)
 
 
@@ -112,7 +112,7 @@ def _(spark, d):
 @query("m9_m18_weekly_forest")
 def _(spark, d):
     data = ml.weekly_tag_features(t.tag_posts(spark, d))
-    scored = ml.train_weekly_forest(data, trees=10).transform(data)
+    scored = ml.train_weekly_forest(data).transform(data)
     return ml.predicted(ml.decoded(scored, ["steady", "trending"])).select("hashtag_name", "week", "label", "prediction", "predicted_label")
 
 
@@ -147,14 +147,14 @@ def _(spark, d):
 @query("m13_soft_vote")
 def _(spark, d):
     train, test = ml.hash_split(_engagement(spark, d), "post_id")
-    out = ml.soft_vote(train, test, ["playCount", "hour", "dayofweek", "avg_tag_popularity"], trees=5, rounds=3)
+    out = ml.soft_vote(train, test, ["playCount", "hour", "dayofweek", "avg_tag_popularity"])
     return out.select("post_id", "probability_mean", "prediction")
 
 
 @query("m13_vote_is_a_probability", f"""SELECT post_id, true AS in_range FROM tag_posts WHERE {_DRAW.format(m='42:', k='post_id')} % 10000 >= 8000""")
 def _(spark, d):
     train, test = ml.hash_split(_engagement(spark, d), "post_id")
-    out = ml.soft_vote(train, test, list(_NUMERIC), trees=5, rounds=3)
+    out = ml.soft_vote(train, test, list(_NUMERIC))
     agrees = (F.col("probability_mean") >= 0.5) == (F.col("prediction") == 1)
     return out.select("post_id", (F.col("probability_mean").between(0, 1) & agrees).alias("in_range"))
 
@@ -215,21 +215,21 @@ def _(spark, d):
     from pyspark.ml import PipelineModel
     data = _features(spark, d).select("post_id", "viral_target", *NUM)
     vec = VectorAssembler(inputCols=NUM, outputCol="features")
-    model = PipelineModel(stages=[vec, virality.regressor(maxIter=5, maxDepth=3).fit(vec.transform(data))])
-    out = virality.ablation_contributions(model, data, ["author_fans", "word_count"])
-    return virality.contribution_rows(out, ["author_fans", "word_count"])
+    model = PipelineModel(stages=[vec, virality.regressor().fit(vec.transform(data))])
+    out = virality.ablation_contributions(model, data, NUM)
+    return virality.contribution_rows(out, NUM)
 
 
 @query("m16_feature_importances")
 def _(spark, d):
-    model = virality.regressor(maxIter=5, maxDepth=3).fit(_vectors(spark, d))
+    model = virality.regressor().fit(_vectors(spark, d))
     return ml.importances(model, NUM, spark, 5)
 
 
 @query("m17_effect_by_hour")
 def _(spark, d):
     data = _vectors(spark, d)
-    return virality.effect_by_hour(virality.regressor(maxIter=5, maxDepth=3).fit(data).transform(data))
+    return virality.effect_by_hour(virality.regressor().fit(data).transform(data))
 
 
 @query("m18_confusion_of_labels", _PRED + " SELECT label::DOUBLE AS label, prediction::DOUBLE AS prediction, count(*) AS n FROM x GROUP BY 1, 2")

@@ -301,7 +301,7 @@ def _(spark, d):
 def _(spark, d):
     p = t.posts(spark, d).select("post_id", text.clean_tokens("text", STOP).alias("tokens"))
     from pyspark.ml.functions import vector_to_array
-    model = topics.word_vectors(p, "tokens", size=16, iterations=1)
+    model = topics.word_vectors(p, "tokens")
     return model.transform(p).select("post_id", F.size(vector_to_array("vector")).alias("dimensions"))
 
 
