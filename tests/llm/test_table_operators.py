@@ -345,3 +345,9 @@ def test_top_k_repeated_rows_and_nothing(spark):
     got = vector_top_k.top_k(twice, "vec_id", "embedding", F.col("vec_id") % 50 == 0).collect()
     assert [tuple(r) for r in got] == [(0, 1, 3, 131072), (0, 2, 3, 131072)]
     assert vector_top_k.top_k(spark.createDataFrame([], schema), "vec_id", "embedding", F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_top_k_asks_with_a_valid_vector_of_a_repeated_id(spark):
+    rows = [(1, [1.0, 1.0]), (2, [2.0, 1.0]), (5, [1.0, 3.0]), (5, [None, 1.0]), (5, None), (6, [1.0, 2.0]), (6, [float("-inf"), 1.0]), (7, [None, 1.0])]
+    got = vector_top_k.top_k(spark.createDataFrame(rows, "i bigint, v array<double>"), "i", "v", F.lit(True), k=1).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(1, 5), (2, 5), (5, 6), (6, 5)}

@@ -10,7 +10,7 @@ below the k-th best score are dropped and the survivors are compacted.
 
 Defined results: a vector that is null, empty, holds a null or non-finite component, or a
 component beyond +-2**20 takes no part, as does a row without id. Vectors meet those of equal length.
-Rows with the query's id are its own rows; of several, the one with the smallest vector asks. Repeated rows are candidates of their own. Ties go to
+Rows with the query's id are its own rows; of several that take part, the one with the smallest vector asks. Repeated rows are candidates of their own. Ties go to
 the smaller id. Fewer than k candidates give fewer rows; an empty table gives no rows.
 """
 
@@ -134,8 +134,10 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, queries, k: int = 5,
     packed = stored(rows.select("id", "v").mapInArrow(_pack(block, scale), PACKED), "blocks")
     wanted, blocks = rows.filter("_q").count(), packed.count()
     groups, cuts = max(1, -(-wanted // group)), max(1, -(-blocks // blocks_per_slice))
+    most = LARGEST * 256  # as in _pack; NaN is no smaller than any number
+    takes_part = F.expr(f"size(v) > 0 AND NOT exists(v, x -> x IS NULL OR x * {scale} < {-most} OR NOT x * {scale} < {most + 1})")
     # hash groups have about ``group`` queries each, so the list of a group is bounded
-    asked = (rows.filter("_q").groupBy("id").agg(F.min("v").alias("v"))
+    asked = (rows.filter("_q").filter(takes_part).groupBy("id").agg(F.min("v").alias("v"))
              .groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("grp"))
              .agg(F.collect_list(F.struct("id", "v")).alias("members")).select(F.inline("members")))
     asked = stored(asked.mapInArrow(_pack(group, scale), PACKED), "asked")
