@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vidtrend.llm import (byte_bpe, capture_index, compression_bands, personal_data, quality_score, shingle_join, source_mix, toxicity, unigram_count,
-                          vector_top_k)
+from vidtrend.llm import (byte_bpe, capture_index, compression_bands, merkle_manifest, personal_data, quality_score, shingle_join, source_mix, toxicity,
+                          unigram_count, vector_top_k)
 from vidtrend.llm.common import table
 from vidtrend.llm.registry import query
 
@@ -85,3 +85,8 @@ def op7(spark, folder):
 def op5(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return personal_data.report(personal_data.annotate(docs, "text", personal_data.fit(docs, "text")), ["doc_id"])
+
+
+@query("op11_merkle_manifest", merkle_manifest.SQL)
+def op11(spark, folder):
+    return merkle_manifest.tampered_report(table(spark, folder, "documents"))
