@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vidtrend.llm import (byte_bpe, capture_index, compression_bands, merkle_manifest, personal_data, quality_score, shingle_join, source_mix, toxicity,
+from vidtrend.llm import (byte_bpe, capture_index, compression_bands, license_scan, merkle_manifest, personal_data, quality_score, shingle_join, source_mix, toxicity,
                           unigram_count, vector_top_k)
 from vidtrend.llm.common import table
 from vidtrend.llm.registry import query
@@ -90,3 +90,8 @@ def op5(spark, folder):
 @query("op11_merkle_manifest", merkle_manifest.SQL)
 def op11(spark, folder):
     return merkle_manifest.tampered_report(table(spark, folder, "documents"))
+
+
+@query("op13_license_scan", license_scan.SQL)
+def op13(spark, folder):
+    return license_scan.scan(table(spark, folder, "documents"), "text", ["doc_id"])
