@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vidtrend.llm import (byte_bpe, capture_index, compression_bands, license_scan, merkle_manifest, personal_data, quality_score, shingle_join, source_mix, toxicity,
-                          unigram_count, vector_top_k)
+from vidtrend.llm import (byte_bpe, capture_index, compression_bands, license_scan, merkle_manifest, personal_data, quality_score, shingle_join,
+                          source_mix, spelling_variants, toxicity, unigram_count, vector_top_k)
 from vidtrend.llm.common import table
 from vidtrend.llm.registry import query
 
@@ -95,3 +95,8 @@ def op11(spark, folder):
 @query("op13_license_scan", license_scan.SQL)
 def op13(spark, folder):
     return license_scan.scan(table(spark, folder, "documents"), "text", ["doc_id"])
+
+
+@query("op12_spelling_variants", spelling_variants.SQL)
+def op12(spark, folder):
+    return spelling_variants.variants(table(spark, folder, "documents"), "doc_id", "text")
