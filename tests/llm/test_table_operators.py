@@ -326,15 +326,17 @@ def test_top_k_matches_brute_force(spark, block, group, step):
     rows = [(i, draw.normal(0, 0.3, 12).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[0][1]) for i in range(40)]  # ties with every query
     odd = [(400, None), (401, []), (402, [None] * 12), (403, [float("nan")] * 12), (404, [float("inf")] * 12), (405, [1.0] * 5), (None, [1.0] * 12),
-           (500, [2.0] * 5), (450, [0.5] * 5), (600, [9e9] * 12), (650, [1.0])]
+           (500, [2.0] * 5), (450, [0.5] * 5), (600, [9e9] * 12), (650, [1.0]), (700, [2.0 ** 21] * 12), (701, [-3e12, 5.0] * 6)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows + odd], "vec_id bigint, embedding array<float>, id int, grp int").repartition(4)
     got = vector_top_k.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, block=block, group=group, step=step).collect()
     whole = [(i, np.floor(256 * np.float32(v).astype("f8")).astype(int)) for i, v in rows] + [
         (405, np.full(5, 256)), (500, np.full(5, 512)), (450, np.full(5, 128)), (650, np.array([256]))]
+    whole += [(i, np.floor(256 * np.float32(v).astype("f8"))) for i, v in odd if i in (600, 700, 701)]
+    whole = [(i, np.array([int(c) for c in v], object)) for i, v in whole]  # integers of any size
     want = []
     for q, x in whole:
         if q % 50 == 0:
-            scores = sorted((-int(x @ y), i) for i, y in whole if i != q and len(y) == len(x))[:5]
+            scores = sorted((-max(-2 ** 63, min(2 ** 63 - 1, int(x @ y))), i) for i, y in whole if i != q and len(y) == len(x))[:5]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     assert sorted(map(tuple, got)) == sorted(want)
 

@@ -8,8 +8,11 @@ score is accumulated dimension block by dimension block; after each one the cand
 so far plus the largest possible rest (Cauchy-Schwarz over the remaining mass of both vectors) stays
 below the k-th best score are dropped and the survivors are compacted.
 
-Defined results: a vector that is null, empty, holds a null or non-finite component, or a
-component beyond +-2**20 takes no part, as does a row without id. Vectors meet those of equal length.
+Blocks hold 32-bit integers; blocks with larger components hold doubles, which are exact for whole
+numbers of that size, and what the bounds leave of them is summed as integers of any size.
+
+Defined results: a vector that is null, empty, holds a null or non-finite component, or one that leaves the
+range of a double when scaled, takes no part, as does a row without id. A score beyond 64 bits is cut to the nearest 64-bit number. Vectors meet those of equal length.
 Rows with the query's id are its own rows; of several that take part, the one with the smallest vector asks. Repeated rows are candidates of their own. Ties go to
 the smaller id. Fewer than k candidates give fewer rows; an empty table gives no rows.
 """
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 
 from vidtrend.llm.common import stored
 
-PACKED = "dim int, n int, ids binary, data binary, lead bigint"
-LARGEST = 1 << 20
+PACKED = "dim int, n int, wide boolean, ids binary, data binary, lead bigint"
+LARGEST = 1 << 28
+TOP = (1 << 63) - 1
 
 
 def _pack(size: int, scale: int):
@@ -47,14 +51,16 @@ def _pack(size: int, scale: int):
                     x = flat[begin[at][:, None] + np.arange(dim)]
                     with np.errstate(over="ignore", invalid="ignore"):
                         x = np.floor(x * scale)
-                    good = (np.abs(x) <= LARGEST * 256).all(axis=1)  # false for NaN and infinity
-                    if good.any():
-                        x, own = x[good].astype("<i4"), keys[at[good]]
-                        out.append((int(dim), len(own), own.tobytes(), np.ascontiguousarray(x.T).tobytes(), int(own[0])))
+                    whole = np.isfinite(x).all(axis=1)
+                    small = (np.abs(x) <= LARGEST).all(axis=1)
+                    for wide, good in ((False, whole & small), (True, whole & ~small)):
+                        if good.any():
+                            own, kind = keys[at[good]], "<f8" if wide else "<i4"
+                            out.append((int(dim), len(own), wide, own.tobytes(), np.ascontiguousarray(x[good].astype(kind).T).tobytes(), int(own[0])))
                 if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))],
-                        names=["dim", "n", "ids", "data", "lead"])
+                    kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                                                     names=["dim", "n", "wide", "ids", "data", "lead"])
     return work
 
 
@@ -70,16 +76,18 @@ def search_block(q_ids, q, x_ids, x, best: dict, k: int, step: int) -> None:
     edges = [*range(step, dim, step), dim]
     q, wide = q.astype("f8"), x.astype("f8")  # sums stay below 2**53 for short vectors, see exact below
     exact = dim * float(np.abs(q).max(initial=0)) * float(np.abs(wide).max(initial=0)) < 2.0 ** 52
-    q_rest, x_rest = _rest(q, edges), _rest(wide, edges)
+    (q_whole, *q_rest), (x_whole, *x_rest) = (_rest(part, [0, *edges]) for part in (q, wide))
     first = q[:edges[0]].T @ wide[:edges[0]]
     for i, query in enumerate(q_ids.tolist()):
         held = best.setdefault(query, [])
         mass = first[i]
         alive = np.flatnonzero(x_ids != query)
-        floor = -held[k - 1][0] if len(held) >= k else None
-        if floor is None and len(alive) > k:  # exact scores of the k most promising give a first bound
+        floor = float(-held[k - 1][0]) if len(held) >= k else None
+        # what rounding may add to or take from a sum of products of these lengths
+        blur = 0.0 if exact else 1e-9 * float(q_whole[i]) * float(x_whole.max(initial=0))
+        if floor is None and len(alive) > k:  # scores of the k most promising give a first bound
             top = alive[np.argpartition(-mass[alive], k - 1)[:k]]
-            floor = float((q[:, i] @ wide[:, top]).min())
+            floor = float((q[:, i] @ wide[:, top]).min()) - blur
         score = mass[alive]
         for e, (edge, q_tail, x_tail) in enumerate(zip(edges, q_rest, x_rest)):
             if e:
@@ -87,13 +95,13 @@ def search_block(q_ids, q, x_ids, x, best: dict, k: int, step: int) -> None:
                 score = score + q[low:edge, i] @ wide[low:edge, alive]
             if floor is not None:
                 reach = score + q_tail[i] * x_tail[alive]
-                on = reach >= floor - 1e-6 * (1 + np.abs(reach))
+                on = ~(reach < floor - 1e-6 * (1 + np.abs(reach)) - blur)  # what is not a number stays
                 alive, score = alive[on], score[on]
         if exact:
             whole = score.astype("i8").tolist()
         else:
             own = [int(v) for v in q[:, i]]
-            whole = [sum(a * int(b) for a, b in zip(own, x[:, j])) for j in alive]
+            whole = [min(TOP, max(-TOP - 1, sum(a * int(b) for a, b in zip(own, x[:, j])))) for j in alive]
         if len(alive):
             held += [(-s, c) for s, c in zip(whole, x_ids[alive].tolist())]
             held.sort()
@@ -115,9 +123,9 @@ def _search(k: int, step: int):
                     if best:
                         yield flush()
                     group, best = (row["dim"], row["grp"]), {}
-                load = lambda a: np.frombuffer(row[a], "<i4").reshape(row["dim"], -1)  # noqa: B023, E731
-                search_block(np.frombuffer(row["q_ids"], "<i8"), load("q_data"), np.frombuffer(row["ids"], "<i8"),
-                             load("data"), best, k, step)
+                load = lambda p: np.frombuffer(row[p + "data"], "<f8" if row[p + "wide"] else "<i4").reshape(row["dim"], -1)  # noqa: B023, E731
+                with np.errstate(over="ignore", invalid="ignore"):
+                    search_block(np.frombuffer(row["q_ids"], "<i8"), load("q_"), np.frombuffer(row["ids"], "<i8"), load(""), best, k, step)
         if best:
             yield flush()
     return work
@@ -134,8 +142,7 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, queries, k: int = 5,
     packed = stored(rows.select("id", "v").mapInArrow(_pack(block, scale), PACKED), "blocks")
     wanted, blocks = rows.filter("_q").count(), packed.count()
     groups, cuts = max(1, -(-wanted // group)), max(1, -(-blocks // blocks_per_slice))
-    most = LARGEST * 256  # as in _pack; NaN is no smaller than any number
-    takes_part = F.expr(f"size(v) > 0 AND NOT exists(v, x -> x IS NULL OR x * {scale} < {-most} OR NOT x * {scale} < {most + 1})")
+    takes_part = F.expr(f"size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x * {scale}) = double('infinity'))")
     # hash groups have about ``group`` queries each, so the list of a group is bounded
     asked = (rows.filter("_q").filter(takes_part).groupBy("id").agg(F.min("v").alias("v"))
              .groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("grp"))
@@ -143,11 +150,11 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, queries, k: int = 5,
     asked = stored(asked.mapInArrow(_pack(group, scale), PACKED), "asked")
     asked = asked.select("dim", F.pmod(F.xxhash64("lead", "dim"), F.lit(groups)).cast("int").alias("grp"),
                          F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cut"),
-                         F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+                         F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     blocks = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"),
-                           F.pmod(F.xxhash64("ids"), F.lit(cuts)).cast("int").alias("cut"), "ids", "data")
+                           F.pmod(F.xxhash64("ids"), F.lit(cuts)).cast("int").alias("cut"), "wide", "ids", "data")
     pairs = asked.join(blocks.hint("shuffle_merge"), ["dim", "grp", "cut"])
-    found = pairs.select("dim", "grp", "q_ids", "q_data", "ids", "data").mapInArrow(
+    found = pairs.select("dim", "grp", "q_wide", "q_ids", "q_data", "wide", "ids", "data").mapInArrow(
         _search(k, step), "query_id bigint, vec_id bigint, score bigint")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
