@@ -1,7 +1,7 @@
 """License scan by diagonal voting, with DataFrame functions only.
 
 1. Grams. A text's words (A-Z lower-cased) give one rolling hash per position and gram length: all
-   grams of ``k`` words for notices and of two words for phrases and short forms.
+   grams of ``LONG`` words for notices and of two words for phrases and short forms.
 2. Join. The exploded hashes are joined to the template positions that hold the same gram. Templates
    are a bounded parameter, so that side is broadcast; the words themselves are compared too. A first
    element that always joins carries the row's word count, so texts are read once.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,8 @@ from vidtrend.llm.common import stored
 from vidtrend.llm.license_texts import NOTICES, PHRASES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between the same words before A-Z are lower-cased.
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LONG, SHORT = 4, 2
 SLACK = 3
 SHARE = 0.6
@@ -38,10 +41,6 @@ SHARE = 0.6
 MOST_WORDS = 200_000
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
-
-
 def words_of(text: str) -> list[str]:
     return re.findall(WORD, text.translate(str.maketrans(ascii_uppercase, ascii_lowercase)))
 
@@ -61,11 +60,33 @@ def templates(phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[tu
     return out
 
 
-def _positions(spark, known: list[tuple]) -> DataFrame:
+def _with_grams(rows: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """Adds rolling hashes ``h<k>`` of the array ``words``: every word is hashed once, longer grams combine two shorter ones.
+
+    Words are folded by ``lower``, which also joins words that A-Z alone would keep apart; the words
+    themselves are compared after the join. Each length is a projection of its own, so none is computed twice.
+    """
+    rows = rows.withColumn("h1", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
+    needed, known = list(lengths), {1}
+    for k in needed:  # the list grows by the parts of its members
+        first = 1 << (k - 1).bit_length() - 1
+        needed += [part for part in (first, k - first) if part > 1 and part not in needed]
+    for k in sorted(set(needed) - known):
+        first, count = 1 << (k - 1).bit_length() - 1, F.greatest(F.size("words") - (k - 1), F.lit(0))
+        rows = rows.withColumn(f"h{k}", F.zip_with(F.slice(f"h{first}", 1, count), F.slice(f"h{k - first}", first + 1, count), lambda x, y: F.xxhash64(x, y)))
+    return rows
+
+
+def _positions(spark, known: list[tuple], lengths: Sequence[int]) -> DataFrame:
     """One row per template position; the row of template -1 meets the first element of every text."""
-    rows = [(n, k, t, " ".join(words[t:t + k])) for n, _, _, k, words in known for t in range(len(words) - k + 1)]
-    table = spark.createDataFrame([(-1, 0, 0, "")] + rows, "template int, k int, at int, gram string")
-    return table.withColumn("hash", F.xxhash64("k", "gram"))
+    parts = []
+    for k in lengths:
+        own = [(n, words) for n, _, _, length, words in known if length == k]
+        table = spark.createDataFrame(own, "template int, words array<string>")
+        table = _with_grams(table, [k]).select("template", "words", F.posexplode(f"h{k}").alias("at", "hash"))
+        parts.append(table.select("template", F.lit(k).alias("k"), "at", F.array_join(F.slice("words", F.col("at") + 1, k), " ").alias("gram"), "hash"))
+    start = spark.createDataFrame([(-1, 0, 0, "")], "template int, k int, at int, gram string")
+    return reduce(DataFrame.unionByName, parts, start.withColumn("hash", F.xxhash64(F.lit(0))))
 
 
 def hits(docs: DataFrame, text: str, keep: Sequence[str], known: list[tuple]) -> DataFrame:
@@ -73,24 +94,26 @@ def hits(docs: DataFrame, text: str, keep: Sequence[str], known: list[tuple]) ->
 
     Every row has a first entry of template -1, also without hits.
     """
-    words = F.regexp_extract_all(lowered(F.col(f"`{text}`")), F.lit(WORD), 0)
-    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*kept, words.alias("words")).withColumn("row", F.monotonically_increasing_id())
-    n = F.size("words")
-
-    def grams(k: int) -> Column:
-        ends = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(ends, lambda i: F.struct(
-            F.xxhash64(F.lit(k), F.concat_ws(" ", *[F.get(F.col("words"), i + j) for j in range(k)])).alias("hash"), i.alias("place"), F.lit(k).alias("k")))
-    first = F.array(F.struct(F.xxhash64(F.lit(0), F.lit("")).alias("hash"), F.lit(0).alias("place"), F.lit(0).alias("k")))
+    ids = [f"k{i}" for i in range(len(keep))]
+    # split is linear in the text; regexp_extract_all copies the text for every match
+    words = F.array_remove(F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), BREAKS), "")
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, ids)], words.alias("words")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("row", *ids, "words", F.size("words").alias("n"))
     lengths = sorted({k for _, _, _, k, _ in known})
-    every = rows.select("row", *[f"k{i}" for i in range(len(keep))], "words", n.cast("bigint").alias("n_words"),
-                        F.explode(F.concat(first, *[grams(k) for k in lengths])).alias("g"))
-    every = every.select("*", "g.hash", "g.place").withColumnRenamed("g", "_g")
-    met = every.join(F.broadcast(_positions(docs.sparkSession, known)), "hash")
-    same = F.array_join(F.slice("words", F.col("place") + 1, F.col("k")), " ") == F.col("gram")
-    met = met.filter((F.col("_g.k") == F.col("k")) & ((F.col("k") == 0) | same))
-    return stored(met.select("row", *[f"k{i}" for i in range(len(keep))], "n_words", "template", "at", "place"), "hits")
+    # one explode: the first element, then all grams of each length after another
+    every = F.concat(F.array(F.xxhash64(F.lit(0))), *[F.col(f"h{k}") for k in lengths])
+    each = _with_grams(rows, lengths).select("row", *ids, "words", "n", F.posexplode(every).alias("pos", "hash"))
+    met = each.join(F.broadcast(_positions(docs.sparkSession, known, lengths)), "hash")
+    start, starts = F.lit(1), {0: F.lit(0)}
+    for k in lengths:
+        starts[k] = start
+        start = start + F.greatest(F.col("n") - (k - 1), F.lit(0))
+    first = reduce(lambda low, k: F.when(F.col("k") == k, starts[k]).otherwise(low), lengths, starts[0])
+    met = met.withColumn("place", F.col("pos") - first)
+    same = F.translate(F.array_join(F.slice("words", F.col("place") + 1, F.col("k")), " "), ascii_uppercase, ascii_lowercase) == F.col("gram")
+    inside = (F.col("place") >= 0) & (F.col("place") + F.col("k") <= F.col("n"))
+    met = met.filter(F.when(F.col("k") == 0, F.col("pos") == 0).when(inside, same).otherwise(False))
+    return stored(met.select("row", *ids, F.col("n").cast("bigint").alias("n_words"), "template", "at", "place"), "hits")
 
 
 def places(met: DataFrame, known: list[tuple], slack: int = SLACK) -> DataFrame:

@@ -50,8 +50,9 @@ _UNBASE = pow(_BASE, -1, _PRIME)
 
 def occurrences(docs: DataFrame, id_col: str, text: str, min_length: int = 7) -> DataFrame:
     """``word`` of each letter run that is long enough, after the contract's deletions."""
-    runs = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(
-        F.regexp_extract_all(F.col(f"`{text}`").cast("string"), F.lit(f"[{LETTERS}]{{{min_length},}}"), 0)).alias("run"))
+    # split is linear in the text; regexp_extract_all copies the text for every match
+    runs = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.split(F.col(f"`{text}`").cast("string"), f"[^{LETTERS}]+")).alias("run"))
+    runs = runs.filter(F.char_length("run") >= min_length)
     runs = runs.select("id", F.translate("run", ascii_uppercase, ascii_lowercase).alias("run"))
     check = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
     runs = runs.select("run", check.alias("h"), F.char_length("run").alias("length"))

@@ -51,9 +51,9 @@ def _pack(size: int, scale: int):
                     x = flat[begin[at][:, None] + np.arange(dim)]
                     with np.errstate(over="ignore", invalid="ignore"):
                         x = np.floor(x * scale)
-                    whole = np.isfinite(x).all(axis=1)
+                    finite = np.isfinite(x).all(axis=1)
                     small = (np.abs(x) <= LARGEST).all(axis=1)
-                    for wide, good in ((False, whole & small), (True, whole & ~small)):
+                    for wide, good in ((False, finite & small), (True, finite & ~small)):
                         if good.any():
                             own, kind = keys[at[good]], "<f8" if wide else "<i4"
                             out.append((int(dim), len(own), wide, own.tobytes(), np.ascontiguousarray(x[good].astype(kind).T).tobytes(), int(own[0])))
