@@ -63,7 +63,28 @@ def test_run_equals_its_stages_and_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_rows_without_own_ids_are_neither_lost_nor_spared(spark, folder):
+    stages = dict(corpus_pipeline.STAGES)
+    texts = [prose(i, 40) for i in range(6)]
+    data = [(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (8, texts[4]), (None, texts[4]), (9, texts[5]), (9, texts[5])]
+    data += [(None, None), (None, ""), (5, None)]
+    docs = spark.createDataFrame(rows(data), DOCS)
+    one = stages["near_duplicates"](spark, docs, folder)
+    assert one.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in one.collect())
+    assert kept == Counter({(7, texts[0]): 1, (7, texts[1]): 1, (None, texts[2]): 1, (None, texts[3]): 1, (8, texts[4]): 1, (9, texts[5]): 1,
+                            (None, None): 1, (None, ""): 1, (5, None): 1})
+
+
+def test_mix_takes_whole_rows_and_leaves_no_source_empty(spark, folder):
+    stages = dict(corpus_pipeline.STAGES)
+    data = [(None, " ".join(["w"] * 8), "en", "b", 0, "x", "y", 7)] * 10 + [(1, " ".join(["v"] * 400), "en", "a", 0, "x", "y", 7)]
+    mixed = stages["source_mix"](spark, spark.createDataFrame(data, DOCS), folder).collect()
+    # a: 160 of 400 words wanted, in its only document; b: 320 of 80 wanted, cut to 240
+    assert Counter(r.source for r in mixed) == {"a": 1, "b": 30}
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "source_mix", "byte_bpe"]

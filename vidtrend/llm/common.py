@@ -49,15 +49,18 @@ def map_texts(df: DataFrame, keep: list[str], text: str, per_text, schema: str)
     is local to a task; it sees one whole text at a time.
     """
     kept = numbered(df, keep, text)
+    at = len(keep)
+    if text in keep and dict(df.dtypes)[text] == "string":  # a kept text goes to Python once
+        kept, at = kept.drop("text"), keep.index(text)
     new = StructType.fromDDL(schema)
-    names, kinds = [*keep, *new.names], [to_arrow_type(f.dataType) for f in new]
+    names, kinds, width = [*keep, *new.names], [to_arrow_type(f.dataType) for f in new], len(keep)
 
     def work(batches):
         run = per_text()
         for batch in slices(batches):
-            rows = [run(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [run(t or "") for t in batch.column(at).to_pylist()]
             values = list(zip(*rows)) if rows else [[] for _ in kinds]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in range(width)]
             columns += [pa.array(list(v), type=kind) for v, kind in zip(values, kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
