@@ -2,7 +2,11 @@
 
 Toxic documents go; of each group of near-duplicates (five-word shingles, similarity 0.8) one document
 stays; personal data is masked; the sources are mixed to their target weights; what is left becomes
-token ids. Every stage but the last returns the columns of its input.
+token ids. Every stage but the last returns the columns of its input, which are at least ``doc_id``,
+``text``, ``lang``, ``source`` and ``n_chars``.
+
+Rows count, not ids: where a stage compares or counts rows, each has a number of its own, so rows that
+share an id or have none are neither merged nor spared.
 """
 
 from __future__ import annotations
@@ -12,19 +16,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidtrend.llm import byte_bpe, personal_data, shingle_join, source_mix, toxicity
-from vidtrend.llm.common import stored, table, word_count
+from vidtrend.llm.common import stored, table
 from vidtrend.operators.scale import checked_broadcast
 
 #: Not SQL: the stages hold fitted models and tokenizer merges.
 ORACLE_SQL = None
 
 
+#: An executor keeps its heap and its Python workers from stage to stage, so no stage may let them grow:
+#: small Arrow batches, and few groups with lists at a time before an aggregate sorts.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+            "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8"}
+
+
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+def _settings(spark: SparkSession) -> None:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """A written copy of the table with a number for each row."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not call toxic; a null text is not toxic."""
+    _settings(spark)
     model = toxicity.train_model(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
     scored = toxicity.score(docs, "text", docs.columns, model, prefix="_pipeline_")
     return scored.filter("NOT _pipeline_toxic").select(*_columns(docs))
@@ -33,23 +54,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group.
 
-    An id names one document: of several rows with one id that with the smallest text stays, a null
-    text last. Rows without id stay, as do documents without words.
+    Rows are compared by their texts alone: different texts under one id are different documents, and
+    equal texts without id are copies. Of copies with one id the first read stays; documents with an
+    id stay before those without. Documents without words stay.
     """
-    named = docs.filter("doc_id IS NOT NULL")
-    repeated = stored(named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        several = checked_broadcast(repeated)
-        packed = F.struct(F.col("text").isNull(), F.col("text"), F.struct(*_columns(docs)).alias("row"))
-        once = named.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(packed).alias("_one")).select("_one.row.*")
-        docs = stored(docs.join(several, "doc_id", "left_anti").select(*_columns(docs)).unionByName(once.select(*_columns(docs))), "once")
-    groups = shingle_join.near_duplicates(docs, "doc_id", "text", width=5, similarity=(80, 100))
-    others = stored(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "others")
-    return docs.join(checked_broadcast(others), "doc_id", "left_anti").select(*_columns(docs))
+    _settings(spark)
+    rows = _numbered(docs)
+    groups = shingle_join.near_duplicates(rows, "_row", "text", width=5, similarity=(80, 100))
+    members = stored(groups.select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"), F.count("*").alias("_n"))
+    others = members.join(first.filter("_n > 1"), "component_id").filter("_row <> _first._row").select("_row")
+    return rows.join(checked_broadcast(stored(others, "others")), "_row", "left_anti").select(*_columns(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data replaced by the kind in brackets; null texts stay null."""
+    _settings(spark)
     model = personal_data.fit(docs, "text")
     found = personal_data.annotate(docs, "text", model, name="_pipeline_pii")
     text = personal_data.masked(F.col("text"), F.col("_pipeline_pii"))
@@ -59,21 +79,20 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in whole copies; documents that it does not take go.
 
-    A stream of a source wraps inside one document at most, so rounding to whole copies shifts a
-    source by less than one document.
+    A document that the mix takes in part is taken whole, so that the one in which a source's target ends
+    stays too; a source exceeds its words by less than that document.
     """
-    verdict = source_mix.mix(docs, "doc_id", "source", "text")[1].filter("taken > 0")
-    keys = {"doc_id": "_m_doc", "source": "_m_source", "size": "_m_size"}
-    copies = verdict.groupBy(*keys).agg(F.round(F.sum("taken") / (F.count("*") * F.first("size"))).cast("int").alias("_m_copies"))
-    copies = copies.select(*[F.col(a).alias(b) for a, b in keys.items()], "_m_copies").filter("_m_copies > 0")
-    sized = docs.withColumn("_m_words", word_count(F.col("text")))
-    taken = sized.join(copies, sized["doc_id"].eqNullSafe(F.col("_m_doc")) & sized["source"].eqNullSafe(F.col("_m_source"))
-                       & (F.col("_m_words") == F.col("_m_size")))
-    return taken.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*_columns(docs))
+    _settings(spark)
+    rows = _numbered(docs)
+    verdict = source_mix.mix(rows, "_row", "source", "text")[1].filter("taken > 0")
+    copies = verdict.select(F.col("doc_id").alias("_row"), F.expr("CAST((taken + size - 1) DIV size AS INT)").alias("_copies"))
+    taken = rows.join(copies, "_row")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*_columns(docs))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with digests of the ids and of the text they decode to."""
+    _settings(spark)
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = byte_bpe.read_ranks(lines)
     encoded = byte_bpe.encode(docs, "text", ["doc_id", "lang", "source"], ranks, public_tokenizers.PATTERN)
