@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vidtrend.functions import text
@@ -17,7 +23,10 @@ from vidtrend.functions.scalars import calendar_fields, hours_between, in_zone,
 from vidtrend.operators import aggregates, windows
 from vidtrend.operators.filters import quantile_keys
 from vidtrend.operators.scale import calendar_broadcast, exact_quantiles, with_quantiles
-from vidtrend.session import cut_lineage
+from vidtrend.session import cut_lineage, ensure_checkpoint_dir
+
+# trees travel with the job, so executors need no copy of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WEIGHTS = {"view_engagement": 0.3, "comment_velocity": 0.25, "commenter_diversity": 0.25, "relative_engagement": 0.2}
 
@@ -205,3 +214,126 @@ def positive_probability(col: str = "probability") -> Column:
 
 def median_by(df: DataFrame, key: str, col: str) -> DataFrame:
     return exact_quantiles(df, col, [0.5], [key], ["median"])
+
+
+def time_series_validation(df: DataFrame, numeric: Sequence[str], target: str, ts: str = "createTimeISO", folds: int = 5) -> DataFrame:
+    """Expanding-window cross-validation of a linear model: ``fold, train_rows, test_rows, rmse, mae, r2``.
+
+    Time is cut into ``folds + 1`` slices; fold i is fitted on slices up to i and measured on the next one.
+    The normal equations of a slice are sums, those of an expanding window their prefix sums, so one pass
+    fits all folds and a second one measures them. The row of fold 0 holds the means of the folds. Rows
+    with a null feature, target or time take no part; an empty test slice or one without variance has no r2.
+    """
+    rows = df.na.drop(subset=[*numeric, target, ts]).withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    names = [f"x{i}" for i in range(len(numeric))]
+    rows = rows.select("_t", F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(n) for c, n in zip(numeric, names)])
+    cut = with_quantiles(rows, rows, "_t", [i / (folds + 1) for i in range(1, folds + 1)])
+    rows = cut_lineage(cut.withColumn("slice", sum((F.when(F.col("_t") > F.col(f"_q.p{i}"), 1).otherwise(0) for i in range(folds)), F.lit(0))).drop("_q", "_t"))
+    spread = rows.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.avg, F.stddev_pop)]).first()
+    scaled = [(F.col(n) - F.lit(spread[f"avg_{n}"])) / F.lit(spread[f"stddev_pop_{n}"] or 1.0) for n in names]
+    terms = [F.lit(1.0), *scaled]
+    size = len(terms)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = [F.sum(terms[i] * terms[j]).alias(f"g{i}_{j}") for i, j in pairs] + [F.sum(terms[i] * F.col("y")).alias(f"h{i}") for i in range(size)]
+    gram, moment = np.zeros((folds + 1, size, size)), np.zeros((folds + 1, size))
+    for row in rows.groupBy("slice").agg(*sums).collect():  # one row per slice
+        for i, j in pairs:
+            gram[row["slice"], i, j] = gram[row["slice"], j, i] = row[f"g{i}_{j}"]
+        moment[row["slice"]] = [row[f"h{i}"] for i in range(size)]
+    weights = [np.linalg.lstsq(g, h, rcond=None)[0] for g, h in zip(gram.cumsum(0)[:folds], moment.cumsum(0)[:folds])]
+    predicted = lambda w: sum((t * F.lit(float(v)) for t, v in zip(terms, w)), F.lit(0.0))
+    guess = reduce(lambda rest, f: F.when(F.col("slice") == f + 1, predicted(weights[f])).otherwise(rest), range(folds), F.lit(None).cast("double"))
+    gap = F.col("y") - guess
+    measured = rows.groupBy("slice").agg(
+        F.count("*").alias("n"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"),
+        (1 - F.try_divide(F.sum(gap * gap), F.var_pop("y") * F.count("*"))).alias("r2"))
+    # one row per slice: a window over all of them is no larger than the number of folds
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = measured.withColumn("train_rows", before).filter("slice > 0").select(
+        F.col("slice").cast("bigint").alias("fold"), "train_rows", F.col("n").alias("test_rows"), "rmse", "mae", "r2")
+    mean = per.agg(F.lit(0).cast("bigint").alias("fold"), F.sum("train_rows").alias("train_rows"), F.sum("test_rows").alias("test_rows"),
+                   F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.avg("r2").alias("r2"))
+    return per.unionByName(mean)
+
+
+# --- contributions of tree models ------------------------------------------------------------
+
+class Forest:
+    """The trees of a fitted model as flat arrays: a node's split, children and mean prediction.
+
+    As large as the model, which does not grow with the data.
+    """
+
+    def __init__(self, nodes: list, weights: Sequence[float]):
+        """``nodes``: rows (tree, id, prediction, left, right, feature, threshold); children of leaves are -1."""
+        self.used = sorted({n[5] for n in nodes if n[3] >= 0})
+        place = {f: i for i, f in enumerate(self.used)}
+        self.trees = []
+        for tree, weight in enumerate(weights):
+            own = sorted(n[1:] for n in nodes if n[0] == tree)
+            mean = np.array([n[1] for n in own]) * weight
+            left, right = np.array([n[2] for n in own]), np.array([n[3] for n in own])
+            feature = np.array([place.get(n[4], 0) for n in own])
+            self.trees.append((mean, left, right, feature, np.array([n[5] for n in own])))
+        self.base = float(sum(t[0][0] for t in self.trees))
+
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        """Per row and used feature: the changes of the node mean at the splits on that feature."""
+        out = np.zeros((len(x), max(1, len(self.used))))
+        every = np.arange(len(x))
+        for mean, left, right, feature, threshold in self.trees:
+            at = np.zeros(len(x), int)
+            while True:
+                open_ = every[left[at] >= 0]
+                if not len(open_):
+                    break
+                node = at[open_]
+                below = np.where(x[open_, feature[node]] <= threshold[node], left[node], right[node])
+                out[open_, feature[node]] += mean[below] - mean[node]  # one split per row and step
+                at[open_] = below
+        return out
+
+
+def flattened(spark: SparkSession, model) -> Forest:
+    """A fitted boosted model or regression forest as ``Forest``, read from its own saved form."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/model-{uuid.uuid4().hex}"
+    model.write().save(folder)
+    stored = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*")
+    if not stored.filter("leftChild >= 0 AND split.numCategories <> -1").isEmpty():
+        raise ValueError("contributions are defined for splits of numbers")
+    nodes = [(r.treeID, r.id, r.prediction, r.leftChild, r.rightChild, r.split.featureIndex,
+              r.split.leftCategoriesOrThreshold[0] if r.leftChild >= 0 else 0.0) for r in stored.collect()]  # as many as the model has
+    weights = list(model.treeWeights)
+    if "GBT" not in type(model).__name__:  # a forest averages
+        weights = [w / len(weights) for w in weights]
+    return Forest(nodes, weights)
+
+
+def tree_contributions(model, df: DataFrame, names: Sequence[str], vector: str = "features", id_col: str = "post_id") -> tuple[DataFrame, float]:
+    """``id, feature, value, contribution`` of every feature of every row, and the root mean.
+
+    Each split on a row's path changes the mean of the node it is in; the change is credited to the split's
+    feature. The sum over the features is the prediction (of a boosted classifier: the margin) minus the root
+    mean. The trees are walked once per Arrow batch, whatever the number of features, and only features
+    that some split uses leave the JVM; all others contribute 0 and are not listed.
+    """
+    forest = flattened(df.sparkSession, model)
+    if not forest.used:
+        return df.select(id_col, F.lit("").alias("feature"), F.lit(0.0).alias("value"), F.lit(0.0).alias("contribution")).limit(0), forest.base
+    used = [names[f] for f in forest.used]
+    sliced = VectorSlicer(inputCol=vector, outputCol="_x", indices=forest.used).transform(df.select(id_col, vector))
+    sliced = sliced.select(F.col(id_col).alias("id"), vector_to_array("_x").alias("x"))
+
+    def work(batches):
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten(), float).reshape(-1, len(used))
+            ends = pa.array(np.arange(len(x) + 1) * len(used), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in (x, forest.contributions(x))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "value", "contribution"])
+
+    kind = dict(df.dtypes)[id_col]
+    walked = sliced.mapInArrow(work, f"id {kind}, value array<double>, contribution array<double>")
+    long = walked.select("id", F.posexplode(F.arrays_zip("value", "contribution")).alias("at", "pair"))
+    feature = F.get(F.array(*[F.lit(n) for n in used]), F.col("at"))
+    return long.select(F.col("id").alias(id_col), feature.alias("feature"), "pair.value", "pair.contribution"), forest.base

@@ -79,6 +79,25 @@ def _(spark, d):
     return out
 
 
+_SLICES = """q AS (SELECT """ + ", ".join(f"quantile_cont(epoch_us(\"createTimeISO\"), {i}/6.0::DOUBLE) AS q{i}" for i in range(1, 6)) + """ FROM posts),
+ r AS (SELECT CAST(video_duration AS DOUBLE) AS a, CAST("commentCount" AS DOUBLE) AS b, ln(1 + CAST("playCount" AS DOUBLE)) AS y,
+ """ + " + ".join(f"CAST(epoch_us(\"createTimeISO\") > q{i} AS INT)" for i in range(1, 6)) + """ AS s FROM posts, q
+ WHERE video_duration IS NOT NULL AND "commentCount" IS NOT NULL AND "playCount" IS NOT NULL AND "createTimeISO" IS NOT NULL)"""
+
+
+@query("m5_time_series_validation", "WITH " + _SLICES + """, f AS (SELECT generate_series AS fold FROM generate_series(1, 5)),
+ t AS (SELECT fold, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_
+  FROM f JOIN r ON s < fold GROUP BY fold),
+ w AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS wb FROM t),
+ g AS (SELECT fold, n, y, y - (my + wa * (a - ma) + wb * (b - mb)) AS gap FROM w JOIN r ON s = fold),
+ m AS (SELECT fold, any_value(n) AS train_rows, count(*) AS test_rows, sqrt(avg(gap * gap)) AS rmse, avg(abs(gap)) AS mae, 1 - sum(gap * gap) / (var_pop(y) * count(*)) AS r2 FROM g GROUP BY fold)
+SELECT fold, train_rows, test_rows, R6(rmse) AS rmse, R6(mae) AS mae, R6(r2) AS r2 FROM m
+UNION ALL SELECT 0, CAST(sum(train_rows) AS BIGINT), CAST(sum(test_rows) AS BIGINT), R6(avg(rmse)), R6(avg(mae)), R6(avg(r2)) FROM m""")
+def _(spark, d):
+    posts = t.posts(spark, d).withColumn("y", F.log1p(F.col("playCount").cast("double")))
+    return virality.time_series_validation(posts, ["video_duration", "commentCount"], "y")
+
+
 _DRAW = "CAST('0x' || substr(md5('{m}' || {k}), 1, 8) AS BIGINT)"
 
 
@@ -220,6 +239,25 @@ def _(spark, d):
     return virality.contribution_rows(out, NUM)
 
 
+def _explained(spark, d):
+    data = cut_lineage(_vectors(spark, d).select("post_id", "features", "viral_target"))
+    model = virality.regressor().fit(data)
+    return (*virality.tree_contributions(model, data, NUM), model.transform(data))
+
+
+@query("m15_tree_contributions")
+def _(spark, d):
+    return virality.importance(_explained(spark, d)[0])
+
+
+@query("m15_tree_contributions_add_up", "SELECT count(*) AS posts, true AS add_up FROM posts")
+def _(spark, d):
+    rows, base, scored = _explained(spark, d)
+    total = rows.groupBy("post_id").agg(F.sum("contribution").alias("total"))
+    gap = F.col("prediction") - F.lit(base) - F.coalesce("total", F.lit(0.0))
+    return scored.join(total, "post_id", "left").agg(F.count("*").alias("posts"), (F.max(F.abs(gap)) < 1e-6).alias("add_up"))
+
+
 @query("m16_feature_importances")
 def _(spark, d):
     model = virality.regressor().fit(_vectors(spark, d))
