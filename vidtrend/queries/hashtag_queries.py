@@ -190,6 +190,30 @@ def _(spark, d):
         F.count_if(F.col("loose") == 2).alias("foreign_labels"))
 
 
+@query("q10_modularity_communities")
+def _(spark, d):
+    return hashtags.modularity_communities(hashtags.connected(hashtags.cooccurrence(t.baskets(spark, d))))
+
+
+@query("q10_modularity_is_settled", _PAIRS + """, e AS (SELECT a AS v, b AS o FROM c UNION ALL SELECT b, a FROM c), g AS (SELECT v FROM e GROUP BY 1 HAVING count(*) > 3),
+ k AS (SELECT a, b FROM c WHERE a IN (SELECT v FROM g) AND b IN (SELECT v FROM g))
+SELECT count(DISTINCT v) AS vertices, true AS as_measured, 0 AS merges_that_gain FROM (SELECT a AS v FROM k UNION ALL SELECT b FROM k)""")
+def _(spark, d):
+    pairs = cut_lineage(hashtags.connected(hashtags.cooccurrence(t.baskets(spark, d))))
+    found = cut_lineage(hashtags.modularity_communities(pairs))
+    edges = pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    label = lambda end: found.select(F.col("v").alias(end), F.col("label").alias(f"l{end}"))
+    # weight between communities against its expectation: a merge gains 2 (w / m - x y / m^2)
+    links = cut_lineage(edges.join(label("a"), "a").join(label("b"), "b").groupBy("la", "lb").agg(F.sum("n").cast("double").alias("w")))
+    size = links.groupBy("la").agg(F.sum("w").alias("x"))
+    m = links.agg(F.sum("w")).scalar()
+    met = links.filter("la <> lb").join(size, "la").join(size.select(F.col("la").alias("lb"), F.col("x").alias("y")), "lb")
+    gains = met.filter(F.col("w") / m - F.col("x") * F.col("y") / (m * m) > 1e-9).agg(F.count("*")).scalar()
+    inside = links.filter("la = lb").agg(F.sum("w")).scalar() / m - size.agg(F.sum(F.col("x") * F.col("x"))).scalar() / (m * m)
+    return found.agg(F.count("*").alias("vertices"), (F.max(F.abs(F.col("modularity") - inside)) < 1e-9).alias("as_measured"),
+                     F.max(gains).alias("merges_that_gain"))
+
+
 @query("q11_popularity_quantiles", """WITH c AS (SELECT hashtag_name, count(DISTINCT post_id) AS n FROM tag_posts GROUP BY 1)
 SELECT """ + ", ".join(f"R6(quantile_cont(n, {p})) AS q{round(p * 1000):04d}" for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.975, 0.99)) + " FROM c")
 def _(spark, d):
