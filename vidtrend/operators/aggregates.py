@@ -36,7 +36,8 @@ def value_shares(df: DataFrame, col: str, keep_null: bool = False) -> DataFrame:
     """Value counts with the share of all counted rows."""
     base = df if keep_null else non_null(df, col)
     per_value = base.groupBy(col).agg(F.count("*").alias("n"))
-    return per_value.withColumn("share", F.col("n") / scalar(base, F.count("*")))
+    # the group counts add up to the rows, so the table behind them is read once
+    return per_value.withColumn("share", F.col("n") / scalar(per_value, F.sum("n")))
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
@@ -66,8 +67,8 @@ def peak_normalised(df: DataFrame, by: Sequence[str], value: str, name: str,
 
 
 def mention_shares(df: DataFrame, key: str, name: str = "share") -> DataFrame:
-    base = non_null(df, key)
-    return counts(base, key).withColumn(name, F.col("n") / scalar(base, F.count("*")))
+    per_key = counts(non_null(df, key), key)
+    return per_key.withColumn(name, F.col("n") / scalar(per_key, F.sum("n")))
 
 
 def post_shares(df: DataFrame, key: str, post: str, name: str = "share") -> DataFrame:

@@ -43,8 +43,19 @@ def author_means(df: DataFrame, author: str = "author_nickName",
 
 
 def comment_phrases(df: DataFrame, col: str = "comment", tie: str = "comment_id", n: int = 2, k: int = 20,
-                    stop: Sequence[str] = (), keep: Sequence[str | Column] = ()) -> DataFrame:
-    """Most frequent phrases of distinct, spam-free comments."""
+                    stop: Sequence[str] = (), creator: str | None = None, start: str | None = None, end: str | None = None,
+                    author: str = "author_nickName", ts: str = "createTimeISO") -> DataFrame:
+    """Most frequent phrases of distinct, spam-free comments.
+
+    With ``creator``, ``start`` or ``end`` (both included) only the comments on that creator's posts of those
+    days; these bounds are plain comparisons, so they reach the scan of the posts.
+    """
+    if creator is not None:
+        df = df.filter(F.col(author) == creator)
+    if start is not None:
+        df = df.filter(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        df = df.filter(F.col(ts) <= F.lit(end).cast("timestamp_ntz"))
     rows = df.filter(F.col(col).isNotNull()).withColumn("_c", F.lower(F.trim(F.col(col))))
     rows = filters.drop_spam(dedupe.keep_first(rows, ["_c"], [tie]), "_c")
     return keywords.top_grams(rows, text.letter_tokens("_c", stop), n, k)

@@ -33,6 +33,18 @@ def _(spark, d):
     return creators.comment_phrases(t.comments(spark, d), stop=STOP)
 
 
+@query("q16_creator_phrases", f"""WITH c AS (SELECT lower(trim(comment)) AS c, min(comment_id) FROM comments JOIN posts USING (post_id)
+  WHERE "author_nickName" = 'src0' AND "createTimeISO" >= TIMESTAMP '2024-01-10' AND "createTimeISO" <= TIMESTAMP '2024-03-10' GROUP BY 1),
+ k AS (SELECT {q.letter_tokens('c', STOP)} AS ws FROM c WHERE NOT contains(c, 'speed')),
+ g AS (SELECT 2 AS words, unnest({q.ngrams('ws', 2)}) AS gram FROM k UNION ALL SELECT 3, unnest({q.ngrams('ws', 3)}) FROM k),
+ n AS (SELECT words, gram, count(*) AS n FROM g GROUP BY ALL)
+SELECT words, gram, n FROM n QUALIFY row_number() OVER (PARTITION BY words ORDER BY n DESC, gram) <= 20""")
+def _(spark, d):
+    rows = t.comments(spark, d).join(t.posts(spark, d).select("post_id", "author_nickName", "createTimeISO"), "post_id")
+    of = lambda n: creators.comment_phrases(rows, n=n, stop=STOP, creator="src0", start="2024-01-10", end="2024-03-10")
+    return of(2).select(F.lit(2).alias("words"), "gram", "n").unionByName(of(3).select(F.lit(3).alias("words"), "gram", "n"))
+
+
 _C = "trim(regexp_extract(location_address, '([^,]+)$', 1))"
 _COUNTRY = f"CASE {_C} WHEN 'USA' THEN 'United States' WHEN 'Deutschland' THEN 'Germany' ELSE {_C} END"
 
