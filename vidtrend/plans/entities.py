@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 from vidtrend.functions import text
 from vidtrend.operators import aggregates, windows
 from vidtrend.operators.scale import best, calendar_broadcast, checked_broadcast
+from vidtrend.operators.substrings import contained_terms
+from vidtrend.session import cut_lineage
 
 MAX_LITERAL_TERMS = 5_000
 LABELS = ("negative", "neutral", "positive")
 
 
-def as_terms(dictionary: Mapping[str, Sequence[str]] | Sequence[str]) -> list[tuple[str, str]]:
+def term_pairs(dictionary: Mapping[str, Sequence[str]] | Sequence[str]) -> list[tuple[str, str]]:
     """(term, canonical) pairs of a dictionary or of a plain list, lower-cased and distinct."""
     if not isinstance(dictionary, Mapping):
         dictionary = {t: [t] for t in dictionary}
-    pairs = sorted({(t.strip().lower(), name) for name, terms in dictionary.items() for t in terms})
+    return sorted({(t.strip().lower(), name) for name, terms in dictionary.items() for t in terms})
+
+
+def as_terms(dictionary: Mapping[str, Sequence[str]] | Sequence[str]) -> list[tuple[str, str]]:
+    """The pairs of a dictionary that is short enough for an expression."""
+    pairs = term_pairs(dictionary)
     if len(pairs) > MAX_LITERAL_TERMS:
-        raise ValueError("dictionary too long for a literal; pass it as a DataFrame to match_rows")
+        raise ValueError("dictionary too long for a literal; use matched or match_rows")
     return pairs
 
 
@@ -34,6 +41,11 @@ def _key(term: str) -> str:
     return " ".join(re.findall(r"\w+", term))
 
 
+def _value(col: str | Column) -> Column:
+    value = F.coalesce(F.lower(F.col(col) if isinstance(col, str) else col), F.lit(""))
+    return F.replace(value, F.lit("’"), F.lit("'"))
+
+
 def _canonicals(pairs: Sequence[tuple[str, str]], terms: Column) -> Column:
     groups: dict[str, list[str]] = {}
     for term, name in pairs:
@@ -52,8 +64,7 @@ def match(col: str | Column, dictionary: Mapping[str, Sequence[str]] | Sequence[
     are confirmed against the text itself.
     """
     pairs = as_terms(dictionary)
-    value = F.coalesce(F.lower(F.col(col) if isinstance(col, str) else col), F.lit(""))
-    value = F.replace(value, F.lit("’"), F.lit("'"))
+    value = _value(col)
     terms = sorted({t for t, _ in pairs})
     find = _find_words if whole_word else _find_substrings
     return F.array_sort(_canonicals(pairs, text.bind(value, lambda v: find(v, terms))))
@@ -103,8 +114,17 @@ def match_rows(df: DataFrame, id_col: str, col: str, dictionary: DataFrame) -> D
 
 
 def matched(df: DataFrame, col: str | Column, dictionary, whole_word: bool = True, name: str = "entity") -> DataFrame:
-    """One row per (row, canonical name)."""
-    return df.withColumn(name, F.explode(match(col, dictionary, whole_word)))
+    """One row per (row, canonical name); a dictionary too long for an expression is met by a gram index."""
+    pairs = term_pairs(dictionary)
+    if len(pairs) <= MAX_LITERAL_TERMS:
+        return df.withColumn(name, F.explode(match(col, dictionary, whole_word)))
+    if whole_word:  # a term without words is no whole word
+        pairs = [(term, canonical) for term, canonical in pairs if _key(term)]
+    table = df.sparkSession.createDataFrame(pairs, "_term string, _name string")
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    met = contained_terms(rows.select("_row", _value(col).alias("_value")), "_value", table.withColumnRenamed("_term", "term"), "term", whole_word)
+    names = met.join(table, F.col("term") == F.col("_term")).select("_row", F.col("_name").alias(name)).distinct()
+    return rows.join(names, "_row").drop("_row")
 
 
 def mention_counts(df: DataFrame, col: str, dictionary, whole_word: bool = False, name: str = "entity") -> DataFrame:

@@ -11,6 +11,7 @@ from vidtrend.functions import text
 from vidtrend.functions.scalars import week_start
 from vidtrend.operators import aggregates, filters, windows
 from vidtrend.operators.scale import calendar_broadcast, row_positions, scalar, top_n
+from vidtrend.operators.substrings import contained_terms
 from vidtrend.session import cut_lineage
 
 
@@ -109,10 +110,17 @@ def tfidf_top(df: DataFrame, doc: str, tokens: Column, low: int = 2, high: int =
 
 
 def mentions(df: DataFrame, col: str, terms: DataFrame, term: str = "term", minimum: int = 3,
-             max_terms: int = 1_000) -> DataFrame:
-    """Texts that contain each term as a substring; ``terms`` is a short top-k table."""
-    found = df.withColumn("_terms", term_array(terms, term, max_terms)).select(
-        F.explode(F.filter("_terms", lambda t: F.contains(F.col(col), t))).alias(term))
+             literal_terms: int = 1_000) -> DataFrame:
+    """Texts that contain each (distinct, non-empty) term as a substring, for any number of terms.
+
+    Up to ``literal_terms`` are tested one after another in the row, more are met by a gram index.
+    """
+    known = cut_lineage(terms.select(term).filter(F.length(term) > 0).distinct())
+    if known.limit(literal_terms + 1).count() <= literal_terms:
+        found = df.withColumn("_terms", term_array(known, term, literal_terms)).select(
+            F.explode(F.filter("_terms", lambda t: F.contains(F.col(col), t))).alias(term))
+    else:
+        found = contained_terms(df.select(col), col, known, term)
     return found.groupBy(term).agg(F.count("*").alias("mentions")).filter(F.col("mentions") >= minimum)
 
 

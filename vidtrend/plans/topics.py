@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from vidtrend.functions import text
 from vidtrend.operators import aggregates, dedupe, filters, windows
-from vidtrend.operators.scale import calendar_broadcast, exact_quantiles, scalar, top_n
+from vidtrend.operators.scale import calendar_broadcast, checked_broadcast, exact_quantiles, scalar, top_n
+from vidtrend.operators.similarity import cosine_pairs
 from vidtrend.functions.scalars import week_start
-from vidtrend.plans.keywords import term_array
 from vidtrend.session import cut_lineage
 
 NOISE = -1
@@ -83,18 +83,16 @@ def keywords(df: DataFrame, tokens: str, topic: str = "topic", k: int = 5, commo
     return top_n(scored.select(topic, "word", "score"), [topic], [F.desc("score"), F.col("word")], k)
 
 
-def coherence(df: DataFrame, id_col: str, tokens: str, words: DataFrame, topic: str = "topic", max_words: int = 20_000) -> DataFrame:
+def coherence(df: DataFrame, id_col: str, tokens: str, words: DataFrame, topic: str = "topic") -> DataFrame:
     """Mean normalised pointwise mutual information of the topic's keyword pairs.
 
     A text is first reduced to its keywords; pairs are formed within the (about ten) keywords of
     one topic in one text.
     """
-    listed = term_array(words.select("word").distinct(), "word", max_words)
-    docs = df.withColumn("_all", listed).select(
-        F.col(id_col).alias("_doc"), F.array_intersect(F.col(tokens), F.col("_all")).alias("_w"))
     total = scalar(df, F.count("*"))
-    hits = docs.select("_doc", F.explode("_w").alias("word")).join(words.select(topic, "word"), "word")
-    single = docs.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    tokens_of = df.select(F.col(id_col).alias("_doc"), F.explode(F.array_distinct(tokens)).alias("word"))
+    hits = tokens_of.join(checked_broadcast(words.select(topic, "word")), "word")
+    single = tokens_of.join(checked_broadcast(words.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("n"))
     grouped = hits.groupBy(topic, "_doc").agg(F.array_sort(F.collect_list("word")).alias("ws"))
     pairs = grouped.select(topic, F.explode(F.flatten(F.transform("ws", lambda w, i: F.transform(
         F.slice("ws", i + 2, F.size("ws")), lambda v: F.struct(w.alias("a"), v.alias("b")))))).alias("p"))
@@ -134,28 +132,9 @@ def normalise_label(col: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", ""))
 
 
-def similar_pairs(df: DataFrame, id_col: str, vector: str, minimum: float = 0.9, max_rows: int = 5_000) -> DataFrame:
-    """Pairs (a < b) of a short topic table with a cosine above ``minimum``.
-
-    The table is bounded by the number of topics (checked); it is held as one array value and each
-    row looks through it in its own task.
-    """
-    unit = df.select(id_col, _unit(F.col(vector)).alias("u"))
-    few = unit.limit(max_rows + 1).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "u")).alias("t"))
-    table = few.select(F.when(F.size("t") <= max_rows, F.col("t")).otherwise(
-        F.raise_error(F.lit("too many topics")).cast(few.schema["t"].dataType))).scalar()
-    near = F.filter(F.transform("_all", lambda o: F.struct(o["id"].alias("b"), _dot(F.col("u"), o["u"]).alias("cosine"))),
-                    lambda o: (o["b"] > F.col(id_col)) & (o["cosine"] > minimum))
-    return unit.withColumn("_all", table).withColumn("o", F.explode(near)).select(F.col(id_col).alias("a"), "o.b", "o.cosine")
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def _unit(v: Column) -> Column:
-    norm = lambda d: text.bind(F.sqrt(_dot(d, d)), lambda n: F.transform(d, lambda x: F.try_divide(x, n)))
-    return text.bind(v.cast("array<double>"), norm)
+def similar_pairs(df: DataFrame, id_col: str, vector: str, minimum: float = 0.9) -> DataFrame:
+    """Pairs (a < b) of a topic table of any length with a cosine above ``minimum``."""
+    return cosine_pairs(df, id_col, vector, minimum)
 
 
 def merge_labels(names: DataFrame, pairs: DataFrame, topic: str = "topic", name: str = "name",
