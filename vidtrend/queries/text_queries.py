@@ -199,6 +199,14 @@ def _(spark, d):
     return keywords.mentions(p, "lowered", top)
 
 
+@query("t14_mentions_of_2000_words", _TOK + """, g AS (SELECT unnest(ws) AS term FROM tok), top AS (SELECT term FROM g GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2000)
+SELECT term, count(*) AS mentions FROM top, posts WHERE contains(lower(text), term) GROUP BY 1 HAVING count(*) >= 3""")
+def _(spark, d):
+    p = t.posts(spark, d).withColumn("lowered", F.lower("text"))
+    top = keywords.top_grams(p, _tokens(), 1, 2000).select(F.col("gram").alias("term"))
+    return keywords.mentions(p, "lowered", top)
+
+
 @query("t15_weekly_tfidf", f"""WITH recent AS (SELECT * FROM posts WHERE "createTimeISO" >= (SELECT max("createTimeISO") FROM posts) - INTERVAL 28 DAY AND text IS NOT NULL),
  cl AS (SELECT post_id, CAST(date_trunc('week', "createTimeISO") AS DATE) AS w, {q.clean('text')} AS c FROM recent),
  tok AS (SELECT post_id, w, {q.whitespace_tokens('c')} AS ws FROM cl), grams AS (SELECT w, post_id, unnest(list_concat({q.ngrams('ws', 2)}, {q.ngrams('ws', 3)})) AS term FROM tok),

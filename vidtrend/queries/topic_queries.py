@@ -78,6 +78,14 @@ def _(spark, d):
     return topics.similar_pairs(centres, "label", "v", -0.2)
 
 
+_COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+@query("j16_similar_vectors", f"""SELECT a.vec_id AS a, b.vec_id AS b, R6({_COS}) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > 0.5""")
+def _(spark, d):
+    return topics.similar_pairs(t.table(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
+
+
 def _prepared(spark, d):
     p = t.posts(spark, d).filter(F.col("textLanguage") == "en")
     return cut_lineage(p.select("post_id", "createTimeISO", "text", text.clean_tokens("text", STOP).alias("tokens")))
