@@ -14,7 +14,7 @@ from vidtrend.operators import aggregates, windows
 from vidtrend.operators.joins import pairs_in_group
 from vidtrend.operators.scale import best, calendar_broadcast, exact_quantiles, scalar, \
     with_quantiles
-from vidtrend.session import cut_lineage
+from vidtrend.session import cut_lineage, written
 
 TAG = "hashtag_name"
 EXAMPLE = {"text": "text", "webVideoUrl": "webVideoUrl", "diggCount": "diggCount"}
@@ -266,17 +266,17 @@ def connected(pairs: DataFrame, min_degree: int = 3) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """Connected components by spreading the smallest label, two hops a round, until stable."""
-    edges = cut_lineage(_both_ways(pairs.select("a", "b").distinct()))
+    edges = written(_both_ways(pairs.select("a", "b").distinct()))
     labels = edges.groupBy("a").agg(F.min("b").alias("_low")).select(
         F.col("a").alias("v"), F.least("a", "_low").alias("label"))
-    labels = cut_lineage(labels)
+    labels = written(labels)
     while True:
         near = edges.join(labels, edges.b == labels.v).groupBy("a").agg(F.min("label").alias("_near"))
         hop = labels.join(near, labels.v == near.a).select("v", F.least("label", "_near").alias("_new"),
                                                            F.col("label").alias("_old"))
         # also take over the label of one's label (halves the number of rounds on chains)
         jump = hop.select(F.col("v").alias("_new"), F.col("_new").alias("_jump"))
-        fresh = cut_lineage(hop.join(jump, "_new", "left").select(
+        fresh = written(hop.join(jump, "_new", "left").select(
             "v", F.least(F.col("_new"), F.coalesce("_jump", "_new")).alias("label"), "_old"))
         changed = fresh.filter(F.col("label") != F.col("_old")).limit(1).count()
         labels = fresh.drop("_old")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative jobs restart from storage when an executor is lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A Parquet copy in the shared checkpoint folder, read back.
+
+    For loops: a checkpoint keeps the size estimate of the plan behind it, and the estimates of joins
+    multiply from round to round until planning takes longer than the work. A file has its own size.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
