@@ -203,6 +203,58 @@ def test_classifier_adds_swallowed_numbers_only(spark, docs_of):
     assert spans[901] == "" and spans[903] == ""
 
 
+def numbers(draw, digits, passes):
+    """A number of so many digits that passes the Luhn sum or does not."""
+    while True:
+        n = "4" + "".join(draw.choice("0123456789") for _ in range(digits - 1))
+        total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(n)))
+        if (total % 10 == 0) == passes:
+            return n
+
+
+def planted_spans(draw):
+    """Texts with one candidate each and whether it is personal data."""
+    grouped = lambda n: " ".join(n[i:i + 4] for i in range(0, 16, 4))
+    out = []
+    for _ in range(80):
+        n = draw.randrange
+        out += [
+            (f"pay by card {grouped(numbers(draw, 16, True))} today", True), (f"it was {numbers(draw, 16, True)} then", True),
+            (f"call ({n(200, 900)}) {n(200, 900)}-{n(1000, 9999)} now", True), (f"phone +1 ({n(200, 900)}) {n(200, 900)}-{n(1000, 9999)} now", True),
+            (f"from host {n(1, 255)}.{n(256)}.{n(256)}.{n(1, 255)} came", True), (f"write to anna{n(100)}@mail{n(100)}.org soon", True),
+            (f"order {numbers(draw, 16, False)} left", False), (f"invoice no. {numbers(draw, 14, False)} open", False),
+            (f"isbn {numbers(draw, 13, False)} sold", False), (f"version {n(256, 999)}.{n(300, 999)}.{n(10)}.{n(10)} out", False),
+            (f"section {n(1000, 9999)}.{n(10)}.{n(10)}.{n(10)} says", False), (f"order +{n(1, 9)} {n(10)}-{n(10, 99)} more", False),
+            (f"part 00000000{n(10)}0000000{n(10)} fits", False)]
+    return out
+
+
+def test_failing_candidates_teach_the_labelers(spark, docs_of):
+    planted = planted_spans(random.Random(11))
+    docs = docs_of([(i, t) for i, (t, _) in enumerate(planted)])
+    model = personal_data.fit(docs, "text")
+    against = {name: no for name, (_, no) in model.reliability.items()}
+    assert against["value"] > 0.9 and against["strict"] > 0.4 and against["cue"] > 0.4 and len({round(x, 3) for x in against.values()}) > 3, against
+    assert {v < 0.1 for *_, v in model.patterns} == {True, False} and sum(n for *_, n, _ in model.patterns) >= len(planted) * 0.9
+    spans = docs.select("doc_id", "text", F.explode(personal_data.candidates(F.col("text"))).alias("s"))
+    voted = spans.select("doc_id", personal_data.votes(F.col("text"), F.col("s")).alias("v"))
+    rows = voted.select("doc_id", "v.*", model.accepts(F.col("v"), 0.5).alias("accepted")).collect()
+
+    def quality(chosen):
+        got = {r.doc_id for r in rows if chosen(r)}
+        true = {i for i, (_, yes) in enumerate(planted) if yes}
+        hit = len(got & true)
+        return hit / max(1, len(got)), hit / len(true)
+
+    precision, recall = quality(lambda r: r.accepted)
+    assert precision > 0.97 and recall > 0.97, (precision, recall)
+    f1 = lambda p, r: 2 * p * r / max(1e-9, p + r)
+    for name in personal_data.LABELERS:
+        assert f1(precision, recall) > f1(*quality(lambda r, name=name: r[name] == 1)), name  # noqa: B023
+    kept = {r.doc_id: r.spans for r in personal_data.report(personal_data.annotate(docs, "text", model), ["doc_id"]).collect()}
+    assert sum(kept[i] != "" for i, (_, yes) in enumerate(planted) if not yes) <= 0.02 * len(planted)
+
+
 def test_masking(spark, docs_of):
     texts = [(1, "a me@x.org b 10.0.0.1"), (2, None), (3, "plain"), (4, "é😀 me@x.org")]
     docs = docs_of(texts)

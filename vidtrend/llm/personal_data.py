@@ -1,9 +1,10 @@
 """Personal data by weak supervision; DataFrame operations only.
 
-Candidates of four kinds come from patterns: the base patterns, whose spans always stay, and further
-ones (numbers that a longer run swallowed, obfuscated addresses). Labelers vote on every candidate,
-for, against or not at all: strict patterns, value checks, gazetteers, words in front of it, and the
-characters around it. Expectation-maximisation on the counts of vote patterns estimates how reliable
+Candidates of four kinds come from patterns: the base patterns, whose spans always stay if they pass the
+checks, and further ones (numbers that a longer run swallowed, obfuscated addresses). What fails a checksum
+or a range is a candidate too, known to be false, and the reliabilities are measured against it. They vote on every candidate,
+for, against or not at all: strict patterns, value checks, gazetteers, words in front of it, the
+characters around it, and the variety of its characters. Expectation-maximisation on the counts of vote patterns estimates how reliable
 each labeler is; its posteriors are the soft labels of a logistic span classifier over votes, length
 and kind, which decides on the candidates beyond the base spans.
 
@@ -64,7 +65,11 @@ CUES = {
     "phone": r"(?i)(?:tel\w*|phone|call|fax|mobil\w*|cell|whatsapp)\W*$",
 }
 AGAINST = r"(?i)(?:version|release|v|no|nr|isbn|issn|order|license|licence|section|chapter|figure|invoice)[\x20.:#]*$"
-LABELERS = ("strict", "value", "gazetteer", "cue", "edges")
+LABELERS = ("strict", "value", "gazetteer", "cue", "edges", "variety")
+#: Candidates of a kind that weigh as much as the table over all kinds.
+LEAN = 10
+#: How often the checks of a kind pass what is no personal data (the Luhn sum passes one number of ten).
+CHANCE = {"email": 0.5, "ip": 0.1, "card": 0.1, "phone": 0.3}
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -133,10 +138,13 @@ def candidates(text: Column) -> Column:
         tag = lambda spans, base: F.transform(spans, lambda m: F.struct(
             m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), m["value"].alias("value"),
             F.lit(base).alias("base")))
-        base = F.filter(found(text, BASE[kind]), lambda m: _valid(kind, m["value"]))
-        # what fails a checksum or a range is no candidate either
-        joined = bind(base, lambda b: F.concat(tag(b, True), tag(F.filter(found(text, FURTHER[kind]), lambda m: _valid(
-            kind, m["value"]) & ~F.exists(b, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]))), False)))
+        def use(matches):
+            def beside(base):
+                free = lambda spans: F.filter(spans, lambda m: ~F.exists(base, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"])))
+                failed = F.filter(matches, lambda m: ~_valid(kind, m["value"]))
+                return F.concat(tag(base, True), F.array_distinct(tag(F.concat(free(found(text, FURTHER[kind])), free(failed)), False)))
+            return bind(F.filter(matches, lambda m: _valid(kind, m["value"])), beside)
+        joined = bind(found(text, BASE[kind]), use)
         return F.when(guard, joined).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string,base:boolean>>"))
     some_digit = F.regexp_like(text, F.lit("[0-9]"))
     guards = {"email": F.contains(text, F.lit("@")) | F.regexp_like(text, F.lit(r"[\[(](?:at|AT)[\])]"))}
@@ -163,23 +171,31 @@ def votes(text: Column, span: Column) -> Column:
     left = F.substring(text, span["start"].cast("int"), F.when(span["start"] > 0, 1).otherwise(0))
     right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(1))
     numeric = digits(value)
-    fits = _by_kind(kind, {"email": F.length(value) <= 80, "ip": _valid("ip", value),
-                           "card": bind(numeric, lambda d: F.length(d).between(13, 19) & luhn(d)), "phone": F.length(numeric).between(10, 13)})
+    kinds_of = lambda v: F.size(F.array_distinct(F.split(v, "")))
+    varied = _by_kind(kind, {"email": kinds_of(value) >= 6, "ip": kinds_of(numeric) >= 3, "card": kinds_of(numeric) >= 4, "phone": kinds_of(numeric) >= 4})
+    # valid, but of an odd length: no vote
+    valid = _by_kind(kind, {k: _valid(k, value) for k in KINDS})
+    usual = _by_kind(kind, {"email": F.length(value) <= 80, "ip": F.lit(True), "card": F.length(numeric) >= 13, "phone": F.length(numeric).between(10, 13)})
     return F.struct(
-        kind.alias("kind"), _vote(like(value, STRICT)).alias("strict"), _vote(fits).alias("value"),
+        kind.alias("kind"), _vote(like(value, STRICT)).alias("strict"), bind(valid, lambda ok: _vote(ok & usual, ~ok)).alias("value"),
         bind(F.when(kind == KINDS.index("card"), numeric).otherwise(value), lambda v: _vote(like(v, GAZETTEER))).alias("gazetteer"),
         bind(before, lambda b: _vote(like(b, CUES), F.regexp_like(b, F.lit(AGAINST)))).alias("cue"),
         _vote(~F.regexp_like(left, F.lit(r"[\p{L}\p{N}_]")) & ~F.regexp_like(right, F.lit(r"[\p{L}\p{N}_]"))).alias("edges"),
+        _vote(varied).alias("variety"),
         F.least(F.floor(F.length(value) / 6), F.lit(6)).cast("int").alias("size"))
 
 
 @dataclass
 class SpanModel:
-    """Reliabilities of the labelers and weights of the span classifier."""
+    """Reliabilities of the labelers, weights of the span classifier, and what they were learnt from.
+
+    ``patterns`` lists kind, votes in the order of ``LABELERS``, number of candidates and posterior.
+    """
 
     reliability: dict[str, tuple[float, float]] = field(default_factory=dict)
     weights: dict[tuple[str, int], float] = field(default_factory=dict)
     level: float = -20.0
+    patterns: list[tuple[str, tuple[int, ...], int, float]] = field(default_factory=list)
 
     def accepts(self, v: Column, cut: float) -> Column:
         total = F.lit(self.level)
@@ -188,27 +204,36 @@ class SpanModel:
         return 1 / (1 + F.exp(-total)) >= cut
 
 
-def expectation_maximisation(rows: np.ndarray, counts: np.ndarray, kinds: np.ndarray, rounds: int = 100):
-    """Posterior of each vote pattern and P(vote | truth) of each labeler, as ``[labeler, truth, vote]``."""
+def expectation_maximisation(rows: np.ndarray, counts: np.ndarray, kinds: np.ndarray, false: np.ndarray, rounds: int = 100):
+    """Posterior of each vote pattern and P(vote | truth) of each labeler over all kinds, as ``[labeler, truth, vote]``.
+
+    Patterns marked in ``false`` fail the checks of their kind, so they are no personal data; the others pass,
+    as what is none does by ``CHANCE``. A labeler has a table for each kind, which
+    leans on that over all kinds with the weight of ``LEAN`` candidates.
+    """
     n = rows.shape[1]
-    table = np.empty((n, 2, 3))
-    table[:, 1], table[:, 0] = (0.1, 0.2, 0.7), (0.6, 0.25, 0.15)  # labelers are better than chance to begin with
-    prior = np.full(len(KINDS), 0.5)
+    shared = np.empty((n, 2, 3))
+    shared[:, 1], shared[:, 0] = (0.1, 0.2, 0.7), (0.6, 0.25, 0.15)  # labelers are better than chance to begin with
+    table = np.repeat(shared[:, None], len(KINDS), 1)
+    prior, by_chance = np.full(len(KINDS), 0.5), np.array([CHANCE[k] for k in KINDS])
     for _ in range(rounds):
-        log = np.log(np.stack([1 - prior[kinds], prior[kinds]], 1))
+        log = np.log(np.stack([(1 - prior[kinds]) * by_chance[kinds], prior[kinds]], 1))
         for j in range(n):
-            log += np.log(table[j][:, rows[:, j] + 1]).T
+            log += np.log(table[j, kinds, :, rows[:, j] + 1])
         post = np.exp(log - log.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
+        post[false] = (1.0, 0.0)
         weight = post * counts[:, None]
         for j in range(n):
-            for v in range(3):
-                table[j, :, v] = weight[rows[:, j] + 1 == v].sum(0) + (0.5, 0.5)
-            table[j] /= table[j].sum(1, keepdims=True)
+            own = np.array([[[weight[(kinds == k) & (rows[:, j] + 1 == v), t].sum() for v in range(3)] for t in (0, 1)] for k in range(len(KINDS))])
+            shared[j] = own.sum(0) + 0.5
+            shared[j] /= shared[j].sum(1, keepdims=True)
+            table[j] = own + LEAN * shared[j]
+            table[j] /= table[j].sum(2, keepdims=True)
         for k in range(len(KINDS)):
             own = weight[kinds == k].sum(0)
             prior[k] = (own[1] + 1) / (own.sum() + 2)
-    return post[:, 1], table
+    return post[:, 1], shared
 
 
 def logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -235,12 +260,20 @@ def fit(docs: DataFrame, text: str) -> SpanModel:
         return SpanModel()
     votes_, counts = np.array([[r[name] for name in LABELERS] for r in rows]), np.array([float(r["n"]) for r in rows])
     kinds = np.array([r["kind"] for r in rows])
-    posterior, table = expectation_maximisation(votes_, counts, kinds)
+    # what fails the checks of its kind (vote -1 of "value") is known to be false, and the others are measured
+    # against it; how often the false pass by chance cannot be seen in those that failed, so it is given
+    value = LABELERS.index("value")
+    seen = votes_.copy()
+    seen[:, value] = 0
+    posterior, table = expectation_maximisation(seen, counts, kinds, votes_[:, value] == -1)
+    table[value] = [[(counts * truth * (votes_[:, value] == v)).sum() + 0.5 for v in (-1, 0, 1)] for truth in (1 - posterior, posterior)]
+    table[value] /= table[value].sum(1, keepdims=True)
     keys = sorted({(name, int(r[name])) for r in rows for name in names})
     x = np.array([[1.0] + [float(r[name] == value) for name, value in keys] for r in rows])
     w = logistic(x, posterior, counts)
     return SpanModel({name: (float(table[j, 1, 2]), float(table[j, 0, 0])) for j, name in enumerate(LABELERS)},
-                     dict(zip(keys, w[1:])), float(w[0]))
+                     dict(zip(keys, w[1:])), float(w[0]),
+                     [(KINDS[k], tuple(int(x) for x in v), int(n), float(p)) for k, v, n, p in zip(kinds, votes_, counts, posterior)])
 
 
 def annotate(docs: DataFrame, text: str, model: SpanModel, cut: float = 0.5, name: str = "pii") -> DataFrame:
