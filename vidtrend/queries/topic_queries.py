@@ -102,14 +102,18 @@ def _(spark, d):
     return fitted.groupBy("label", "topic").agg(F.count("*").alias("n"))
 
 
+#: Distance of unit vectors with a cosine of 0.28; the given vectors have few pairs above 0.5.
+REACH = 1.2
+
+
 @query("t24_core_distances", f"""WITH p AS (SELECT a.vec_id, {_COS} AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
- k AS (SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC) AS rn FROM p WHERE c > 0.5) SELECT vec_id, R6(sqrt(greatest(2 - 2 * c, 0))) AS core FROM k WHERE rn = 4""")
+ k AS (SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC) AS rn FROM p WHERE c > 0.28) SELECT vec_id, R6(sqrt(greatest(2 - 2 * c, 0))) AS core FROM k WHERE rn = 4""")
 def _(spark, d):
-    return density.core_distances(t.table(spark, d, "embeddings"), "vec_id", "embedding", 5, 1.0)
+    return density.core_distances(t.table(spark, d, "embeddings"), "vec_id", "embedding", 5, REACH)
 
 
 def _dense(spark, d):
-    return density.density_clusters(t.table(spark, d, "embeddings"), "vec_id", "embedding", 5, 10, 1.0)
+    return density.density_clusters(t.table(spark, d, "embeddings"), "vec_id", "embedding", 5, 10, REACH)
 
 
 @query("t24_density_clusters")
@@ -121,7 +125,7 @@ def _(spark, d):
 def _(spark, d):
     got = cut_lineage(_dense(spark, d))
     sizes = got.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), F.max("strength").alias("most"))
-    core = density.core_distances(t.table(spark, d, "embeddings"), "vec_id", "embedding", 5, 1.0)
+    core = density.core_distances(t.table(spark, d, "embeddings"), "vec_id", "embedding", 5, REACH)
     known = got.join(sizes, "cluster", "left").join(core, "vec_id", "left")
     member = (F.col("n") >= 10) & (F.col("low") == F.col("cluster")) & (F.col("most") == 1) & F.col("strength").between(0, 1) & F.col("core").isNotNull()
     return known.select("vec_id", F.when(F.col("cluster").isNull(), F.col("strength") == 0).otherwise(member).alias("valid"))
