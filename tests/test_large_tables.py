@@ -54,3 +54,33 @@ def test_letter_tokens_of_any_case(spark):
         text.letter_tokens("t").alias("got"), text.keep_tokens(F.split(F.trim(F.regexp_replace(F.lower("t"), "[^a-zA-Zäöüß]+", " ")), " "), (), 3).alias("want"))
     assert all(r.got == r.want for r in df.collect())
     assert "A-Z" not in df.select("got")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_without_white_space_are_looked_up_in_runs(spark, monkeypatch):
+    from vidtrend.operators import substrings
+    monkeypatch.setattr(substrings, "REMEMBERED", 3)
+    monkeypatch.setattr(substrings, "LONGEST", 8)
+    texts = prose(50, 4) + ["x" * 500 + "fox", " fox red", "foxfox", None, "", "a fox\nran"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    terms = ["fox", "ox", "f", "red", "foxf", "it’s", "zebra", "xxfox", "e"]
+    got = substrings.contained_terms(df, "t", spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert sorted((r.id, r.term) for r in got.collect()) == sorted((i, t) for i, s in enumerate(texts) for t in terms if s and t in s)
+    assert "Join" not in plan(got)
+
+
+def test_a_scorer_gets_few_texts_at_a_time(spark):
+    import pandas as pd
+
+    from vidtrend.plans import sentiment
+    limit = sentiment.SCORED_ROWS
+
+    def load():
+        def apply(texts):
+            if len(texts) > limit:
+                raise ValueError("too many")
+            return pd.DataFrame({"sentiment": ["positive"] * len(texts), "confidence": [0.9] * len(texts)})
+        return apply
+    df = spark.range(3 * limit + 5).coalesce(1).selectExpr("id", "if(id % 7 = 0, null, 'a') t", "timestamp_ntz'2024-01-01' AS at")
+    rows = sentiment.score(df, "t", load).collect()
+    assert [r.id for r in rows] == list(range(3 * limit + 5)) and {(r.raw_sentiment, r.confidence) for r in rows} == {("positive", 0.9)}
+    assert {str(r["at"]) for r in rows} == {"2024-01-01 00:00:00"}

@@ -4,12 +4,16 @@ Each term is listed under one of its character grams, the one that the fewest te
 gram that no text holds are in no text. A text meets the terms listed under its own grams by an equi-join,
 and every meeting is confirmed on the text. A term has one gram and a text each gram once, so a text meets
 a term at most once. Terms shorter than a gram are listed whole.
+
+A term without white space is in a text if it is in one of the text's runs without white space. Where the
+terms may be broadcast, such terms are looked up run by run in tasks, which remember the runs they met.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from vidtrend.operators.scale import BROADCAST_ROWS, checked_broadcast
 from vidtrend.session import cut_lineage
 
 BROADCAST_BYTES = 64 << 20
+#: Runs that a task remembers before it starts anew, and the longest it remembers; neither changes a result.
+REMEMBERED, LONGEST = 200_000, 64
 
 
 def char_grams(value: Column, lengths: Sequence[int]) -> Column:
@@ -31,6 +37,40 @@ def char_grams(value: Column, lengths: Sequence[int]) -> Column:
     return text.bind(chars, lambda c: F.array_distinct(F.concat(*[of(c, n) for n in lengths])))
 
 
+def _terms_in_runs(terms: Sequence[str]) -> Callable[[Column], Column]:
+    """Arrow function: the distinct terms (without white space) that each text contains."""
+    remembered, longest, least = REMEMBERED, LONGEST, min(map(len, terms))
+    known, lengths = frozenset(terms), {}
+    for t in terms:
+        lengths.setdefault(t[:least], set()).add(len(t))
+
+    @F.arrow_udf("array<string>")
+    def inside(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        met = {}
+
+        def of(run: str) -> list[str]:
+            heads = ((i, lengths.get(run[i:i + least])) for i in range(len(run) - least + 1))
+            return list({run[i:i + n] for i, ns in heads if ns for n in ns} & known)
+
+        def every(value: str) -> list[str]:
+            found = set()
+            for run in set(value.split()):
+                own = met.get(run)
+                if own is None:
+                    own = of(run)
+                    if len(run) <= longest:
+                        if len(met) >= remembered:
+                            met.clear()
+                        met[run] = own
+                found.update(own)
+            return list(found)
+
+        for batch in batches:
+            yield pa.array((every(v.as_py()) if v.is_valid else [] for v in batch), pa.list_(pa.string()))
+
+    return inside
+
+
 def contained_terms(df: DataFrame, col: str, terms: DataFrame, term: str = "term", whole_word: bool = False, q: int = 4) -> DataFrame:
     """Rows of ``df`` with a column ``term``: one row per text and term that it contains.
 
@@ -40,6 +80,20 @@ def contained_terms(df: DataFrame, col: str, terms: DataFrame, term: str = "term
     term are read again.
     """
     known = cut_lineage(terms.select(F.col(f"`{term}`").alias("_term")).filter(F.length("_term") > 0).distinct())
+    count, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_term")), F.lit(0))).first()
+    if 0 < count <= BROADCAST_ROWS and size <= BROADCAST_BYTES and not whole_word:
+        every = [r[0] for r in known.collect()]  # checked above
+        plain = [t for t in every if t.split() == [t]]
+        if plain:
+            found = df.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(_terms_in_runs(plain)(F.col(f"`{col}`"))).alias(term))
+            if len(plain) == len(every):
+                return found
+            rest = df.sparkSession.createDataFrame([(t,) for t in every if t.split() != [t]], "_term string")
+            return found.union(_by_grams(df, col, rest, term, whole_word, q))
+    return _by_grams(df, col, known, term, whole_word, q)
+
+
+def _by_grams(df: DataFrame, col: str, known: DataFrame, term: str, whole_word: bool, q: int) -> DataFrame:
     lengths = sorted(r[0] for r in known.select(F.least(F.length("_term"), F.lit(q))).distinct().collect())  # at most q numbers
     if not lengths:
         return df.withColumn(term, F.lit(None).cast("string")).filter(F.lit(False))
