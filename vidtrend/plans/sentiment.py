@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF
@@ -20,6 +21,8 @@ from vidtrend.operators.scale import checked_broadcast
 
 NEGATIONS = ("not", "no", "never", "nicht", "kein", "keine")
 Scorer = Callable[[pd.Series], pd.DataFrame]
+#: Texts that a model gets at a time.
+SCORED_ROWS = 64
 
 
 def lexicon(df: DataFrame, id_col: str, col: str, lexicon: DataFrame, negations: Sequence[str] = NEGATIONS,
@@ -51,37 +54,42 @@ def lexicon_column(col: str | Column, valences: Mapping[str, float]) -> Column:
 
 def score(df: DataFrame, col: str, scorer: Callable[[], Scorer], min_conf: float = fixed.MIN_CONFIDENCE,
           drop_errors: bool = False) -> DataFrame:
-    """Label and confidence from a model, loaded once per Python worker, in Arrow batches.
+    """Label and confidence from a model, loaded once per Python worker, in slices of Arrow batches.
 
-    ``scorer()`` returns a function from a text series to a frame (sentiment, confidence). A text
+    A batch holds thousands of whole texts, and what a model makes of a text is many times as large, so it
+    gets ``SCORED_ROWS`` of them at a time. ``scorer()`` returns a function from a text series to a frame (sentiment, confidence). A text
     the model cannot score gets the label ``error``. Labels below ``min_conf`` become null.
     """
     schema = T.StructType(df.schema.fields + [
         T.StructField("raw_sentiment", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    slice_rows = SCORED_ROWS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one(model: Scorer, value) -> pd.DataFrame:
+        try:
+            return model(pd.Series([value]))
+        except Exception:  # noqa: BLE001
+            return pd.DataFrame({"sentiment": ["error"], "confidence": [0.0]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = scorer()
-        for batch in batches:
-            try:
-                result = model(batch[col])
-            except Exception:  # noqa: BLE001 - one bad text must not lose its batch
-                result = pd.concat([_one(model, t) for t in batch[col]], ignore_index=True)
-            yield batch.assign(raw_sentiment=result["sentiment"].to_numpy(),
-                               confidence=result["confidence"].to_numpy(dtype="float64"))
-
-    scored = df.mapInPandas(run, schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, slice_rows):
+                batch = whole.slice(start, slice_rows)
+                texts = batch.column(batch.schema.names.index(col)).to_pandas()
+                try:
+                    result = model(texts)
+                except Exception:  # noqa: BLE001 - one bad text must not lose its batch
+                    result = pd.concat([one(model, t) for t in texts], ignore_index=True)
+                added = [pa.array(result["sentiment"].to_numpy(), pa.string(), from_pandas=True),
+                         pa.array(result["confidence"].to_numpy(dtype="float64"), pa.float64(), from_pandas=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "raw_sentiment", "confidence"])
+
+    scored = df.mapInArrow(run, schema)
     if drop_errors:
         scored = scored.filter(F.col("raw_sentiment") != "error")
     return scored.withColumn("sentiment", mask_below("raw_sentiment", "confidence", min_conf))
 
 
-def _one(model: Scorer, value) -> pd.DataFrame:
-    try:
-        return model(pd.Series([value]))
-    except Exception:  # noqa: BLE001
-        return pd.DataFrame({"sentiment": ["error"], "confidence": [0.0]})
-
-
 def lexicon_scorer(valences: Mapping[str, float]) -> Callable[[], Scorer]:
     """A small in-task scorer for the hook (whole texts, compound score as confidence)."""
     words = dict(valences)
