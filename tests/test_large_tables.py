@@ -84,3 +84,41 @@ def test_a_scorer_gets_few_texts_at_a_time(spark):
     rows = sentiment.score(df, "t", load).collect()
     assert [r.id for r in rows] == list(range(3 * limit + 5)) and {(r.raw_sentiment, r.confidence) for r in rows} == {("positive", 0.9)}
     assert {str(r["at"]) for r in rows} == {"2024-01-01 00:00:00"}
+
+
+def vectors_of(spark, n=130):
+    import numpy as np
+    draw = np.random.default_rng(5)
+    u = draw.normal(size=(n, 6)) + np.array([2.0, 0, 0, 0, 0, 0]) * (np.arange(n) % 2)[:, None]
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    return u, spark.createDataFrame([(i, v.tolist(), float(0.3 + 0.01 * (i % 9))) for i, v in enumerate(u)], "p bigint, u array<double>, core double")
+
+
+def test_block_pairs_keep_the_nearest_and_a_spanning_forest(spark, monkeypatch):
+    import numpy as np
+
+    from vidtrend.operators import similarity
+    from vidtrend.plans import density
+    monkeypatch.setattr(similarity, "TILE", (7, 11))
+    monkeypatch.setattr(similarity, "GATHERED", 20)
+    u, df = vectors_of(spark)
+    d = np.sqrt(np.maximum(2 - 2 * (u @ u.T), 0))
+    linked = [(i, j) for i in range(len(u)) for j in range(len(u)) if i != j and u[i] @ u[j] > 0.4]
+    got = similarity.nearest(df, "p", "u", 0.4, 3, block=40, hot=20).collect()
+    want = {i: sorted((round(d[i, j], 9), j) for p, j in linked if p == i)[:3] for i in range(len(u))}
+    first = {i: sorted((round(r.d, 9), r.q) for r in got if r.p == i)[:3] for i in range(len(u))}
+    assert first == want and len(got) < len(linked)
+    core = [0.3 + 0.01 * (i % 9) for i in range(len(u))]
+    edges = [(i, j, max(float(d[i, j]), core[i], core[j])) for i, j in linked if i < j]
+    some = similarity.forest_edges(df, "p", "u", "core", 0.4, block=40, hot=20)
+    assert some.count() < len(edges)
+    trees = [density.spanning_forest(e).collect() for e in (some, spark.createDataFrame(edges, "a bigint, b bigint, w double"))]
+    assert {(r.a, r.b) for r in trees[0]} == {(r.a, r.b) for r in trees[1]}
+
+
+def test_blocks_are_as_large_as_a_task_may_hold(spark):
+    from vidtrend.operators import similarity
+    n = 30_000
+    df = spark.range(n).selectExpr("id", "array(cos(id * 0.0002), sin(id * 0.0002)) AS v")
+    met = similarity._met(df, "id", "v", 0.9, None, 2048)
+    assert met.filter("key = -1").count() == 16 * 17 // 2  # of 512 rows each, there were 1,770 pairs

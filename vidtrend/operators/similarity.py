@@ -6,6 +6,8 @@ threshold: two vectors without a common listed position have their whole product
 it stays below the threshold. Rows meet by an equi-join on listed positions. Positions held by very many
 rows are one list together, so dense vectors meet once and not once per position. A long list is cut into
 blocks; pairs of blocks are multiplied in tasks of their own, so a list of any length is no single task.
+What is shipped grows with rows times blocks, so a block is as large as a task may hold, and multiplied tile by tile.
+``nearest`` and ``forest`` keep in a task only what can still matter of its pairs, so no pair of vectors is shipped.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from vidtrend.session import cut_lineage
 FREQUENT = -1
 #: Sums in another order may differ by so much; pairs this near the threshold are summed in order.
 SLACK = 1e-9
+#: Bytes of the vectors in a block; blocks of a list below that; rows of a tile; pairs that a task gathers before it reduces them.
+BLOCK_BYTES, LEAST_BLOCKS, LEAST_ROWS, TILE, GATHERED = 16 << 20, 16, 512, (1024, 4096), 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,53 +63,193 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
+def _tiles(row: dict, minimum: float):
+    """``i, j, cosine`` of the pairs of two blocks above the threshold, each at the first list that both rows stand in."""
+    key, same, left, right = row["key"], row["lo"] == row["hi"], row["left"], row["right"]
+    a, b = _matrix(left.field("u")), _matrix(right.field("u"))
+    # the frequent list is the first of all rows that stand in it
+    sets = None if key == FREQUENT else [[frozenset(k) for k in side.field("keys").to_pylist()] for side in (left, right)]
+    for x in range(0, len(a), TILE[0]):
+        for y in range(0, len(b), TILE[1]):
+            if same and y + TILE[1] <= x:
+                continue
+            i, j = np.nonzero(a[x:x + TILE[0]] @ b[y:y + TILE[1]].T > minimum - SLACK)
+            i, j = i + x, j + y
+            if same:
+                i, j = i[i < j], j[i < j]
+            total = np.zeros(len(i))
+            for d in range(a.shape[1]):
+                total += a[i, d] * b[j, d]
+            take = total > minimum
+            if sets:
+                take &= np.fromiter((min(sets[0][p] & sets[1][q]) == key for p, q in zip(i, j)), bool, len(i))
+            yield i[take], j[take], total[take]
+
+
+def _rows(batches):
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = {name: batch[name][at].as_py() for name in ("key", "lo", "hi")}
+            yield row | {name: batch[name][at].values for name in ("left", "right")}
+
+
 def _products(minimum: float):
-    """Pairs of two blocks above the threshold, each at the first list that both rows stand in."""
-    def of(key: int, left: pa.StructArray, right: pa.StructArray, same: bool):
-        a, b = _matrix(left.field("u")), _matrix(right.field("u"))
-        i, j = np.nonzero(a @ b.T > minimum - SLACK)
-        if same:
-            i, j = i[i < j], j[i < j]
-        total = np.zeros(len(i))
-        for d in range(a.shape[1]):
-            total += a[i, d] * b[j, d]
-        sets = [[frozenset(k) for k in side.field("keys").to_pylist()] for side in (left, right)]
-        first = np.fromiter((min(sets[0][x] & sets[1][y]) == key for x, y in zip(i, j)), bool, len(i))
-        take = first & (total > minimum)
-        return left.field("id").take(pa.array(i[take])), right.field("id").take(pa.array(j[take])), pa.array(total[take])
+    def work(batches):
+        for row in _rows(batches):
+            for i, j, cosine in _tiles(row, minimum):
+                x, y = row["left"].field("id").take(pa.array(i)), row["right"].field("id").take(pa.array(j))
+                yield pa.RecordBatch.from_arrays([x, y, pa.array(cosine)], names=["x", "y", "cosine"])
+
+    return work
+
+
+def _ends(row: dict) -> tuple[np.ndarray, int, np.ndarray | None]:
+    """Ids of both blocks, the place of the right one in them, and their extra numbers."""
+    sides = [row["left"]] if row["lo"] == row["hi"] else [row["left"], row["right"]]
+    column = lambda name: np.concatenate([side.field(name).to_numpy(zero_copy_only=False) for side in sides])
+    return column("id"), 0 if len(sides) == 1 else len(sides[0]), column("extra") if sides[0].type.get_field_index("extra") >= 0 else None
+
+
+def _distance(cosine: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * cosine, 0.0))
+
+
+def _nearest(minimum: float, count: int):
+    def first(own, other, d, ids):
+        order = np.lexsort((ids[other], d, own))
+        own, other, d = own[order], other[order], d[order]
+        place = np.arange(len(own))
+        start = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]][:len(own)], place, 0))
+        keep, last = place - start < count, place - start == count - 1
+        return own[keep], other[keep], d[keep], own[last], d[last]
 
     def work(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                key, same = batch["key"][row].as_py(), batch["lo"][row].as_py() == batch["hi"][row].as_py()
-                sides = [batch[name][row].values for name in ("left", "right")]
-                x, y, cosine = of(key, *sides, same)
-                yield pa.RecordBatch.from_arrays([x, y, cosine], names=["x", "y", "cosine"])
+        for row in _rows(batches):
+            ids, offset, _ = _ends(row)
+            bound, parts, size = np.full(len(ids), np.inf), [], 0
+
+            def reduced():
+                own, other, d, full, far = first(*[np.concatenate(c) for c in zip(*parts)], ids)
+                bound[full] = far
+                return [(own, other, d)]
+
+            for i, j, cosine in _tiles(row, minimum):
+                d, i, j = _distance(cosine), i, j + offset
+                for own, other in ((i, j), (j, i)):
+                    near = d <= bound[own]
+                    parts.append((own[near], other[near], d[near]))
+                    size += int(near.sum())
+                if size > GATHERED:
+                    parts, size = reduced(), 0
+            if parts:
+                own, other, d = reduced()[0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[other]), pa.array(d)], names=["p", "q", "d"])
 
     return work
 
 
-def cosine_pairs(df: DataFrame, id_col: str, vector: str, minimum: float, block: int = 512, hot: int = 2048) -> DataFrame:
-    """``a, b, cosine`` of all pairs of ids ``a < b`` with a cosine above ``minimum``.
+def _least_edges(w: np.ndarray, u: np.ndarray, v: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of the minimum spanning forest, ties by the ids of the ends (the smaller first)."""
+    a, b = np.minimum(ids[u], ids[v]), np.maximum(ids[u], ids[v])
+    order = np.lexsort((b, a, w))
+    u, v, label, keep, left = u[order], v[order], np.arange(len(ids)), np.zeros(len(w), bool), np.arange(len(w))
+    while True:
+        cu, cv = label[u[left]], label[v[left]]
+        left, cu, cv = left[cu != cv], cu[cu != cv], cv[cu != cv]
+        if not len(left):
+            return order[keep]
+        least = np.full(len(ids), len(w))
+        for c in (cu, cv):  # edges ascend, so the last one written is the least
+            own = np.full(len(ids), len(w))
+            own[c[::-1]] = left[::-1]
+            least = np.minimum(least, own)
+        chosen = np.unique(least[least < len(w)])
+        keep[chosen] = True
+        root, x, y = np.arange(len(ids)), label[u[chosen]], label[v[chosen]]
+        while (root[x] != root[y]).any():
+            low = np.minimum(root[x], root[y])
+            for end in (x, y):
+                np.minimum.at(root, root[end], low)
+            while (root[root] != root).any():
+                root = root[root]
+        label = root[label]
+
+
+def _forest(minimum: float):
+    def work(batches):
+        for row in _rows(batches):
+            ids, offset, core = _ends(row)
+            parts, size = [], 0
+
+            def reduced():
+                w, u, v = [np.concatenate(c) for c in zip(*parts)]
+                kept = _least_edges(w, u, v, ids)
+                return [(w[kept], u[kept], v[kept])]
+
+            for i, j, cosine in _tiles(row, minimum):
+                u, v = i, j + offset
+                parts.append((np.maximum(_distance(cosine), np.maximum(core[u], core[v])), u, v))
+                size += len(u)
+                if size > GATHERED:
+                    parts, size = reduced(), 0
+            if parts:
+                w, u, v = reduced()[0]
+                ends = [np.minimum(ids[u], ids[v]), np.maximum(ids[u], ids[v])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*ends, w)], names=["a", "b", "w"])
 
-    ``vector`` is an array of numbers. Rows without id, and vectors that are null, all zero, or hold a null
-    or non-finite value, are in no pair; nor are vectors of different lengths. Rows with one id are not paired
-    with each other, and their pairs with others are all listed. ``block`` bounds the rows that a task
-    multiplies at a time, ``hot`` the list from which positions share one list; neither changes the result.
-    """
+    return work
+
+
+def _met(df: DataFrame, id_col: str, vector: str, minimum: float, block: int | None, hot: int, extra: str | None = None) -> DataFrame:
+    """``key, lo, hi, left, right``: the pairs of blocks of every list; a block holds ``id, u, keys`` and maybe ``extra``."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), unit(F.col(f"`{vector}`")).alias("u")).filter(
+    more = [F.col(f"`{extra}`").alias("extra")] if extra else []
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), unit(F.col(f"`{vector}`")).alias("u"), *more).filter(
         F.col("id").isNotNull() & (F.size("u") > 0) & F.forall("u", finite))
     # read for the order, the sizes and the blocks; the written numbers keep a row in its block if a task runs again
     rows = cut_lineage(rows.withColumn("n", F.size("u")).withColumn("row", F.monotonically_increasing_id()))
     listed = cut_lineage(_lists(rows, minimum, hot).withColumn("key", F.explode("keys")))
     sizes = listed.groupBy("n", "key").agg(F.count("*").alias("rows")).filter("rows > 1")
-    dealt = (listed.join(checked_broadcast(sizes), ["n", "key"]).withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
+    if block:
+        blocks = F.ceil(F.col("rows") / block)
+    else:
+        blocks = F.greatest(F.ceil(F.col("rows") * F.col("n") * 8 / BLOCK_BYTES), F.least(F.ceil(F.col("rows") / LEAST_ROWS), F.lit(LEAST_BLOCKS)))
+    dealt = (listed.join(checked_broadcast(sizes), ["n", "key"]).withColumn("blocks", blocks.cast("int"))
              .withColumn("lo", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")))
-    blocks = cut_lineage(dealt.groupBy("n", "key", "blocks", "lo").agg(F.collect_list(F.struct("id", "u", "keys")).alias("left")))
+    held = F.struct("id", "u", "keys", *(["extra"] if extra else []))
+    blocks = cut_lineage(dealt.groupBy("n", "key", "blocks", "lo").agg(F.collect_list(held).alias("left")))
     ahead = blocks.withColumn("hi", F.explode(F.sequence("lo", F.col("blocks") - 1))).drop("blocks")
     met = ahead.join(blocks.select("n", "key", F.col("lo").alias("hi"), F.col("left").alias("right")), ["n", "key", "hi"])
-    kind = rows.schema["id"].dataType
+    return met.select("key", "lo", "hi", "left", "right")
+
+
+def cosine_pairs(df: DataFrame, id_col: str, vector: str, minimum: float, block: int | None = None, hot: int = 2048) -> DataFrame:
+    """``a, b, cosine`` of all pairs of ids ``a < b`` with a cosine above ``minimum``.
+
+    ``vector`` is an array of numbers. Rows without id, and vectors that are null, all zero, or hold a null
+    or non-finite value, are in no pair; nor are vectors of different lengths. Rows with one id are not paired
+    with each other, and their pairs with others are all listed. ``block`` bounds the rows of a block (by
+    default ``BLOCK_BYTES`` do), ``hot`` the list from which positions share one list; neither changes the result.
+    """
+    kind = df.select(F.col(f"`{id_col}`")).schema[0].dataType
     schema = StructType([StructField("x", kind), StructField("y", kind), StructField("cosine", DoubleType())])
-    found = met.select("key", "lo", "hi", "left", "right").mapInArrow(_products(minimum), schema)
+    found = _met(df, id_col, vector, minimum, block, hot).mapInArrow(_products(minimum), schema)
     return found.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+
+
+def nearest(df: DataFrame, id_col: str, vector: str, minimum: float, count: int, block: int | None = None, hot: int = 2048) -> DataFrame:
+    """``p, q, d``: rows that hold, for each id, the ``count`` nearest others (by distance, then id) with a cosine above ``minimum``.
+
+    Ids are unique bigints. Each pair of blocks gives its own nearest, so there are more rows than those; all of
+    them are pairs above ``minimum``.
+    """
+    return _met(df, id_col, vector, minimum, block, hot).mapInArrow(_nearest(minimum, count), "p bigint, q bigint, d double")
+
+
+def forest_edges(df: DataFrame, id_col: str, vector: str, core: str, minimum: float, block: int | None = None, hot: int = 2048) -> DataFrame:
+    """``a, b, w``: edges that hold the minimum spanning forest of all pairs with a cosine above ``minimum``.
+
+    An edge weighs the greatest of its length and of ``core`` at both ends. An edge that the forest of two blocks
+    leaves out is in no forest of the whole. Ids are unique bigints.
+    """
+    return _met(df, id_col, vector, minimum, block, hot, core).mapInArrow(_forest(minimum), "a bigint, b bigint, w double")
