@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidtrend.operators.scale import top_n
-from vidtrend.operators.similarity import cosine_pairs, unit
+from vidtrend.operators.similarity import forest_edges, nearest, unit
 from vidtrend.plans.hashtags import components
 from vidtrend.session import written
 
@@ -34,16 +34,12 @@ def _points(df: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, DataFra
     return rows, written(points.withColumn("p", F.monotonically_increasing_id()))
 
 
-def _links(points: DataFrame, reach: float) -> DataFrame:
-    """``a, b, d``: pairs of points closer than ``reach``."""
-    near = cosine_pairs(points, "p", "u", 1 - reach * reach / 2)
-    return written(near.select("a", "b", F.sqrt(F.greatest(2 - 2 * F.col("cosine"), F.lit(0.0))).alias("d")))
+def _cores(points: DataFrame, reach: float, min_points: int) -> DataFrame:
+    """``p, weight, core`` of the points that have ``min_points`` rows within reach.
 
-
-def _cores(points: DataFrame, links: DataFrame, min_points: int) -> DataFrame:
-    """``p, weight, core`` of the points that have ``min_points`` rows within reach."""
-    ends = F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("a").alias("q")))
-    around = links.select(F.explode(ends).alias("e"), "d").select("e.p", "e.q", "d")
+    Only the nearest partners of a point count, so each pair of blocks gives those instead of all its links.
+    """
+    around = written(nearest(points, "p", "u", 1 - reach * reach / 2, max(1, min_points - 1)))
     weights = points.select("p", "weight")
     # every partner weighs at least one row, so the first min_points - 1 of them decide
     first = top_n(around, ["p"], [F.col("d"), F.col("q")], max(1, min_points - 1))
@@ -57,7 +53,7 @@ def _cores(points: DataFrame, links: DataFrame, min_points: int) -> DataFrame:
 def core_distances(df: DataFrame, id_col: str, vector: str, min_points: int = 5, reach: float = 1.0) -> DataFrame:
     """``id, core``: the distance within which a row has ``min_points`` rows, for rows where that is below ``reach``."""
     rows, points = _points(df, id_col, vector)
-    cores = _cores(points, _links(points, reach), min_points)
+    cores = _cores(points, reach, min_points)
     return rows.join(points.join(cores.select("p", "core"), "p").select("u", "core"), "u").select(F.col("id").alias(id_col), "core")
 
 
@@ -157,10 +153,8 @@ def density_clusters(df: DataFrame, id_col: str, vector: str, min_points: int =
     if not (0 < reach < 2 and levels > 1 and min_points > 0 and min_size > 0):
         raise ValueError("reach must lie between 0 and 2, levels be at least 2, min_points and min_size positive")
     rows, points = _points(df, id_col, vector)
-    links, cuts = _links(points, reach), _cuts(reach, levels)
-    cores = _cores(points, links, min_points)
-    core = lambda end: cores.select(F.col("p").alias(end), F.col("core").alias(f"core_{end}"))
-    reachable = links.join(core("a"), "a").join(core("b"), "b").select("a", "b", F.greatest("d", "core_a", "core_b").alias("w"))
+    cuts, cores = _cuts(reach, levels), _cores(points, reach, min_points)
+    reachable = forest_edges(points.join(cores.select("p", "core"), "p"), "p", "u", "core", 1 - reach * reach / 2)
     members = _members(cores, spanning_forest(reachable), cuts)
     nodes, tree, ancestors = _chains(members, cuts, min_size)
     chosen = _selected(tree, ancestors)
