@@ -122,3 +122,11 @@ def test_blocks_are_as_large_as_a_task_may_hold(spark):
     df = spark.range(n).selectExpr("id", "array(cos(id * 0.0002), sin(id * 0.0002)) AS v")
     met = similarity._met(df, "id", "v", 0.9, None, 2048)
     assert met.filter("key = -1").count() == 16 * 17 // 2  # of 512 rows each, there were 1,770 pairs
+
+
+def test_word_vectors_train_in_more_than_one_task(spark):
+    from vidtrend.plans import topics
+    df = spark.createDataFrame([(t.split(" "),) for t in prose(30)], "tokens array<string>")
+    model = topics.word_vectors(df, "tokens", size=4, iterations=1)
+    assert model.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert model.transform(df).count() == 30
