@@ -130,3 +130,23 @@ def test_word_vectors_train_in_more_than_one_task(spark):
     model = topics.word_vectors(df, "tokens", size=4, iterations=1)
     assert model.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
     assert model.transform(df).count() == 30
+
+
+def test_trigrams_are_counted_as_the_hasher_does_and_without_strings(spark, monkeypatch):
+    from pyspark.ml.feature import HashingTF, NGram
+    from pyspark.sql import functions as F
+
+    from vidtrend.plans import language
+    for name, value in {"CHARS": 90, "TEXTS": 3, "REMEMBERED": 50, "TABLE": 9000}.items():
+        monkeypatch.setattr(language, name, value)
+    texts = [*prose(20, 5), "Hello, World!! été 12 ça", "", "a", "ab", "漢字かな交じり文 𝒳𝒴𝒵 ÅÄÖ", "  ", "the the " * 50, "Ünïcödé" + "x" * 300, "İstanbul"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(2)
+    chars = df.withColumn("c", F.split(F.concat(F.lit("_"), F.regexp_replace(F.lower("t"), r"[^\p{L}]+", "_"), F.lit("_")), ""))
+    grams = NGram(n=3, inputCol="c", outputCol="g").transform(chars)
+    want = {r.id: r.f for r in HashingTF(inputCol="g", outputCol="f", numFeatures=4096).transform(grams).collect()}
+    assert {r.id: r.features for r in language._trigrams(df, "t", 4096).collect()} == want
+    known = df.unionByName(spark.createDataFrame([(99, None)], "id int, t string")).withColumn("l", F.when(F.col("id") % 2 == 0, "x").otherwise("y"))
+    model = language.train(known, "t", "l")
+    assert not any(isinstance(s, (HashingTF, NGram)) for s in model.stages)
+    silent = {i for i, t in enumerate(texts) if not any(c.isalpha() for c in t)}
+    assert {r.id for r in language.detect(model, known, "t").collect() if r.detected_language is None} == silent | {99}
