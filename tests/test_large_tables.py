@@ -150,3 +150,18 @@ def test_trigrams_are_counted_as_the_hasher_does_and_without_strings(spark, monk
     assert not any(isinstance(s, (HashingTF, NGram)) for s in model.stages)
     silent = {i for i, t in enumerate(texts) if not any(c.isalpha() for c in t)}
     assert {r.id for r in language.detect(model, known, "t").collect() if r.detected_language is None} == silent | {99}
+
+
+def test_match_rows_makes_only_runs_that_start_like_a_term(spark, monkeypatch):
+    from vidtrend.plans import entities
+    texts = [*prose(60, 6), "the red", "THE  red-fox ran", "", None, "fox", "red the red fox", "it’s it’s"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    dictionary = spark.createDataFrame([("red fox", "rf"), ("Fox", "f"), ("the red fox ran", "long"), ("the red", "tr"), ("it’s", "its"), ("!", "none")],
+                                       "term string, canonical string")
+    got = entities.match_rows(df, "id", "t", dictionary)
+    seen = sorted(map(tuple, got.collect()))
+    assert seen and "slice" in plan(got) and "regexp_extract_all" not in plan(got)
+    monkeypatch.setattr(entities, "MAX_LITERAL_TERMS", 2)
+    every = entities.match_rows(df, "id", "t", dictionary)
+    assert sorted(map(tuple, every.collect())) == seen
+    assert " IN (" in plan(got) and " IN (" not in plan(every)

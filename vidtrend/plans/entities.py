@@ -34,7 +34,7 @@ def as_terms(dictionary: Mapping[str, Sequence[str]] | Sequence[str]) -> list[tu
 
 
 def _words(col: Column) -> Column:
-    return F.regexp_extract_all(col, F.lit(f"({text.WORD}+)"), 1)
+    return F.array_remove(F.split(col, r"[^\p{L}\p{N}_]+"), "")
 
 
 def _key(term: str) -> str:
@@ -100,16 +100,26 @@ def _find_words(value: Column, terms: Sequence[str]) -> Column:
 def match_rows(df: DataFrame, id_col: str, col: str, dictionary: DataFrame) -> DataFrame:
     """(id, canonical) for a dictionary table (canonical, term) of any size, by an equi-join.
 
-    Distinct word runs of each text, as long as the terms of the dictionary are, are joined to the
-    terms; the dictionary is broadcast only when its row count allows it, otherwise frequent words are
-    split by the skew rule.
+    Word runs of each text that may be terms are joined to the terms. Up to ``MAX_LITERAL_TERMS`` terms, those
+    are the runs that start with the first word of a term of their length; beyond that, all runs as long as a term.
+    The dictionary is broadcast only when its row count allows it, otherwise frequent words are split by the skew rule.
     """
     words = dictionary.select(_words(F.lower("term")).alias("_w"), "canonical").filter(F.size("_w") > 0)
     lengths = sorted(r[0] for r in words.select(F.size("_w")).distinct().collect())  # term lengths, a few numbers
+    heads = words.select(F.size("_w").alias("n"), F.col("_w")[0].alias("w")).distinct().limit(MAX_LITERAL_TERMS + 1).collect()
     terms = checked_broadcast(words.select(F.array_join("_w", " ").alias("_gram"), "canonical"))
-    value = _words(F.lower(F.col(col)))
-    grams = F.concat(*[text.ngrams(value, n) for n in lengths]) if lengths else F.array().cast("array<string>")
-    runs = df.select(id_col, F.explode(F.array_distinct(grams)).alias("_gram"))
+    if len(heads) <= MAX_LITERAL_TERMS:
+        def some(ws: Column, n: int) -> Column:
+            first = sorted(r.w for r in heads if r.n == n)
+            if n == 1:
+                return F.filter(ws, lambda w: w.isin(first))
+            runs = F.transform(ws, lambda w, i: F.when(w.isin(first) & (i + n <= F.size(ws)), F.array_join(F.slice(ws, i + 1, n), " ")))
+            return F.array_compact(runs)
+    else:
+        some = text.ngrams
+    empty = F.array().cast("array<string>")
+    grams = text.bind(_words(F.lower(F.col(col))), lambda ws: F.array_distinct(F.concat(empty, *[some(ws, n) for n in lengths])))
+    runs = df.select(id_col, F.explode(grams).alias("_gram"))
     return runs.join(terms, "_gram").select(id_col, "canonical").distinct()
 
 
