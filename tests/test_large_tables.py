@@ -165,3 +165,23 @@ def test_match_rows_makes_only_runs_that_start_like_a_term(spark, monkeypatch):
     every = entities.match_rows(df, "id", "t", dictionary)
     assert sorted(map(tuple, every.collect())) == seen
     assert " IN (" in plan(got) and " IN (" not in plan(every)
+
+
+def counted_tokens(spark, col="t"):
+    """A token column whose evaluations are counted."""
+    from pyspark.sql import functions as F
+    seen = spark.sparkContext.accumulator(0)
+
+    def tokens(value):
+        seen.add(1)
+        return (value or "").split()
+    return F.udf(tokens, "array<string>")(F.col(col)).alias("tokens"), seen
+
+
+def test_a_classifier_cleans_each_text_once(spark):
+    from vidtrend.plans import sentiment
+    tokens, seen = counted_tokens(spark)
+    df = spark.createDataFrame([(i, t, float(i % 2)) for i, t in enumerate(prose(40, 3))], "id int, t string, label double").select("id", "label", tokens)
+    model = sentiment.train_classifier(df, "tokens", "label", 64)
+    assert seen.value == 40
+    assert model.transform(df).filter("prediction IN (0, 1)").count() == 40 and len(model.stages) == 3

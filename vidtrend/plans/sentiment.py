@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from vidtrend.functions import fixed, text
 from vidtrend.functions.scalars import mask_below, three_way
 from vidtrend.operators.scale import checked_broadcast
+from vidtrend.session import written
 
 NEGATIONS = ("not", "no", "never", "nicht", "kein", "keine")
 Scorer = Callable[[pd.Series], pd.DataFrame]
@@ -106,11 +107,16 @@ def lexicon_scorer(valences: Mapping[str, float]) -> Callable[[], Scorer]:
 
 
 def train_classifier(df: DataFrame, tokens: str, label: str, features: int = 1 << 14) -> PipelineModel:
-    """Text classifier for a labelled table; hashed terms need no driver-side vocabulary."""
-    return Pipeline(stages=[
-        HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=features),
+    """Text classifier for a labelled table; hashed terms need no driver-side vocabulary.
+
+    The hashed terms are written once: the weights of the terms and every step of the fit read them, not the texts.
+    """
+    hashing = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=features)
+    hashed = written(hashing.transform(df.select(tokens, label)).select("_tf", label))
+    fitted = Pipeline(stages=[
         IDF(inputCol="_tf", outputCol="features"),
-        LogisticRegression(labelCol=label, maxIter=30, regParam=0.01)]).fit(df)
+        LogisticRegression(labelCol=label, maxIter=30, regParam=0.01)]).fit(hashed)
+    return PipelineModel(stages=[hashing, *fitted.stages])
 
 
 def classify(model: PipelineModel, df: DataFrame, labels: Sequence[str], min_conf: float = 0.0) -> DataFrame:
