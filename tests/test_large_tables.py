@@ -185,3 +185,19 @@ def test_a_classifier_cleans_each_text_once(spark):
     model = sentiment.train_classifier(df, "tokens", "label", 64)
     assert seen.value == 40
     assert model.transform(df).filter("prediction IN (0, 1)").count() == 40 and len(model.stages) == 3
+
+
+def test_a_vocabulary_is_counted_by_a_grouping(spark):
+    from pyspark.ml.feature import CountVectorizer
+
+    from vidtrend.plans import virality
+    df = spark.createDataFrame([(t.split(),) for t in prose(50, 8)] + [(["all"],), ([],)], "g array<string>")
+    for low, high in ((1.0, 2.0 ** 63), (3.0, 0.5), (0.1, 0.9)):
+        want = CountVectorizer(inputCol="g", outputCol="v", minDF=low, maxDF=high).fit(df)
+        got = virality.Vocabulary("g", "v", None, low, high).fit(df)
+        assert set(got.vocabulary) == set(want.vocabulary)
+        total = {w: sum(t.split().count(w) for t in [*prose(50, 8), "all"]) for w in got.vocabulary}
+        assert got.vocabulary == sorted(total, key=lambda w: (-total[w], w))
+        assert virality.Vocabulary("g", "v", 2, low, high).fit(df).vocabulary == got.vocabulary[:2]
+        assert [r.v.numNonzeros() for r in got.transform(df).collect()] == [r.v.numNonzeros() for r in want.transform(df).collect()]
+    assert not any(isinstance(s, CountVectorizer) for s in virality.assembler(with_tags=True).getStages())

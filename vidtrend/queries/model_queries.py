@@ -9,7 +9,7 @@ from vidtrend.plans import ml, virality
 from vidtrend.queries import adapters as t
 from vidtrend.queries.registry import query
 from vidtrend.queries.text_queries import STOP
-from vidtrend.session import cut_lineage
+from vidtrend.session import cut_lineage, written
 
 NUM = ["author_fans", "video_duration", "word_count", "hour_posting", "is_ad"]
 DAILY_SQL = """WITH p AS (SELECT hashtag_name, CAST("createTimeISO" AS DATE) AS dd, post_id, max("diggCount") AS l, max("shareCount") AS s, max("playCount") AS pl FROM tag_posts GROUP BY 1, 2, 3),
@@ -19,12 +19,13 @@ DAILY_SQL = """WITH p AS (SELECT hashtag_name, CAST("createTimeISO" AS DATE) AS
 
 
 def _features(spark, d):
-    return cut_lineage(virality.features(t.posts(spark, d), stop=STOP))
+    return written(virality.features(t.posts(spark, d), stop=STOP))
 
 
 @query("m1_feature_assembly")
 def _(spark, d):
-    data = virality.with_grams(virality.popular_tags(_features(spark, d)))
+    tagged = virality.popular_tags(_features(spark, d)).select("post_id", "popular_tags", "tokens", *virality.NUMERIC)
+    data = virality.with_grams(written(tagged))  # read by each step of the fit: joined and written once
     from pyspark.ml.functions import vector_to_array
     model = virality.assembler(with_tags=True).fit(data)
     return model.transform(data).select("post_id", F.size(vector_to_array("features")).alias("features"))
