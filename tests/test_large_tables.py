@@ -201,3 +201,21 @@ def test_a_vocabulary_is_counted_by_a_grouping(spark):
         assert virality.Vocabulary("g", "v", 2, low, high).fit(df).vocabulary == got.vocabulary[:2]
         assert [r.v.numNonzeros() for r in got.transform(df).collect()] == [r.v.numNonzeros() for r in want.transform(df).collect()]
     assert not any(isinstance(s, CountVectorizer) for s in virality.assembler(with_tags=True).getStages())
+
+
+def test_topics_clean_each_text_once(spark):
+    from vidtrend.plans import topics
+    tokens, seen = counted_tokens(spark)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(prose(40, 3))], "id int, t string").select("id", tokens)
+    fitted = topics.fit(topics.embed(df, "tokens", size=16), k=2, min_size=1)
+    assert fitted.count() == 40 and seen.value == 40
+
+
+def test_topics_by_sentiment_clean_each_text_once(spark):
+    from vidtrend.plans import topics
+    tokens, seen = counted_tokens(spark)
+    kinds = ["positive", "negative", "neutral"]
+    df = spark.createDataFrame([(i, t, kinds[i % 3]) for i, t in enumerate(prose(60, 3))], "id int, t string, sentiment string")
+    fitted = topics.by_sentiment(df.select("id", "sentiment", tokens), "tokens", k=2, min_size=1)
+    long = sum(len(t.split()) > 3 for i, t in enumerate(prose(60, 3)) if i % 3 < 2)
+    assert fitted.count() == long and seen.value <= 60

@@ -16,7 +16,7 @@ from vidtrend.operators import aggregates, dedupe, filters, windows
 from vidtrend.operators.scale import calendar_broadcast, checked_broadcast, exact_quantiles, scalar, top_n
 from vidtrend.operators.similarity import cosine_pairs
 from vidtrend.functions.scalars import week_start
-from vidtrend.session import cut_lineage
+from vidtrend.session import cut_lineage, written
 
 NOISE = -1
 
@@ -33,11 +33,13 @@ def prepare(df: DataFrame, col: str = "comment", id_col: str = "comment_id", lan
 
 
 def embed(df: DataFrame, tokens: str, out: str = "vector", size: int = 512) -> DataFrame:
-    """Unit-length hashed TF-IDF vector per text (no vocabulary on the driver)."""
-    model = Pipeline(stages=[
-        HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=size), IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol=out)]).fit(df)
-    return model.transform(df).drop("_tf", "_idf")
+    """Unit-length hashed TF-IDF vector per text (no vocabulary on the driver).
+
+    The rows are written once with their hashed terms, so neither the weights nor a later fit cleans and hashes the texts again.
+    """
+    hashed = written(HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=size).transform(df))
+    model = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol=out)]).fit(hashed)
+    return model.transform(hashed).drop("_tf", "_idf")
 
 
 def fit(df: DataFrame, vector: str = "vector", k: int = 20, min_size: int = 20, far: float = 0.95, seed: int = 7,
@@ -220,6 +222,7 @@ def word_vectors(df: DataFrame, tokens: str, size: int = 100, window: int = 5, m
 def by_sentiment(df: DataFrame, tokens: str, sentiment: str = "sentiment", kinds: Sequence[str] = ("positive", "negative"),
                  k: int = 5, min_size: int = 5) -> DataFrame:
     """Separate topic fits on the comments of each sentiment, with probabilities."""
+    df = written(df.filter(F.col(sentiment).isin(list(kinds))))  # read for each kind, so the texts are cleaned once
     out = None
     for kind in kinds:
         part = df.filter((F.col(sentiment) == kind) & (F.size(tokens) > 3))
