@@ -219,3 +219,20 @@ def test_topics_by_sentiment_clean_each_text_once(spark):
     fitted = topics.by_sentiment(df.select("id", "sentiment", tokens), "tokens", k=2, min_size=1)
     long = sum(len(t.split()) > 3 for i, t in enumerate(prose(60, 3)) if i % 3 < 2)
     assert fitted.count() == long and seen.value <= 60
+
+
+def test_word_vectors_query_cleans_each_text_once(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+    from pyspark.sql import functions as F
+
+    from vidtrend.functions import text
+    seen = spark.sparkContext.accumulator(0)
+
+    def tokens(value):
+        seen.add(1)
+        return (value or "").split()
+    monkeypatch.setattr(text, "clean_tokens", lambda col, *_: F.udf(tokens, "array<string>")(F.col(col)))
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(prose(30))], "doc_id bigint, text string, lang string, source string, n_chars bigint"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["t34_word_vectors"](spark, str(tmp_path)).collect()
+    assert {r.dimensions for r in got} == {100} and len(got) == 30 and seen.value == 30
