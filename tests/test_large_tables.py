@@ -236,3 +236,17 @@ def test_word_vectors_query_cleans_each_text_once(spark, tmp_path, monkeypatch):
                           ).write.parquet(f"{tmp_path}/documents.parquet")
     got = __spark_entry__.queries()["t34_word_vectors"](spark, str(tmp_path)).collect()
     assert {r.dimensions for r in got} == {100} and len(got) == 30 and seen.value == 30
+
+
+def test_byte_bpe_remembers_few_words_and_forgetting_changes_nothing(monkeypatch):
+    import public_tokenizers
+
+    from vidtrend.llm import byte_bpe
+    assert byte_bpe.REMEMBERED <= 100_000
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = byte_bpe.read_ranks(lines)
+    texts = prose(30, 9)
+    whole = byte_bpe.encoder(ranks, public_tokenizers.PATTERN)()(texts)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 3)
+    run = byte_bpe.encoder(ranks, public_tokenizers.PATTERN)()
+    assert [run([t])[0] for t in texts] == whole

@@ -30,7 +30,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from vidtrend.llm.common import numbered, slices
 
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 LONG_WORD = 64
 
 #: White space as the pattern's \s means it (fixed values: the Unicode property White_Space).
