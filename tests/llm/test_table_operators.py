@@ -4,9 +4,10 @@ import base64
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import DOCS, ODD, prose
 from pyspark.sql import functions as F
@@ -361,6 +362,73 @@ def test_traversal_prunes_and_finds_all_classes():
     assert not shingle_join.link_sets([m | {"class": 0} for m in members], None, levels)
 
 
+def test_linked_sets_share_as_many_keys_as_needed():
+    draw = np.random.default_rng(3)
+    for num, den in ((9, 10), (4, 5), (1, 2)):
+        levels = shingle_join.Levels(num, den)
+        for n in [*range(1, 60), 200, 1000]:
+            one = np.unique(draw.integers(1, 1 << 62, n).astype("u8"))
+            for _ in range(4):
+                drop = draw.integers(0, max(1, n // 4) + 1)
+                other = np.unique(np.r_[one[drop:], draw.integers(1, 1 << 62, draw.integers(0, n // 4 + 1)).astype("u8")])
+                both = len(np.intersect1d(one, other))
+                if len(other) and den * both >= num * (len(one) + len(other) - both):
+                    (k, x), (l, y) = levels.needs(one), levels.needs(other)
+                    same = [(a & 1, max(x[k == a][0], y[l == a][0])) for a in np.intersect1d(k, l).tolist()]
+                    assert any(sum(o == odd for o, _ in same) >= need for odd, need in same)
+
+
+def sharing_passages(count):
+    """Texts of 44 words that begin and end with one of 100 passages of 18 words."""
+    draw = random.Random(5)
+    passage = [prose(5000 + i, 18) for i in range(100)]
+    return [(i, f"{passage[draw.randrange(100)]} {prose(9000 + i, 8)} {passage[draw.randrange(100)]}") for i in range(count)]
+
+
+def test_texts_that_share_passages_only_are_no_large_family(docs_of, monkeypatch):
+    def refused(levels):
+        raise AssertionError("a large family")
+
+    monkeypatch.setattr(shingle_join, "BLOCK_SETS", 8)
+    monkeypatch.setattr(shingle_join, "_strong_entries", refused)
+    texts = [*sharing_passages(300), *[(1000 + i, prose(1, 60) + " end" * (i % 2)) for i in range(6)]]
+    got = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs_of(texts), "doc_id", "text", 5, (80, 100)).collect()}
+    assert got == {i: min(i, 1000) for i, _ in texts}
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_shared_keys_are_counted_over_batches_and_tasks(rows, monkeypatch):
+    monkeypatch.setattr(shingle_join, "SMALL", 3)
+    draw, keys, nodes = np.random.default_rng(4), [], []
+    for key in range(2, 60):  # few nodes and many, copies of one node among them
+        for node in draw.integers(1, 30, draw.choice([1, 1, 2, 3, 5, 20])).tolist():
+            keys.append(key)
+            nodes.append(node)
+    keys, nodes = shingle_join._sorted(np.array(keys), np.array(nodes))
+    cut = lambda columns, names: [shingle_join._batch([c[i:i + rows] for c in columns], names) for i in range(0, len(keys), rows)]
+    sets = {k: set(nodes[keys == k].tolist()) for k in set(keys.tolist())}
+    got, want = Counter(), Counter()
+    for batch in shingle_join._shared(cut((keys, nodes, np.full(len(keys), 2)), ["key", "node", "tag"])):
+        for r in batch.to_pylist():
+            got[r["node"], r["odd"]] += r["count"]
+    for key, own in sets.items():
+        want.update((n, key & 1) for n in own if len(own) > 1)
+    assert all(got[x] >= c for x, c in want.items()) and not set(got) - set(want)
+    entries = [pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64())], names=["key", "node", "need", "leader"])
+               for b in cut((keys, nodes, np.full(len(keys), 2)), ["key", "node", "need"])]
+    got, want, stars = Counter(), Counter(), set()
+    for batch in shingle_join._pairs(entries):
+        for r in batch.to_pylist():
+            got[r["a"], r["b"]] += r["count"]
+    for own in sets.values():
+        if len(own) > 3:
+            stars |= {(min(own), n) for n in own - {min(own)}}
+        else:
+            want.update((a, b) for a in own for b in own if a < b)
+    assert {x for x, c in got.items() if c >= shingle_join.STAR} == stars
+    assert {x: c for x, c in got.items() if c < shingle_join.STAR} == {x: c for x, c in want.items() if x not in stars}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (5000, 4000), (4000, 5000)]
     df = connected_components(spark.createDataFrame(edges, "x bigint, y bigint"), "x", "y")

@@ -3,11 +3,13 @@
 1. Sets. Each text becomes its set of hashed shingles; equal sets share a fingerprint and are one
    class member from then on.
 2. Families. Two sets that link differ in at most k shingles. Shingles are dealt to more than k
-   parts by hash, so linked sets agree in a whole part: parts are equi-join keys. Sizes are cut into
-   levels such that linked sets lie in the same or in neighbouring levels; a set emits the parts of
-   both. Keys are combined inside each task first (one entry per key, the others point to it), so a
-   key that very many sets share has one row per task. Sets that share a key are joined by a star,
-   and the components of these stars are families: every link lies inside one family.
+   parts by hash, so linked sets agree in a whole part, and in all of a set's filled parts but k: parts
+   are equi-join keys. Sizes are cut into levels such that linked sets lie in the same or in neighbouring
+   levels; a set emits the parts of both. Keys are combined inside each task first, so a key that very many
+   sets share has one row per task. A set that shares fewer keys of a level with others than a link
+   needs is linked with nothing and leaves; of the rest, pairs that share enough keys are joined. Keys
+   of more than SMALL sets are not paired up but joined by a star. The components are families: every
+   link lies inside one family.
 3. Trees. Each family gets a signature tree: leaves are sets with their shingle bitmaps, nodes hold
    the OR of the bitmaps below them, the range of sizes and the largest number of shingles that
    share a bit. A dual traversal of the tree with itself drops node pairs whose largest possible
@@ -49,6 +51,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_KEYS = 250_000
 FOREST_NODES = 300_000
 BLOCK_SETS, BLOCK_TOKENS = 256, 1_000_000
+SMALL, STAR = 8, 1 << 20
 LEAF, FANOUT = 8, 8
 HUB_SETS = 32
 
@@ -124,8 +127,13 @@ class Levels:
             self.known[level] = differ, 1 if differ == 0 else differ + 1 + differ // 16 + 2
         return self.known[level]
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        own, out = self.level(len(tokens)), []
+    def needs(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a set, and for each how many keys of its level every set that links shares at least.
+
+        A link differs in at most ``differ`` parts, and a filled part that does not differ is a key of
+        both. The last bit of a key tells its level from the neighbouring one.
+        """
+        own, out, need = self.level(len(tokens)), [], []
         with np.errstate(over="ignore"):
             value, place = mix(tokens ^ np.uint64(0x1234567)), mix(tokens ^ np.uint64(0x7654321))
             for level in {own, max(0, own - 1)}:
@@ -134,11 +142,15 @@ class Levels:
                 sums = np.zeros(parts, "u8")
                 np.add.at(sums, at, value)
                 keys = mix(sums + mix(np.arange(parts, dtype="u8") + np.uint64(level * 1_000_003 + 1)))
+                keys = keys & ~np.uint64(1) | np.uint64(level & 1)
                 used = np.bincount(at, minlength=parts) > 0
                 # sets agree in a part that neither leaves empty unless both fill too few parts
                 out.append(keys[used] if used.sum() > differ else keys)
-        return np.concatenate(out).astype("i8")
+                need.append(np.full(len(out[-1]), max(1, int(used.sum()) - differ)))
+        return np.concatenate(out).astype("i8"), np.concatenate(need)
 
+    def keys(self, tokens: np.ndarray) -> np.ndarray:
+        return self.needs(tokens)[0]
 
     def strong_keys(self, tokens: np.ndarray) -> np.ndarray:
         """Keys over about three times as many shingles, and three times as many of them.
@@ -171,24 +183,168 @@ class Levels:
         return np.concatenate(out).astype("i8")
 
 
+def _chunks(sets, needs_of):
+    """Keys, nodes and needs of sets, sorted by key and node; a node is met once in a chunk."""
+    parts, size, seen = [], 0, set()
+    for node, tokens in sets:
+        if node in seen:
+            continue
+        seen.add(node)
+        keys, needs = needs_of(tokens)
+        parts.append((keys, np.full(len(keys), node, "i8"), needs))
+        size += len(keys)
+        if size >= CHUNK_KEYS:
+            yield _sorted(*map(np.concatenate, zip(*parts)))
+            parts, size, seen = [], 0, set()
+    if size:
+        yield _sorted(*map(np.concatenate, zip(*parts)))
+
+
+def _sorted(keys, nodes, *more):
+    order = np.lexsort((nodes, keys))
+    return [column[order] for column in (keys, nodes, *more)]
+
+
+def _groups(keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted keys: whether a row is the first of its key, the number of its group, the sizes of the groups."""
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    group = np.cumsum(first) - 1
+    return first, group, np.bincount(group)
+
+
+def _batch(columns, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
+def _sums(count, *by) -> list[np.ndarray]:
+    """The distinct rows of ``by`` and the sum of ``count`` of each."""
+    order = np.lexsort(by[::-1])
+    by, count = [c[order] for c in by], count[order]
+    first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in by], axis=0)]) if len(count) else np.zeros(0, "i8")
+    return [*[c[first] for c in by], np.add.reduceat(count, first) if len(count) else count]
+
+
 def _entries(width: int, levels: Levels):
-    """Texts to ``key, node, leader`` by the keys of their sets."""
+    """Texts to ``key, node, tag`` by the keys of their sets.
+
+    The tag of a key that one set of the chunk has is the set's need. A key that several sets have is
+    written once with tag 0, and each of these sets has one row for all such keys of a level: their
+    number, times 2 ** 32, plus the need.
+    """
     def sets(batches):
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 tokens = shingles(text, width)
                 if len(tokens):
                     yield fingerprint(tokens)[0], tokens
-    return lambda batches: _keyed(sets(batches), levels.keys)
+
+    def work(batches):
+        for keys, nodes, needs in _chunks(sets(batches), levels.needs):
+            first, group, size = _groups(keys)
+            alone = size[group] == 1
+            yield _batch((keys[first], nodes[first], np.where(alone, needs, 0)[first]), ["key", "node", "tag"])
+            node, odd, need, count = _sums(np.ones((~alone).sum(), "i8"), nodes[~alone], keys[~alone] & 1, needs[~alone])
+            yield _batch(((node & ~1) | odd, node, need + (count << 32)), ["key", "node", "tag"])
+    return work
+
+
+def _shared(batches):
+    """Entries sorted by key and node to ``node, odd, need, count``: how many keys a set shares with others."""
+    held = [np.zeros(0, "i8")] * 3  # the last key: its only node so far, or tag 0 once it is shared
+    for batch in batches:
+        rows = [np.asarray(c) for c in batch.columns]
+        counted = rows[2] >> 32 > 0
+        out = [[rows[1][counted], rows[0][counted] & 1, rows[2][counted] & 0xFFFFFFFF, rows[2][counted] >> 32]]
+        keys, nodes, tags = [np.r_[h, c[~counted]] for h, c in zip(held, rows)]
+        if len(keys):
+            group = _groups(keys)[1]
+            other = np.r_[False, (keys[1:] == keys[:-1]) & (nodes[1:] != nodes[:-1])]
+            shared = np.bincount(group, other | (tags == 0)) > 0
+            again = np.r_[False, (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1]) & (tags[:-1] > 0)]
+            hit = shared[group] & (tags > 0) & ~again
+            out.append([nodes[hit], keys[hit] & 1, tags[hit], np.ones(hit.sum(), "i8")])
+            held = [keys[-1:], nodes[-1:], np.where(shared[-1:], 0, tags[-1:])]
+        node, odd, need, count = map(np.concatenate, zip(*out))
+        yield _batch(_sums(count, node, odd, need), ["node", "odd", "need", "count"])
+
+
+def _live_entries(levels: Levels):
+    """Rows ``node, tokens`` to ``key, node, need, leader``; keys of more than SMALL sets of a chunk have one row.
+
+    That row names itself as leader, and the other sets have a row that points to it.
+    """
+    names = ["key", "node", "need", "leader"]
+
+    def work(batches):
+        for keys, nodes, needs in _chunks(_token_sets(batches), levels.needs):
+            first, group, size = _groups(keys)
+            many = size[group] > SMALL
+            lead = nodes[np.flatnonzero(first)][group]
+            row = pa.RecordBatch.from_arrays(
+                [pa.array(c[~many | first], pa.int64()) for c in (keys, nodes, needs)]
+                + [pa.array(lead[~many | first], pa.int64(), mask=~many[~many | first])], names=names)
+            yield row
+            pairs = np.unique(np.stack([nodes[many & ~first], lead[many & ~first]]), axis=1)
+            yield _batch((pairs[0], pairs[0], np.zeros(pairs.shape[1], "i8"), pairs[1]), names)
+    return work
+
+
+def _pairs(batches):
+    """Entries sorted by key and node to ``a, b, odd, need, count``: how many keys two sets share.
+
+    Sets of a key that more than SMALL sets share have as many as any link needs with the key's first set.
+    """
+    def star(a, b):
+        return [a, b, np.zeros(len(a), "i8"), np.zeros(len(a), "i8"), np.full(len(a), STAR)]
+
+    def pairs(keys, nodes, needs, many):
+        first, group, size = _groups(keys)
+        large = ((np.bincount(group, many) > 0) | (size > SMALL))[group]
+        rest = large & ~first
+        out = [star(nodes[np.flatnonzero(first)][group][rest], nodes[rest])]
+        for step in range(1, SMALL):
+            at = np.flatnonzero((keys[step:] == keys[:-step]) & ~large[step:])
+            out.append([nodes[at], nodes[at + step], keys[at] & 1, np.maximum(needs[at], needs[at + step]), np.ones(len(at), "i8")])
+        return out
+
+    def total(out):
+        a, b, odd, need, count = map(np.concatenate, zip(*out))
+        return _batch(_sums(count, a, b, odd, need), ["a", "b", "odd", "need", "count"])
+
+    held = [np.zeros(0, "i8")] * 3 + [np.zeros(0, bool)]
+    for batch in batches:
+        rows = [np.asarray(c) for c in batch.columns[:3]]
+        leads = np.asarray(batch.column(3).fill_null(0))
+        pointed = np.asarray(batch.column(3).is_valid())
+        other = pointed & (leads != rows[1])
+        out = [star(leads[other], rows[1][other])]
+        keys, nodes, needs, many = [np.r_[h, c[~other]] for h, c in zip(held, (*rows, pointed))]
+        if len(keys):
+            # copies of a set in several chunks are one
+            again = np.r_[False, (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])]
+            many = np.bincount(np.cumsum(~again) - 1, many) > 0
+            keys, nodes, needs = keys[~again], nodes[~again], needs[~again]
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            held = [c[cut:] for c in (keys, nodes, needs, many)]
+            if cut:
+                out += pairs(*[c[:cut] for c in (keys, nodes, needs, many)])
+            if len(held[0]) > SMALL or held[3].any():  # the first set stands for the key from here on
+                out += pairs(*held[:3], np.ones(len(held[0]), bool))
+                held = [*[c[:1] for c in held[:3]], np.ones(1, bool)]
+        yield total(out)
+    if len(held[0]):
+        yield total(pairs(*held))
 
 
 def _strong_entries(levels: Levels):
     """Rows ``node, tokens`` to ``key, node, leader`` by the stronger keys."""
-    def sets(batches):
-        for batch in slices(batches, 64):
-            for node, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield node, np.frombuffer(tokens, "u8")
-    return lambda batches: _keyed(sets(batches), levels.strong_keys)
+    return lambda batches: _keyed(_token_sets(batches), levels.strong_keys)
+
+
+def _token_sets(batches):
+    for batch in slices(batches, 64):
+        for node, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield node, np.frombuffer(tokens, "u8")
 
 
 def _keyed(sets, keys_of):
@@ -411,6 +567,22 @@ def _families(entries: DataFrame) -> DataFrame:
     return connected_components(edges, "a", "b").withColumnRenamed("component", "family")
 
 
+def _live(entries: DataFrame) -> DataFrame:
+    """``node`` of the sets that share as many keys of a level with other sets as a link needs."""
+    shared = entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+        _shared, "node bigint, odd bigint, need bigint, count bigint")
+    counts = shared.groupBy("node", "odd").agg(F.max("need").alias("need"), F.sum("count").alias("count"))
+    return counts.filter("count >= need").select("node").distinct()
+
+
+def _paired_families(entries: DataFrame) -> DataFrame:
+    """``node, family`` of all sets that share as many keys with one other as a link needs."""
+    shared = entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+        _pairs, "a bigint, b bigint, odd bigint, need bigint, count bigint")
+    counts = shared.groupBy("a", "b", "odd").agg(F.max("need").alias("need"), F.sum("count").alias("count"))
+    return connected_components(counts.filter("count >= need").select("a", "b"), "a", "b").withColumnRenamed("component", "family")
+
+
 def _with_blocks(members: DataFrame) -> DataFrame:
     """Adds the number of blocks that a family of ``family, node, n`` needs, and its number of sets."""
     size = members.groupBy("family").agg(_block_count(F.count("*"), F.sum("n")).alias("blocks"), F.count("*").alias("count"))
@@ -495,9 +667,9 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, width: int = 3, sim
     named = printed.filter("n > 0 AND id IS NOT NULL")
     firsts = stored(named.groupBy("node", "check", "n").agg(F.min("id").alias("first")), "firsts")
 
-    families = stored(_families(ids.filter("id IS NOT NULL").select("text").mapInArrow(
-        _entries(width, levels), "key bigint, node bigint, leader bigint")), "families")
-    wanted = _with_blocks(families.join(firsts, "node").select("family", "node", "check", "n", F.col("first").alias("id")))
+    live = stored(_live(ids.filter("id IS NOT NULL").select("text").mapInArrow(
+        _entries(width, levels), "key bigint, node bigint, tag bigint")), "live")
+    wanted = live.join(firsts, "node").select("node", "check", F.col("first").alias("id"))
 
     def tokenise(batches):
         for batch in slices(batches):
@@ -505,14 +677,18 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, width: int = 3, sim
             for row in batch.to_pylist():
                 tokens = shingles(row["text"], width)
                 if fingerprint(tokens) == (row["node"], row["check"]):  # an id may stand at several texts
-                    out.append((row["family"], row["blocks"], row["count"], row["node"], len(tokens), tokens.tobytes()))
-            kinds = (*[pa.int64()] * 5, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out) if out else ([],) * 6, kinds)],
-                                             names=["family", "blocks", "count", "node", "n", "tokens"])
-
-    sets = ids.join(checked_broadcast(stored(wanted, "wanted")), "id").mapInArrow(
-        tokenise, "family bigint, blocks bigint, count bigint, node bigint, n bigint, tokens binary")
-    classes = connected_components(family_links(stored(sets, "sets"), levels), "a", "b")
+                    out.append((row["node"], len(tokens), tokens.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out) if out else ([],) * 3, kinds)],
+                                             names=["node", "n", "tokens"])
+
+    sets = stored(ids.join(checked_broadcast(stored(wanted, "wanted")), "id").mapInArrow(
+        tokenise, "node bigint, n bigint, tokens binary"), "sets")
+    families = stored(_paired_families(sets.select("node", "tokens").mapInArrow(
+        _live_entries(levels), "key bigint, node bigint, need bigint, leader bigint")), "families")
+    placed = stored(_with_blocks(families.join(sets.select("node", "n").distinct(), "node")).drop("n"), "placed")
+    placed = sets.join(checked_broadcast(placed), "node").select("family", "blocks", "count", "node", "n", "tokens")
+    classes = connected_components(family_links(stored(placed, "sets"), levels), "a", "b")
     by_set = firsts.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     smallest = by_set.groupBy("class").agg(F.min("first").alias("component_id"))
     by_set = stored(by_set.join(smallest, "class").select("node", "check", "n", "component_id"), "by-set")
