@@ -71,12 +71,21 @@ def test_no_texts(spark):
     assert term_weights.best_terms(df, "doc", F.col("ts"), 2, 3, 5).count() == 0 and keywords.tfidf(df, "doc", F.col("ts"), 1, 1).count() == 0
 
 
+def held(spark):
+    top = spark.sparkContext.getCheckpointDir()
+    return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(top.removeprefix("file:")) for f in names) if top else 0
+
+
 def test_top_terms_do_not_write_a_row_per_occurrence(spark):
-    def held():
-        top = spark.sparkContext.getCheckpointDir()
-        return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(top.removeprefix("file:")) for f in names) if top else 0
     rows = list(enumerate(texts(1_500, 9, 4_000, 200)))
-    df = spark.createDataFrame(rows, "id int, t string")
-    before = held()
+    df, before = spark.createDataFrame(rows, "id int, t string"), held(spark)
     got = keywords.tfidf_top(df, "id", F.split("t", " "), max_features=None).collect()
-    assert len(got) == 20 and held() - before < 2 * sum(len(t) for _, t in rows)
+    assert len(got) == 20 and held(spark) - before < 2 * sum(len(t) for _, t in rows)
+
+
+def test_weekly_terms_do_not_write_a_row_per_occurrence(spark):
+    rows = [(i, t.replace("w", "word"), i % 28) for i, t in enumerate(texts(1_500, 9, 4_000, 200))]
+    df = spark.createDataFrame(rows, "post_id int, t string, day int").selectExpr("post_id", "t", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(day) AS createTimeISO")
+    before = held(spark)
+    got = keywords.weekly_tfidf(df, col="t", max_features=None).collect()
+    assert len({r.week for r in got}) == 4 and held(spark) - before < 2 * sum(len(t) for _, t, _ in rows)
