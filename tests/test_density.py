@@ -125,3 +125,74 @@ def test_spanning_forest_is_minimal(spark):
             root[find(a)] = find(b)
             want.add((a, b, w))
     assert got == want
+
+
+def blocks(seed, left, right, size=6):
+    import numpy as np
+    import pyarrow as pa
+    draw = np.random.default_rng(seed)
+    v = draw.normal(size=(left + right, size)) + (np.arange(left + right) % 3 == 0)[:, None] * 3
+    v[5] = v[-3]  # a copy, and ties by id
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    core = draw.random(left + right) * 0.4
+
+    def side(at, end):
+        held = pa.ListArray.from_arrays(np.arange(0, (end - at) * size + 1, size, dtype=np.int32), v[at:end].ravel())
+        return pa.StructArray.from_arrays([pa.array(np.arange(at, end)), held, pa.array(core[at:end])], names=["id", "u", "extra"])
+    return v, core, {"key": -1, "lo": 0, "hi": 1 if right else 0, "left": side(0, left), "right": side(left, left + right) if right else side(0, left)}
+
+
+@pytest.mark.parametrize("left,right", [(150, 90), (120, 0)])
+def test_pairs_of_blocks_against_all_pairs(monkeypatch, left, right):
+    import numpy as np
+
+    from vidtrend.operators import similarity as S
+    monkeypatch.setattr(S, "TILE", (32, 48))
+    monkeypatch.setattr(S, "GATHERED", 300)
+    monkeypatch.setattr(S, "FIRST", 20)
+    v, core, row = blocks(6, left, right)
+    monkeypatch.setattr(S, "_rows", lambda _: [row])
+    cosine = v @ v.T
+    pairs = [(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if cosine[i, j] > 0.2 and (not right or i < left <= j)]
+    d = {p: math.sqrt(max(0.0, 2 - 2 * cosine[p])) for p in pairs}
+    near = defaultdict(list)
+    for i, j in pairs:
+        near[i].append((round(d[i, j], 9), j))
+        near[j].append((round(d[i, j], 9), i))
+    got = defaultdict(list)
+    for batch in S._nearest(0.2, 4)(None):
+        for p, q, far in zip(*[c.to_pylist() for c in batch.columns]):
+            got[p].append((round(far, 9), q))
+    assert {p: sorted(x) for p, x in got.items()} == {p: sorted(x)[:4] for p, x in near.items()}
+    w = {(i, j): max(d[i, j], core[i], core[j]) for i, j in pairs}
+    root, want = list(range(len(v))), []
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, j in sorted(pairs, key=w.get):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            want.append(w[i, j])
+    forest = [x for batch in S._forest(0.2)(None) for x in batch["w"].to_pylist()]
+    assert np.allclose(sorted(forest), sorted(want))
+
+
+def test_forest_of_few_edges_takes_few_jobs(spark, monkeypatch):
+    draw = random.Random(5)
+    edges = [(i, i + 1, draw.random()) for i in range(300)] + [(i, i + 7, 1 + draw.random()) for i in range(290)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint, w double")
+    rounds = []
+    monkeypatch.setattr(density, "components", lambda pairs: rounds.append(1) or components(pairs))
+    from vidtrend.plans.hashtags import components
+    want = set(edges[:300])
+    assert {(r.a, r.b, r.w) for r in density.spanning_forest(df).collect()} == want and not rounds
+    for most in (100, 350):  # by rounds until a task may hold the rest
+        monkeypatch.setattr(density, "TASK_EDGES", most)
+        assert {(r.a, r.b, r.w) for r in density.spanning_forest(df).collect()} == want
+    assert rounds
+
+
+def test_components_of_levels(spark, monkeypatch):
+    pairs = [(level, 10 * i + level, 10 * (i + 1) + level) for level in range(3) for i in range(40) if i % (5 + level)]
+    df = spark.createDataFrame(pairs, "level int, a bigint, b bigint")
+    one = {(r.v, r.label) for r in density._labels(df).collect()}
+    monkeypatch.setattr(density, "TASK_EDGES", 5)
+    assert one == {(r.v, r.label) for r in density._labels(df).collect()} and len({label for _, label in one}) == 8 + 7 + 6

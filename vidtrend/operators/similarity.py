@@ -7,6 +7,7 @@ it stays below the threshold. Rows meet by an equi-join on listed positions. Pos
 rows are one list together, so dense vectors meet once and not once per position. A long list is cut into
 blocks; pairs of blocks are multiplied in tasks of their own, so a list of any length is no single task.
 What is shipped grows with rows times blocks, so a block is as large as a task may hold, and multiplied tile by tile.
+Tiles are multiplied in single precision; only pairs that may matter are summed in double precision and in order.
 ``nearest`` and ``forest`` keep in a task only what can still matter of its pairs, so no pair of vectors is shipped.
 """
 
@@ -27,7 +28,11 @@ FREQUENT = -1
 #: Sums in another order may differ by so much; pairs this near the threshold are summed in order.
 SLACK = 1e-9
 #: Bytes of the vectors in a block; blocks of a list below that; rows of a tile; pairs that a task gathers before it reduces them.
-BLOCK_BYTES, LEAST_BLOCKS, LEAST_ROWS, TILE, GATHERED = 16 << 20, 16, 512, (1024, 4096), 1 << 20
+BLOCK_BYTES, LEAST_BLOCKS, LEAST_ROWS, TILE, GATHERED = 16 << 20, 16, 512, (1024, 4096), 1 << 18
+#: Rows of a block that give the first bounds of the nearest of another one.
+FIRST = 1024
+#: Share of the edges of a forest up to which it tells apart what a later pair can still join.
+SETTLED = 0.98
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,6 +50,9 @@ def _lists(rows: DataFrame, minimum: float, hot: int) -> DataFrame:
     if minimum <= 0:  # vectors without a common position pass too
         return rows.withColumn("keys", F.array(F.lit(FREQUENT)))
     held = rows.select("n", F.posexplode("u").alias("at", "x")).filter("x <> 0").groupBy("n", "at").agg(F.count("*").alias("rows"))
+    held = cut_lineage(held)
+    if minimum <= 1 and held.filter(F.col("rows") <= hot).isEmpty():  # one list, and every row stands in it
+        return rows.withColumn("keys", F.array(F.lit(FREQUENT)))
     # one row per length of vectors, with an entry per position, whatever the number of vectors
     orders = held.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("rows", "at"))).alias("order"))
     start = F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<int>").alias("keys"))
@@ -63,23 +71,35 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
-def _tiles(row: dict, minimum: float):
-    """``i, j, cosine`` of the pairs of two blocks above the threshold, each at the first list that both rows stand in."""
+def _slack(size: int) -> float:
+    """What a product of unit vectors in single precision may be off by, and ``SLACK``."""
+    return SLACK + (size + 8) * 2.0 ** -23
+
+
+def _tiles(row: dict, minimum: float, wanted=None):
+    """``i, j, cosine`` of the pairs of two blocks above the threshold, each at the first list that both rows stand in.
+
+    ``wanted(near, x, y, slack)`` marks the pairs of the tile at ``x, y`` that are looked at, by cosines that may be off by ``slack``.
+    """
     key, same, left, right = row["key"], row["lo"] == row["hi"], row["left"], row["right"]
     a, b = _matrix(left.field("u")), _matrix(right.field("u"))
+    slack = _slack(a.shape[1])
+    a, b, rows, columns = a.astype(np.float32), b.astype(np.float32), np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     # the frequent list is the first of all rows that stand in it
     sets = None if key == FREQUENT else [[frozenset(k) for k in side.field("keys").to_pylist()] for side in (left, right)]
     for x in range(0, len(a), TILE[0]):
         for y in range(0, len(b), TILE[1]):
             if same and y + TILE[1] <= x:
                 continue
-            i, j = np.nonzero(a[x:x + TILE[0]] @ b[y:y + TILE[1]].T > minimum - SLACK)
-            i, j = i + x, j + y
+            near = a[x:x + TILE[0]] @ b[y:y + TILE[1]].T
+            at = np.flatnonzero(wanted(near, x, y, slack) if wanted else near > minimum - slack)
+            i = at // near.shape[1]
+            i, j = i + x, at - i * near.shape[1] + y
             if same:
                 i, j = i[i < j], j[i < j]
             total = np.zeros(len(i))
-            for d in range(a.shape[1]):
-                total += a[i, d] * b[j, d]
+            for d in range(len(rows)):
+                total += rows[d].take(i) * columns[d].take(j)
             take = total > minimum
             if sets:
                 take &= np.fromiter((min(sets[0][p] & sets[1][q]) == key for p, q in zip(i, j)), bool, len(i))
@@ -114,6 +134,21 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosine, 0.0))
 
 
+def _known_low(row: dict, minimum: float, count: int) -> np.ndarray:
+    """A cosine that ``count`` partners of each row of two blocks reach, from the first rows of the other block; ``minimum`` at least."""
+    a, b = [_matrix(row[side].field("u")).astype(np.float32) for side in ("left", "right")]
+    same, found = row["lo"] == row["hi"], []
+    for own, other in [(a, b)] if same else [(a, b), (b, a)]:
+        other, low = other[:FIRST], np.full(len(own), minimum)
+        place = len(other) - count - same  # a row of the same block may meet itself
+        if place >= 0:
+            for x in range(0, len(own), TILE[0]):
+                reached = np.partition(own[x:x + TILE[0]] @ other.T, place, axis=1)[:, place]
+                low[x:x + TILE[0]] = np.maximum(minimum, reached - _slack(a.shape[1]))
+        found.append(low)
+    return np.concatenate(found)
+
+
 def _nearest(minimum: float, count: int):
     def first(own, other, d, ids):
         order = np.lexsort((ids[other], d, own))
@@ -126,14 +161,19 @@ def _nearest(minimum: float, count: int):
     def work(batches):
         for row in _rows(batches):
             ids, offset, _ = _ends(row)
-            bound, parts, size = np.full(len(ids), np.inf), [], 0
+            low, parts, size = _known_low(row, minimum, count), [], 0
+            bound = _distance(low - SLACK)
 
             def reduced():
                 own, other, d, full, far = first(*[np.concatenate(c) for c in zip(*parts)], ids)
-                bound[full] = far
+                bound[full], low[full] = far, 1 - far * far / 2
                 return [(own, other, d)]
 
-            for i, j, cosine in _tiles(row, minimum):
+            def nearer(near, x, y, slack):
+                lows = (low - slack).astype(np.float32)
+                return (near > lows[x:x + len(near), None]) | (near > lows[offset + y:offset + y + near.shape[1]])
+
+            for i, j, cosine in _tiles(row, minimum, nearer):
                 d, i, j = _distance(cosine), i, j + offset
                 for own, other in ((i, j), (j, i)):
                     near = d <= bound[own]
@@ -148,45 +188,67 @@ def _nearest(minimum: float, count: int):
     return work
 
 
-def _least_edges(w: np.ndarray, u: np.ndarray, v: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Numbers of the edges of the minimum spanning forest, ties by the ids of the ends (the smaller first)."""
-    a, b = np.minimum(ids[u], ids[v]), np.maximum(ids[u], ids[v])
-    order = np.lexsort((b, a, w))
-    u, v, label, keep, left = u[order], v[order], np.arange(len(ids)), np.zeros(len(w), bool), np.arange(len(w))
+def smallest_labels(x: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
+    """The smallest number that each of ``count`` vertices is joined with by the edges ``x, y``."""
+    root = np.arange(count)
+    while (root[x] != root[y]).any():
+        p, q = root[x], root[y]
+        low = np.minimum(p, q)
+        for end in (p, q):
+            np.minimum.at(root, end, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def least_edges(order: np.ndarray, u: np.ndarray, v: np.ndarray, count: int) -> np.ndarray:
+    """Numbers of the edges ``u, v`` of ``count`` vertices in the minimum spanning forest, if ``order`` sorts the edges."""
+    u, v, label, keep, left = u[order], v[order], np.arange(count), np.zeros(len(order), bool), np.arange(len(order))
     while True:
         cu, cv = label[u[left]], label[v[left]]
         left, cu, cv = left[cu != cv], cu[cu != cv], cv[cu != cv]
         if not len(left):
             return order[keep]
-        least = np.full(len(ids), len(w))
+        least = np.full(count, len(order))
         for c in (cu, cv):  # edges ascend, so the last one written is the least
-            own = np.full(len(ids), len(w))
+            own = np.full(count, len(order))
             own[c[::-1]] = left[::-1]
             least = np.minimum(least, own)
-        chosen = np.unique(least[least < len(w)])
+        chosen = np.unique(least[least < len(order)])
         keep[chosen] = True
-        root, x, y = np.arange(len(ids)), label[u[chosen]], label[v[chosen]]
-        while (root[x] != root[y]).any():
-            low = np.minimum(root[x], root[y])
-            for end in (x, y):
-                np.minimum.at(root, root[end], low)
-            while (root[root] != root).any():
-                root = root[root]
-        label = root[label]
+        label = smallest_labels(label[u[chosen]], label[v[chosen]], count)[label]
+
+
+def _least_edges(w: np.ndarray, u: np.ndarray, v: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of the minimum spanning forest, ties by the ids of the ends (the smaller first)."""
+    a, b = np.minimum(ids[u], ids[v]), np.maximum(ids[u], ids[v])
+    return least_edges(np.lexsort((b, a, w)), u, v, len(ids))
 
 
 def _forest(minimum: float):
     def work(batches):
         for row in _rows(batches):
             ids, offset, core = _ends(row)
-            parts, size = [], 0
+            parts, size, part, close = [], 0, None, minimum
 
             def reduced():
+                nonlocal part, close
                 w, u, v = [np.concatenate(c) for c in zip(*parts)]
                 kept = _least_edges(w, u, v, ids)
-                return [(w[kept], u[kept], v[kept])]
-
-            for i, j, cosine in _tiles(row, minimum):
+                w, u, v = w[kept], u[kept], v[kept]
+                if len(w):
+                    far = np.quantile(w, SETTLED)
+                    part, close = smallest_labels(u[w <= far], v[w <= far], len(ids)).astype(np.int32), 1 - far * far / 2
+                return [(w, u, v)]
+
+            def joining(near, x, y, slack):
+                # a pair longer than all edges of a path between its ends is in no forest
+                if part is None:
+                    return near > minimum - slack
+                apart = part[x:x + len(near), None] != part[offset + y:offset + y + near.shape[1]]
+                return (near > max(minimum, close) - slack) | (apart & (near > minimum - slack))
+
+            for i, j, cosine in _tiles(row, minimum, joining):
                 u, v = i, j + offset
                 parts.append((np.maximum(_distance(cosine), np.maximum(core[u], core[v])), u, v))
                 size += len(u)

@@ -4,7 +4,8 @@ Two rows are linked if their unit vectors are closer than ``reach`` (an exact co
 reachability of a link is the greatest of its length and of the core distances of both ends (the distance
 within which a row has ``min_points`` rows, itself included). Whatever has a mutual reachability within
 ``reach`` has its whole neighbourhood in the links, so the graph is exact up to there. Borůvka rounds over
-the edge table keep its minimum spanning forest, at most one edge a row; the forest is cut at ``levels``
+the edge table keep its minimum spanning forest, at most one edge a row (tasks thin the table first, and finish it
+as soon as one may hold what is left); the forest is cut at ``levels``
 distances, and components of at least ``min_size`` rows become a tree of clusters. A cluster that persists
 over a longer range of densities than the clusters it splits into together is kept, else those are.
 
@@ -15,15 +16,21 @@ round per depth of the cluster tree, which is below ``levels``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidtrend.operators.scale import top_n
-from vidtrend.operators.similarity import forest_edges, nearest, unit
+from vidtrend.operators.similarity import forest_edges, least_edges, nearest, smallest_labels, unit
 from vidtrend.plans.hashtags import components
 from vidtrend.session import written
 
 
+#: Edges that one task may hold.
+TASK_EDGES = 1 << 20
+
+
 def _points(df: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a number and their unit vector (null if it has none), and the distinct vectors with their weight."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -57,20 +64,49 @@ def core_distances(df: DataFrame, id_col: str, vector: str, min_points: int = 5,
     return rows.join(points.join(cores.select("p", "core"), "p").select("u", "core"), "u").select(F.col("id").alias(id_col), "core")
 
 
+def _numbered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of the ends of edges, ascending, and the ends as places among them."""
+    ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    return ids, at[:len(x)], at[len(x):]
+
+
+def _own_forest(batches):
+    """The edges of a task that its own minimum spanning forest keeps."""
+    table = pa.Table.from_batches(held) if (held := list(batches)) else None
+    if table is not None and table.num_rows:
+        w, a, b, ca, cb = [table[c].to_numpy() for c in ("w", "a", "b", "ca", "cb")]
+        ids, u, v = _numbered(ca, cb)
+        kept = least_edges(np.lexsort((b, a, w)), u, v, len(ids))
+        yield from table.take(pa.array(kept)).combine_chunks().to_batches()
+
+
+def _thinned(left: DataFrame) -> tuple[DataFrame, int]:
+    """Edges without those that the forests of tasks leave out, as long as that takes half of them away, and their number."""
+    count = left.count()
+    while count > TASK_EDGES:
+        less = written(left.repartition(-(-count // TASK_EDGES)).mapInArrow(_own_forest, left.schema))
+        before, count, left = count, less.count(), less
+        if 2 * count > before:
+            break
+    return left, count
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """``a, b, w``: minimum spanning forest of undirected edges, ties by ``a`` and ``b``.
 
     Every round takes the least edge of each component (edges are totally ordered, so no cycle arises) and
-    contracts; components at least halve, and parallel edges leave but their least.
+    contracts; components at least halve, and parallel edges leave but their least. As soon as one task may
+    hold the edges that are left, it takes all that remains.
     """
     left = written(edges.select("w", "a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
     forest = left.select("a", "b", "w").limit(0)
     while True:
+        left, count = _thinned(left)
+        if count <= TASK_EDGES:
+            return forest.unionByName(written(left.repartition(1).mapInArrow(_own_forest, left.schema)).select("a", "b", "w"))
         edge = F.struct("w", "a", "b", "ca", "cb")
         ends = left.select(F.explode(F.array("ca", "cb")).alias("c"), edge.alias("e"))
         chosen = written(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
-        if chosen.isEmpty():
-            return forest
         forest = forest.unionByName(chosen.select("a", "b", "w"))
         names = components(chosen.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         to = lambda end: names.select(F.col("v").alias(end), F.col("label").alias(f"_{end}"))  # noqa: E731, B023
@@ -79,6 +115,19 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         left = written(least.select("e.w", "e.a", "e.b", "ca", "cb"))
 
 
+def _own_labels(table: pa.Table) -> pa.Table:
+    ids, u, v = _numbered(table["a"].to_numpy(), table["b"].to_numpy())
+    return pa.table({"v": ids, "label": ids[smallest_labels(u, v, len(ids))]})
+
+
+def _labels(pairs: DataFrame) -> DataFrame:
+    """``v, label`` of the components of ``level, a, b`` (no vertex is in two levels); a level that a task may hold is one task."""
+    pairs = written(pairs)
+    if pairs.groupBy("level").agg(F.count("*").alias("n")).filter(F.col("n") > TASK_EDGES).isEmpty():
+        return pairs.groupBy("level").applyInArrow(_own_labels, "v bigint, label bigint")
+    return components(pairs.select("a", "b"))
+
+
 def _cuts(reach: float, levels: int) -> list[float]:
     """Distances from ``reach / 50`` to ``reach``, each the same factor above the one before."""
     return [reach * 50.0 ** (i / (levels - 1) - 1) for i in range(levels)]
@@ -94,7 +143,7 @@ def _members(cores: DataFrame, forest: DataFrame, cuts: list[float]) -> DataFram
     level = lambda x: F.size(F.filter(bounds, lambda c: c < x))
     every = lambda x: F.explode(F.sequence(level(F.col(x)), F.lit(levels - 1)))
     at = lambda x: (F.col(x) * levels + F.col("level")).alias(x)
-    labels = components(forest.select("a", "b", every("w").alias("level")).select(at("a"), at("b")))
+    labels = _labels(forest.select("a", "b", every("w").alias("level")).select("level", at("a"), at("b")))
     nodes = cores.select("p", "weight", every("core").alias("level")).withColumn("node", F.col("p") * levels + F.col("level"))
     named = nodes.join(labels.withColumnRenamed("v", "node"), "node", "left")
     return written(named.select("p", "weight", "level", "node", F.coalesce("label", "node").alias("comp")))
